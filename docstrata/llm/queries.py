@@ -15,6 +15,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -39,11 +45,19 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pu_quality": op1_pu_quality,
     "op2_vector_packing": op2_vector_packing,
     "op3_hyperminhash_dedup": op3_hyperminhash_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
 }
 
 ORACLE: dict[str, str] = {}

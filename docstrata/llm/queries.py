@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._spark import table
+from .urlfilter import host_of
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -51,13 +53,147 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), "docstrata")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture, with a fetch day that follows from its id (the table has none)."""
+    pages = table(spark, sf_dir, "pages")
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod(F.col("page_id") * 7919, F.lit(366)).cast("int"))
+    return pages.select(F.col("page_id").alias("capture_id"), "url", day.alias("fetched"))
+
+
+def _list_events(captures: DataFrame) -> DataFrame:
+    """A dated list over the hosts of the table: whole hosts, parent domains and paths come and go by a digest of the host."""
+    hosts = captures.select(host_of(F.col("url")).alias("host")).filter("host <> ''").groupBy("host").count()
+    v = F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int")
+    labels = F.split("host", r"\.")
+    parent = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
+
+    def event(entry, kind: str, action: str, day, when) -> F.Column:
+        made = F.struct(F.lit(kind).alias("list"), entry.alias("entry"), F.lit(action).alias("action"), F.date_add(F.to_date(F.lit("2024-01-01")), day.cast("int")).alias("day"))
+        return F.when(when, made)
+
+    host, path, every = F.col("host"), F.concat("host", F.lit("/en")), v % 4
+    events = F.array(
+        event(host, "hosts", "add", v % 200, every == 0),
+        event(host, "hosts", "remove", v % 200 + v % 50 + 10, every == 0),
+        event(host, "hosts", "add", v % 200 + 100, (every == 0) & (v % 3 == 0)),
+        event(parent, "domains", "add", v % 300, every == 1),
+        event(path, "paths", "add", v % 250, every == 2),
+        event(path, "paths", "remove", v % 250 + 60, every == 2),
+    )
+    return hosts.select(F.explode(F.array_compact(events)).alias("e")).select("e.*")
+
+
+def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import evaluate
+
+    captures = _captures(spark, sf_dir)
+    return evaluate(captures, _list_events(captures))
+
+
+OP8_SQL = r"""
+with captures as (
+  select page_id as capture_id, date '2024-01-01' + cast(page_id * 7919 % 366 as int) as fetched,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^[^@]*@', ''), ':[0-9]*$', ''), '\.+$', '') as host,
+    regexp_extract(regexp_replace(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^[^/?#]*(/[^?#]*)', 1) as path
+  from pages),
+hosts as (select distinct host, cast('0x' || substr(md5(host), 1, 4) as int) as v, string_split(host, '.') as labels from captures where host <> ''),
+events as (
+  select 'hosts' as list, host as entry, 'add' as action, v % 200 as day from hosts where v % 4 = 0
+  union all select 'hosts', host, 'remove', v % 200 + v % 50 + 10 from hosts where v % 4 = 0
+  union all select 'hosts', host, 'add', v % 200 + 100 from hosts where v % 4 = 0 and v % 3 = 0
+  union all select 'domains', array_to_string(labels[greatest(len(labels) - 2, 1):], '.'), 'add', v % 300 from hosts where v % 4 = 1
+  union all select 'paths', host || '/en', 'add', v % 250 from hosts where v % 4 = 2
+  union all select 'paths', host || '/en', 'remove', v % 250 + 60 from hosts where v % 4 = 2),
+daily as (select list, entry, date '2024-01-01' + cast(day as int) as day, max(action) as action from events group by all),
+spread as (
+  select capture_id, fetched, unnest(list_distinct(list_concat(
+    list_transform(generate_series(1, greatest(len(string_split(host, '.')) - 1, 1)), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(generate_series(1, len(list_filter(string_split(path, '/'), lambda p: p <> ''))),
+      lambda i: host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda p: p <> '')[1:i], '/'))))) as entry
+  from captures where host <> ''),
+latest as (
+  select s.capture_id, d.list, d.entry, arg_max(d.action, d.day) as action
+  from spread s join daily d on s.entry = d.entry and d.day <= s.fetched group by all),
+hits as (
+  select capture_id, list_sort(list_distinct(list(list))) as lists, list_sort(list_distinct(list(entry))) as entries
+  from latest where action = 'add' group by capture_id)
+select c.capture_id, c.host, h.entries is not null as blocked, coalesce(len(h.entries), 0)::bigint as n_entries,
+  coalesce(h.lists, []::varchar[]) as lists, coalesce(h.entries, []::varchar[]) as entries
+from captures c left join hits h using (capture_id)
+"""
+
+
+def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op2_vector_packing": op2_vector_packing,
     "op3_hyperminhash_dedup": op3_hyperminhash_dedup,
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_token_counts": op5_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_temporal_url_filter": op8_temporal_url_filter,
+    "op9_additive_quantisation": op9_additive_quantisation,
     "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+OP3_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')))
+    when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end as s from words),
+flat as (select doc_id, unnest(s) as t from sets),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from flat a join flat b on a.t = b.t and a.doc_id < b.doc_id group by all),
+links as (
+  select x, y from pairs join sets p on p.doc_id = x join sets q on q.doc_id = y where 100 * c >= 75 * (len(p.s) + len(q.s) - c)),
+both_ways as (select x, y from links union select y, x from links),
+reach(doc_id, other) as (select doc_id, doc_id from sets union select r.doc_id, e.y from reach r join both_ways e on r.other = e.x),
+low as (select doc_id, min(other) as component_id from reach group by doc_id)
+select s.doc_id, len(s.s)::bigint as n_shingles, l.component_id, s.doc_id = l.component_id as kept from sets s join low l using (doc_id)
+"""
+
+OP7_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(translate(text, chr(9) || chr(13) || chr(11) || chr(12), '    '), chr(10))) as line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
+words as (select doc_id, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') as w from lines),
+filled as (select doc_id, line_no, w, row_number() over (order by doc_id, line_no) as place from words where len(w) > 0),
+sets as (
+  select doc_id, line_no, place, case when len(w) >= 5 then list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))))
+    else [array_to_string(w, ' ')] end as s from filled),
+classes as (select s, min(place) as place from sets group by s),
+flat as (select place, len(s) as n, unnest(s) as t from classes),
+pairs as (select a.place as late, a.n as n, b.n as m, count(*) as c from flat a join flat b on a.t = b.t and a.place > b.place group by a.place, b.place, a.n, b.n),
+gone as (select distinct late from pairs where 4 * c >= 3 * (n + m - c)),
+removed as (
+  select doc_id, line_no from sets left join classes using (place) where classes.place is null
+  union all select doc_id, line_no from sets join gone on place = late),
+per_doc as (select doc_id, list_sort(list(line_no::int)) as removed_lines from removed group by doc_id)
+select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(len(removed_lines), 0)::bigint as n_removed,
+  coalesce(removed_lines, []::int[]) as removed_lines
+from documents d left join per_doc using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_hyperminhash_dedup": OP3_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op8_temporal_url_filter": OP8_SQL,
+}

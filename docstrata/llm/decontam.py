@@ -15,10 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from . import _text
 from ._spark import documents
 
@@ -170,22 +172,21 @@ def _scan(column: pa.Array, seeds: Seeds, share: float, least: int) -> tuple[lis
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, least: int = 16, budget: int = CHUNK_TOKENS) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
-    from pyspark.sql.functions import pandas_udf
-
-    documents(docs)  # ships the package
+    ship(docs.sparkSession)
     kept = docs
     for items in _chunks(benchmark, budget):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        pure = _pure(docs.sparkSession.sparkContext.broadcast(items), share, least)
+        kept = kept.filter(pure(F.col("text").cast("string")))
+    return kept
 
-        @pandas_udf("boolean")
-        def pure(text: "pandas.Series") -> "pandas.Series":  # noqa: F821
-            import pandas as pd
 
-            most, _ = _scan(pa.array(text, pa.string(), from_pandas=True), _seeds_of(shared), share, least)
-            return pd.Series([m == 0 for m in most])
+def _pure(shared, share: float, least: int):
+    @F.pandas_udf("boolean")
+    def pure(text: pd.Series) -> pd.Series:
+        most, _ = _scan(pa.array(text, pa.string(), from_pandas=True), _seeds_of(shared), share, least)
+        return pd.Series([m == 0 for m in most])
 
-        kept = kept.filter(pure(F.col("text").cast("string")))
-    return kept
+    return pure
 
 
 def _seeds_of(shared) -> Seeds:

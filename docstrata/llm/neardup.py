@@ -5,7 +5,7 @@ buckets; a register keeps, of the smallest hash in its bucket, the leading-zero
 mantissa bits, in two bytes.
 
 1. Documents with equal shingle sets form a class; only one document of each class goes on.
-2. Bands of four compressed registers are the candidate keys.  Sets of few shingles, for which
+2. Bands of six compressed registers are the candidate keys.  Sets of few shingles, for which
    registers are sparse, get the keys of an exact prefix filter instead (or besides): any two sets
    at the threshold share one of their smallest ``n - ceil(t n) + 1`` hashes.
 3. Stars: in each key's group every member is paired with a few pivots, never all with all.
@@ -16,12 +16,13 @@ mantissa bits, in two bytes.
    between texts that share a key is lost.  Estimates and confirmation are as before.
 5. Components of confirmed links give each document its smallest reachable doc_id.
 
-Shingles are 64-bit hashes.  With 48 bands of four, two sets at Jaccard 0.75 share no key with
-probability 1e-8.
+Shingles are 64-bit hashes.  With 80 bands of six, two sets at Jaccard 0.75 share no key with
+probability 2e-7.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,11 @@ from . import _text
 from ._spark import documents, written
 from .components import components
 
-BANDS, WIDTH = 48, 4
+BANDS, WIDTH = 80, 6
 REGISTERS = BANDS * WIDTH
 MANTISSA = 10
 SMALL, SPARSE = 86, 64  # sets up to SMALL get prefix keys, sets from SPARSE get band keys: ratios from 0.75 overlap
-BLOCK = 192
+BLOCK = 512
 
 
 def _doc_shingles(column: pa.Array) -> Iterator[np.ndarray]:
@@ -70,11 +71,10 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Expected share of registers that agree by chance for disjoint sets of ``n`` and ``m`` elements.
+def _chance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Chance that the minima of a bucket with ``x`` and one with ``y`` other elements fall into one cell (leading zeros, mantissa).
 
-    Registers agree if both minima fall into one cell (leading zeros, mantissa).  The minimum of a
-    bucket with ``x`` elements exceeds ``u`` with probability ``exp(-x u)``.
+    The minimum of a bucket with ``x`` elements exceeds ``u`` with probability ``exp(-x u)``.
     """
     zeros = np.arange(0, 40)
     cells = 1 << MANTISSA
@@ -82,9 +82,21 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     sample = (np.arange(16) + 0.5) / 16
     low = (2.0 ** -(zeros + 1.0))[:, None] * (1 + sample)[None, :]
     wide = ((2.0 ** -(zeros + 1.0)) / cells)[:, None] * np.ones(16)[None, :]
-    x, y = (np.asarray(v, float).reshape(-1, 1, 1) / REGISTERS for v in (n, m))
-    in_cell = lambda v: np.exp(-v * low) * -np.expm1(-v * wide)
-    return (in_cell(x) * in_cell(y)).sum(axis=(1, 2)) * cells / 16
+    in_cell = lambda v: np.exp(-v[:, None, None] * low) * -np.expm1(-v[:, None, None] * wide)
+    return np.einsum("iab,jab->ij", in_cell(x), in_cell(y)) * cells / 16
+
+
+@functools.cache
+def _chance_table() -> np.ndarray:
+    """Chances for set sizes in steps of a quarter octave."""
+    sizes = 2.0 ** (np.arange(161) / 4) / REGISTERS
+    return _chance(sizes, sizes)
+
+
+def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Expected share of registers that agree by chance for disjoint sets of ``n`` and ``m`` elements."""
+    at = lambda v: np.clip(np.round(np.log2(np.maximum(v, 1)) * 4), 0, 160).astype(np.int64)
+    return _chance_table()[at(n), at(m)]
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +108,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 
 def passes(a, b, n, m, threshold: float) -> np.ndarray:
-    """Pairs that aren't five standard deviations below the threshold; sparse registers decide nothing."""
+    """Pairs that aren't five standard deviations below the threshold.
+
+    Registers sample the union; what they don't leave out has no sampling error.
+    """
     value, used = estimate(a, b, n, m)
-    spread = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
-    return (value >= threshold - 5 * spread - 0.02) | (used < 32)
+    union = np.maximum((np.asarray(n) + m) / (1 + threshold), 1)
+    spread = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1) * np.clip(1 - used / union, 0.05, 1))
+    return (value >= threshold - 5 * spread - 0.01) | (used < 32)
 
 
 def _prefix(hashes: np.ndarray, percent: int) -> np.ndarray:
@@ -129,14 +145,14 @@ def signatures(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """``(key, id)``: band keys and prefix keys of class representatives."""
+    """``(key, band, id)``: band keys and prefix keys (band -1) of class representatives."""
     step = 2 * WIDTH
     cut = lambda k: F.substring("regs", k * step + 1, step)
     empty = F.unhex(F.lit("00" * step))
-    bands = F.array(*(F.when((F.col("n_shingles") >= SPARSE) & (cut(k) != empty), F.xxhash64(cut(k), F.lit(k))) for k in range(BANDS)))
-    prefix = F.transform(F.coalesce("small", F.array().cast("array<long>")), lambda x: F.xxhash64(x, F.lit(-1)))
+    bands = F.array(*(F.when((F.col("n_shingles") >= SPARSE) & (cut(k) != empty), F.struct(F.xxhash64(cut(k), F.lit(k)).alias("key"), F.lit(k).alias("band"))) for k in range(BANDS)))
+    prefix = F.transform(F.coalesce("small", F.array().cast("array<long>")), lambda x: F.struct(F.xxhash64(x, F.lit(-1)).alias("key"), F.lit(-1).alias("band")))
     keys = F.array_compact(F.concat(bands, prefix))
-    return reps.select(F.explode(keys).alias("key"), "id")
+    return reps.select(F.explode(keys).alias("k"), "id").select("k.key", "k.band", "id")
 
 
 def _register_pairs(batch: pa.RecordBatch, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,57 +209,63 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _residue(keys: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a key across components and whose estimate passes, once each."""
+    """Pairs that share a key across components and whose estimate passes.
+
+    In each key's group the members outside its largest component are probes; they come in blocks
+    and meet every member that isn't of their own component.
+    """
     held = written(keys.join(labels, "id"), "residue")
-    groups = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min_by("component", "id").alias("home"))
-    open_groups = groups.filter("low < high and size > 2")
-    rows = held.join(open_groups, "key").select("key", "id", "component", (F.col("component") != F.col("home")).alias("outside"))
-    outside = rows.filter("outside").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(outside, "key").join(reps.select("id", "regs", "n_shingles"), "id")
+    parts = held.groupBy("key", "component").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.sum("n").alias("size"), F.max("n").alias("most"))
+    groups = groups.filter("most < size").select("key", "home", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("blocks"))
+    rows = held.join(groups, "key").join(reps.select("id", "regs", "n_shingles"), "id")
     members = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    probes = rows.filter("outside").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-    columns = ["key", "block", "side", "id", "component", "n_shingles", "regs"]
+    probes = rows.filter("component <> home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
+    columns = ["key", "band", "block", "side", "id", "component", "n_shingles", "regs"]
     both = probes.select(columns).union(members.select(columns)).repartition("key", "block").sortWithinPartitions("key", "block", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, probe = None, None
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
                 if not len(batch):
                     continue
-                cols = {n: np.asarray(batch.column(n)) for n in ("key", "block", "side", "id", "component", "n_shingles")}
+                cols = {n: np.asarray(batch.column(n)) for n in columns[:-1]}
                 regs = _stack(batch.column("regs"))
-                change = (np.diff(cols["key"]) != 0) | (np.diff(cols["block"]) != 0) | (np.diff(cols["side"]) != 0)
-                for s, e in zip([0, *(np.flatnonzero(change) + 1)], [*(np.flatnonzero(change) + 1), len(batch)], strict=True):
+                change = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["block"]) != 0) | (np.diff(cols["side"]) != 0)) + 1
+                found = []
+                for s, e in zip([0, *change.tolist()], [*change.tolist(), len(batch)], strict=True):
                     now = (cols["key"][s], cols["block"][s])
                     part = [cols["id"][s:e], cols["component"][s:e], cols["n_shingles"][s:e], regs[s:e]]
                     if cols["side"][s] == 0:
                         probe = [np.concatenate(x) for x in zip(probe, part, strict=True)] if group == now else part
                         group = now
                     elif group == now:
-                        found = _cross(probe, part, now[0], percent)
-                        if found is not None:
-                            yield found
+                        found += _cross(probe, part, int(cols["band"][s]), percent)
+                if found:
+                    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _cross(probe: list[np.ndarray], part: list[np.ndarray], key: int, percent: int) -> pa.RecordBatch | None:
+def _cross(probe: list[np.ndarray], part: list[np.ndarray], band: int, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of other components that pass, if this is the first band that they share."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for k in range(len(probe[0])):
-        other = part[1] != probe[1][k]
-        n, m = np.full(other.sum(), probe[2][k]), part[2][other]
-        a, b = np.broadcast_to(probe[3][k], (len(n), REGISTERS)), part[3][other]
-        keep = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-        if keep.any():
-            ids = part[0][other][keep]
-            ok = passes(a[keep], b[keep], n[keep], m[keep], percent / 100)
-            found.append((np.full(ok.sum(), probe[0][k]), ids[ok]))
-    if not found:
-        return None
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        n = probe[2][k]
+        other = np.flatnonzero((part[1] != probe[1][k]) & (np.minimum(n, part[2]) * 100 >= np.maximum(n, part[2]) * percent))
+        if not len(other):
+            continue
+        ids, m, b = part[0][other], part[2][other], part[3][other]
+        a = np.broadcast_to(probe[3][k], b.shape)
+        keep = passes(a, b, np.full(len(ids), n), m, percent / 100)
+        if band >= 0 and keep.any():
+            same = ((a == b).reshape(-1, BANDS, WIDTH).all(2)) & (b.reshape(-1, BANDS, WIDTH).any(2))
+            keep &= same.argmax(1) == band
+        found.append((np.full(int(keep.sum()), probe[0][k]), ids[keep]))
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, pivots: int = 4) -> DataFrame:
@@ -273,7 +295,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, pivots: int = 4) -> Data
 
     labels = components(links)
     involved = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").select("key")
-    wide = keys.join(involved, "key", "left_semi").select("key", "id")
+    wide = keys.join(involved, "key", "left_semi").select("key", "band", "id")
     labels = wide.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     rest = written(_residue(wide, labels, reps, percent).distinct(), "rest")
     rest = rest.join(stars, ["a", "b"], "left_anti")

@@ -154,15 +154,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     with one doc_id count as one document: a repeated row keeps the same lines.  Nulls in doc_id
     count as one document that comes first.
     """
-    kept = kept_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"))
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    held = F.coalesce("_kept", F.array().cast("array<int>"))
-    stays = F.filter(lines, lambda line, i: (F.trim(_spaced(line)) == "") | F.array_contains(held, i))
-    out = joined.withColumn("text", F.array_join(stays, "\n"))
+    kept = kept_lines(docs)
+    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left")
+    held = F.coalesce(kept["kept"], F.array().cast("array<int>"))
+    stays = F.filter(F.split(docs["text"], "\n", -1), lambda line, i: (F.trim(_spaced(line)) == "") | F.array_contains(held, i))
+    new = {"text": F.array_join(stays, "\n")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model | None
     draw = lambda n: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20)) < int(min(1.0, bound / max(n, 1)) * (1 << 20))
     some = known.filter("quality = 1").filter(draw(count[1])).select(F.col("doc_id").alias("_known")).distinct()
     # At most about ``bound`` ids: a broadcast of bounded size.
-    positive = _gathered(docs.join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("_known"), "left_semi"))
+    positive = _gathered(docs.join(F.broadcast(some), docs["doc_id"].cast("long") == some["_known"], "left_semi"))
     web = docs.filter(~held_out("doc_id"))
     unlabelled = _gathered(web.filter(F.coalesce(draw(docs.count()), F.lit(False))))
     if not len(positive) or not len(unlabelled):

@@ -54,7 +54,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             counts = pa.array(encode.counts(batch.column(1)), pa.int64())
             yield pa.record_batch([batch.column(0), counts], names=["digest", "n_tokens"])
 
-    counted = misses.select("digest", "text").mapInArrow(run, "digest string, n_tokens long")
+    counted = misses.select("digest", "text").mapInArrow(run, "digest string, n_tokens long").dropDuplicates(["digest"])
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
     # A content may be very common: its row goes to each of a few salts, and its documents to one.

@@ -115,19 +115,24 @@ def limited(call: Callable, interval: float, clock=None, sleep=None) -> Callable
 # ---------------------------------------------------------------- additions: event time
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark, which needs instants; batches as they are."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts and sums per window and type; on streams, late rows up to the watermark count."""
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = _timed(events, late)
     return own.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = _timed(events, late)
     return own.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "w.end", "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = _timed(events, late)
     return own.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("w.start", "w.end", "user_id", "n")
 
 

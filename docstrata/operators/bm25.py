@@ -40,12 +40,20 @@ def fit(docs: DataFrame, codes: bool = False) -> Index:
     tokens = docs.select("doc_id", F.coalesce(index_tokens("text", codes), F.array().cast("array<string>")).alias("tokens"))
     lengths = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    postings = terms_of(tokens, "doc_id", F.col("tokens")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = df.join(F.broadcast(stats), how="cross").select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
     return Index(postings, terms, lengths, stats)
 
 
+def terms_of(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """``(key, term)``, one row per token.
+
+    By the outer form: for the other one the optimizer adds a filter that evaluates the array again.
+    """
+    return rows.select(key, F.explode_outer(tokens).alias("term")).filter("term is not null")
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
 
@@ -62,7 +70,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, codes: bool = False, k1
     A query's repeated tokens count as often as they come, unknown ones not at all, and only scores
     above zero are returned.  One row of statistics is joined to the lengths, everything else by key.
     """
-    tokens = queries.select("query_id", F.explode(index_tokens("text", codes)).alias("term"))
+    tokens = terms_of(queries, "query_id", index_tokens("text", codes))
     wanted = tokens.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     lengths = index.docs.join(F.broadcast(index.stats), how="cross").select("doc_id", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm"))
     hits = wanted.join(index.terms, "term").join(index.postings, "term").join(lengths, "doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .bm25 import terms_of
 
 # Metadata fields and their property names, relation fields with name and whether reversed, inverses.
 PROPERTIES = {
@@ -173,7 +174,7 @@ def contained_names(texts: DataFrame, names: DataFrame, most: int = 10_000) -> D
     names = names.filter("name <> ''")
     if names.count() <= most:
         return texts.join(F.broadcast(names), F.contains("text", F.col("name")))
-    words = texts.select("doc_id", F.explode(F.array_distinct(T.index_tokens("text"))).alias("w"))
+    words = terms_of(texts, "doc_id", F.array_distinct(T.index_tokens("text"))).withColumnRenamed("term", "w")
     # A name may begin or end inside a word of the text: its inner words are whole words there.
     inner = F.slice(T.index_tokens("name"), 2, F.greatest(F.size(T.index_tokens("name")) - 2, F.lit(0)))
     df = words.groupBy("w").agg(F.count("*").alias("df"))

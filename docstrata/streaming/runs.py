@@ -139,10 +139,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def index_stream(docs: DataFrame, path: str, checkpoint: str):
     """Keep postings of a stream of documents up to date: each batch's postings are appended with its number."""
     from ..functions.text import index_tokens
+    from ..operators.bm25 import terms_of
 
     def add(batch: DataFrame, number: int) -> None:
-        tokens = batch.select("doc_id", F.explode(index_tokens("text")).alias("term"))
-        postings = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).withColumn("batch", F.lit(number))
+        postings = terms_of(batch, "doc_id", index_tokens("text"))
+        postings = postings.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).withColumn("batch", F.lit(number))
         postings.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()

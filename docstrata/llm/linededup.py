@@ -41,7 +41,8 @@ def _spaced(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    lines = F.posexplode(F.split(_spaced(F.col("text")), "\n", -1)).alias("line_no", "line")
+    # The outer form, since for the other one the optimizer adds a filter that evaluates the array again.
+    lines = F.posexplode_outer(F.split(_spaced(F.col("text")), "\n", -1)).alias("line_no", "line")
     return docs.select("doc_id", lines).filter(F.trim("line") != "")
 
 
@@ -56,7 +57,7 @@ def _shingled(lines: DataFrame) -> DataFrame:
 
 def rarity(lines: DataFrame) -> DataFrame:
     """One row with one array: the rarity class of each bucket of token hashes."""
-    counts = lines.select(F.explode("made").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).count()
+    counts = lines.select(F.explode_outer("made").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).count()
     all_buckets = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     counts = all_buckets.join(counts, "b", "left").select("b", F.floor(4 * F.log2(F.coalesce("count", F.lit(1)))).cast("tinyint").alias("c"))
     return counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("classes"))
@@ -106,7 +107,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     lines = written(lines, "wanted-lines").withColumnRenamed("doc_id", "_doc")
     few = lines.count() <= FEW_DOCS
     held = docs.join(F.broadcast(lines) if few else lines, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text", "wanted")
-    split = F.posexplode(F.split(_spaced(F.col("text")), "\n", -1)).alias("line_no", "line")
+    split = F.posexplode_outer(F.split(_spaced(F.col("text")), "\n", -1)).alias("line_no", "line")
     own = held.select("doc_id", "wanted", split).filter(F.array_contains("wanted", F.col("line_no"))).drop("wanted")
     sets = _shingled(own).select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct("made").alias("set")).dropDuplicates(["at"])
     sets = written(sets, "line-sets")
@@ -123,7 +124,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     sketch = written(rarity(lines), "rarity")
     classes = written(_classes(lines, sketch), "line-classes")
 
-    index = classes.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
+    index = classes.select("doc_id", "line_no", "n", F.posexplode_outer("prefix").alias("pos", "token"))
     common = F.shiftright("token", 56) >= COMMON
     rare = index.filter(~common).withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1").drop("rows")
     shared = rare.unionByName(index.filter(common))

@@ -152,7 +152,8 @@ def _keys(reps: DataFrame) -> DataFrame:
     bands = F.array(*(F.when((F.col("n_shingles") >= SPARSE) & (cut(k) != empty), F.struct(F.xxhash64(cut(k), F.lit(k)).alias("key"), F.lit(k).alias("band"))) for k in range(BANDS)))
     prefix = F.transform(F.coalesce("small", F.array().cast("array<long>")), lambda x: F.struct(F.xxhash64(x, F.lit(-1)).alias("key"), F.lit(-1).alias("band")))
     keys = F.array_compact(F.concat(bands, prefix))
-    return reps.select(F.explode(keys).alias("k"), "id").select("k.key", "k.band", "id")
+    # The outer form, since for the other one the optimizer adds a filter that evaluates the array again.
+    return reps.select(F.explode_outer(keys).alias("k"), "id").select("k.key", "k.band", "id").filter("key is not null")
 
 
 def _register_pairs(batch: pa.RecordBatch, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,8 @@ reconstruction's norm is stored for distances.  Codebooks start as residual k-me
 refined by least squares, on a bounded sample.  Every row is encoded.
 
 Search: candidates form super-blocks of bounded size, and the queries stream past each of them.
-Lookup tables score all codes, a shortlist is reranked with the original vectors in double
-precision, and each block's best are merged per query.
+Lookup tables score all codes, a shortlist that is a fixed share of the block is reranked with the
+original vectors in double precision, and each block's best are merged per query.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, is_query: F.Column, k: int = 20, shortlist: int = 100, least_block: int = 8192, most_block: int = 131072, model: Codebooks | None = None, **options
+    vectors: DataFrame, is_query: F.Column, k: int = 20, shortlist: int = 100, least_block: int = 8192, most_block: int = 131072, model: Codebooks | None = None, share: float = 0.05, **options
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row under ``is_query`` its ``k`` nearest by inner product.
 
@@ -171,6 +171,9 @@ def search(
     dimension or with null or non-finite components take no part.  A query isn't its own neighbour.
     Ties go to the smaller vec_id.  A vec_id that is there twice is one query (with either vector)
     and one candidate per row.  An empty table gives no rows.
+
+    Each block reranks its best ``share`` of the codes, ``shortlist`` at least: with a fixed number
+    the share of true neighbours among them falls as the block grows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -203,7 +206,7 @@ def search(
                 elif now == block:
                     ready = ready or tuple(np.concatenate(p) for p in zip(*parts, strict=True))
                     for at in range(0, len(ids), 64):
-                        yield _found(ids[at : at + 64], x[at : at + 64], *ready, model, k, shortlist)
+                        yield _found(ids[at : at + 64], x[at : at + 64], *ready, model, k, max(shortlist, math.ceil(share * len(ready[0]))))
 
     near = both.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -225,7 +228,10 @@ def _found(query_ids, queries, ids, x, codes, model: Codebooks, k: int, shortlis
     score = model.lookup(queries, codes)
     score[query_ids[:, None] == ids[None, :]] = -np.inf
     short = _best(score, ids, shortlist)
-    exact = (x[short].astype(np.float64) * queries[:, None, :].astype(np.float64)).sum(2)
+    exact = np.empty(short.shape)
+    for at in range(0, len(short), 8):  # a few at a time: a long shortlist of vectors is large
+        part = slice(at, at + 8)
+        exact[part] = (x[short[part]].astype(np.float64) * queries[part, None, :].astype(np.float64)).sum(2)
     exact[query_ids[:, None] == ids[short]] = -np.inf
     best = np.lexsort((ids[short], -exact), axis=1)[:, :k]
     rows = np.arange(len(query_ids))[:, None]

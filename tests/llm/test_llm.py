@@ -482,6 +482,40 @@ def test_neighbours_recall(spark, sf_dir):
     assert np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want]) >= 0.9
 
 
+def unit_vectors(n: int) -> np.ndarray:
+    x = np.random.default_rng(17).standard_normal((n, 64)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def share_found(got: dict, x: np.ndarray, k: int = 20) -> float:
+    shares = []
+    for q, found in got.items():
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        shares.append(len(set(found) & set(np.argsort(-score)[:k].tolist())) / k)
+    return float(np.mean(shares))
+
+
+def test_neighbours_recall_of_the_least_block(spark):
+    x = unit_vectors(8192)
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+    got = defaultdict(list)
+    for r in ann.search(frame, F.col("vec_id") % 64 == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(got) == 128 and share_found(got, x) >= 0.9
+
+
+def test_neighbours_recall_of_the_largest_block(spark):
+    n, queries = 131072, 8  # of the size of most_block
+    x = unit_vectors(n)
+    model = ann.train(x[:16000])
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+    got = defaultdict(list)
+    for r in ann.search(frame, F.col("vec_id") % (n // queries) == 0, least_block=n, model=model).collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(got) == queries and share_found(got, x) >= 0.9
+
+
 def test_neighbours_of_odd_rows(spark):
     v = [1.0, 2.0]
     rows = [(k, v) for k in range(60)] + [(60, [2.0, 4.0]), (61, None), (62, [0.0, 0.0]), (63, [1.0, None]), (64, [float("nan"), 1.0]), (80, [1.0, 2.0, 3.0]), (100, []), (None, v), (120, [float("inf"), 1.0])]

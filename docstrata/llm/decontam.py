@@ -3,7 +3,8 @@
 After Ma, Tromp & Li, "PatternHunter" (2002): fixed masks pick some of the tokens of a window and
 ignore the others, so a window still matches if only ignored tokens were substituted.  Hashes of
 all masked windows of the benchmark meet those of every document; around each hit the two texts are
-compared token by token on the hit's diagonal, and the best run with few substitutions decides.
+compared token by token on the hit's diagonal, and any long enough window with few substitutions
+decides.
 
 The benchmark is read in chunks of a bounded number of tokens.  Each chunk is a broadcast table; a
 larger benchmark makes several passes over the corpus, so no table grows with it.  The corpus isn't
@@ -13,6 +14,7 @@ shuffled but for the union of passes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ from ._spark import documents
 
 #: 1 is a token that must agree, 0 one that may differ.  Each has six that must agree.
 MASKS = ("111111", "1101011001", "1110010101001", "101100100111")
+#: Items of fewer tokens get masks by their length.
+SHORT = 15
 CHUNK_TOKENS = 250_000
 _PREFILTER = 1 << 22
 
@@ -42,21 +46,29 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _text.hash_spans(folded, starts, ends), rows
 
 
-def _mask_picks(size: int) -> list[tuple[int, ...]]:
-    """The masks that fit an item of ``size`` tokens; a shorter item has one mask of all its tokens."""
-    fit = [tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS if len(m) <= size]
-    return fit or [tuple(range(size))]
+def _mask_picks(size: int, share: float) -> list[tuple[int, ...]]:
+    """The masks of an item of ``size`` tokens.
+
+    Short items, which only count as a whole, have masks of their own: with ``lost`` substitutions
+    allowed, two more blocks than that, and a mask for every choice of ``lost`` blocks to ignore.
+    One of them always agrees.
+    """
+    if size >= SHORT:
+        return [tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS]
+    lost = int((1 - share) * size + 1e-9)
+    blocks = np.array_split(range(size), min(size, lost + 2)) if lost else [range(size)]
+    return [tuple(int(k) for b in kept for k in b) for kept in combinations(blocks, len(blocks) - lost)]
 
 
 class Seeds:
     """Masked window hashes of one chunk of items."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], share: float = 0.8):
         self.items = items
         tables: dict[tuple[int, ...], list[np.ndarray]] = {}
         for k, (_, tokens) in enumerate(items):
-            for picks in _mask_picks(len(tokens)):
-                at = np.arange(len(tokens) - picks[-1])
+            for picks in _mask_picks(len(tokens), share):
+                at = np.arange(len(tokens) - picks[-1] if len(tokens) >= SHORT else 1)
                 rows = np.stack([_text.combine(tokens, at, picks, 99), np.full(len(at), k, np.uint64), at.astype(np.uint64)])
                 tables.setdefault(picks, []).append(rows)
         self.tables = {}
@@ -88,14 +100,21 @@ class Seeds:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
-def best_run(same: np.ndarray, share: float) -> tuple[int, int]:
-    """(matched tokens, length) of the run with the most surplus: matches count, substitutions cost share / (1 - share)."""
-    gain = np.where(same, 1.0, -share / (1 - share))
-    total = np.concatenate([[0.0], np.cumsum(gain)])
+def best_window(same: np.ndarray, share: float, least: int) -> int:
+    """Most matched tokens of any window of ``least`` tokens or more of which at least ``share`` match; 0 if there is none.
+
+    Prefix sums of match - share: a window qualifies if they don't fall over it.  For each end the
+    earliest such start, where the running minimum gets as low, gives the most matches.
+    """
+    if len(same) < least:
+        return 0
+    total = np.concatenate([[0.0], np.cumsum(same - share)])
     low = np.minimum.accumulate(total)
-    stop = int((total - low).argmax())
-    start = int(np.flatnonzero(total[: stop + 1] == low[stop])[0])
-    return int(same[start:stop].sum()), stop - start
+    start = np.searchsorted(-low, -total[least:] - 1e-9)
+    stop = np.arange(least, len(total))
+    good = stop - start >= least
+    matched = np.concatenate([[0], np.cumsum(same)])
+    return int((matched[stop] - matched[start])[good].max(initial=0))
 
 
 def _overlaps(tokens: np.ndarray, rows: np.ndarray, seeds: Seeds, share: float, least: int) -> Iterator[tuple[int, int, int]]:
@@ -103,8 +122,8 @@ def _overlaps(tokens: np.ndarray, rows: np.ndarray, seeds: Seeds, share: float,
     for row, item, diagonal in seeds.hits(tokens, rows).tolist():
         own, test = tokens[rows[row] : rows[row + 1]], seeds.items[item][1]
         start, stop = max(0, -diagonal), min(len(test), len(own) - diagonal)
-        matched, length = best_run(test[start:stop] == own[start + diagonal : stop + diagonal], share)
-        if length >= min(least, len(test)) and matched >= share * length:
+        matched = best_window(test[start:stop] == own[start + diagonal : stop + diagonal], share, min(least, len(test)))
+        if matched:
             yield row, item, matched
 
 
@@ -148,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, lea
 
 def _judge(shared, share: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds(shared.value)
+        seeds = Seeds(shared.value, share)
         for batch in batches:
             most, found = _scan(batch.column(1), seeds, share, least)
             yield pa.record_batch([batch.column(0), pa.array(most, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "overlap_tokens", "item_ids"])
@@ -183,14 +202,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, least: int
 def _pure(shared, share: float, least: int):
     @F.pandas_udf("boolean")
     def pure(text: pd.Series) -> pd.Series:
-        most, _ = _scan(pa.array(text, pa.string(), from_pandas=True), _seeds_of(shared), share, least)
+        most, _ = _scan(pa.array(text, pa.string(), from_pandas=True), _seeds_of(shared, share), share, least)
         return pd.Series([m == 0 for m in most])
 
     return pure
 
 
-def _seeds_of(shared) -> Seeds:
+def _seeds_of(shared, share: float) -> Seeds:
     """The seeds of a broadcast, made once per task."""
     if getattr(shared, "_seeds", None) is None:
-        shared._seeds = Seeds(shared.value)
+        shared._seeds = Seeds(shared.value, share)
     return shared._seeds

@@ -384,6 +384,36 @@ def test_contamination_by_planted_passages(spark):
         assert {r.doc_id for r in decontam.clean(docs, benchmark, budget=budget).collect()} == {3, 4}
 
 
+def brute_window(same: list[bool], least: int) -> int:
+    spans = ((i, j) for i in range(len(same)) for j in range(i + least, len(same) + 1))
+    return max((sum(same[i:j]) for i, j in spans if 5 * sum(same[i:j]) >= 4 * (j - i)), default=0)
+
+
+def test_best_window_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(400):
+        rate, least = rng.choice((0.05, 0.15, 0.25, 0.5)), rng.randrange(1, 17)
+        same = [rng.random() > rate for _ in range(rng.randrange(40))]
+        assert decontam.best_window(np.array(same, bool), 0.8, least) == brute_window(same, least)
+
+
+def test_contamination_with_substitutions_at_the_edges(spark):
+    rng = random.Random(8)
+    items = [[f"w{n}x{k}" for k in range(n)] for n in (3, 5, 7, 9, 12, 15, 16, 17, 20, 33)]
+    rows, want = [], {}
+    for item, words in enumerate(items):
+        n = len(words)
+        for lost in [{k} for k in range(n)] + [{0, n - 1}, {0, 1}, {n - 2, n - 1}, {1, n - 2}, {0, 1, n - 1}, {0, 1, 2}, {0, 1, 2, n - 1}, set(range(0, n, 3))]:
+            text = " ".join("zzz" if k in lost else w for k, w in enumerate(words))
+            rows.append((len(rows), f"{prose(20, rng)} {text} {prose(20, rng)}"))
+            matched = brute_window([k not in lost for k in range(n)], min(16, n))
+            want[len(rows) - 1] = (matched, [item] if matched else [])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {r.doc_id: (r.overlap_tokens, r.item_ids) for r in decontam.contamination(docs, benchmark).collect()} == want
+    assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == {k for k, (m, _) in want.items() if not m}
+
+
 def test_contamination_of_odd_rows(spark, odd, empty, sf_dir):
     benchmark = spark.createDataFrame([(1, odd_texts()[7][1])], "item_id long, text string")
     assert decontam.contamination(empty, benchmark).count() == 0

@@ -198,6 +198,12 @@ def token_counter(spark, sf_dir):
     return docs.select("doc_id", T.token_count("text").alias("n"))
 
 
+@query("token_counter_all")
+def token_counter_all(spark, sf_dir):
+    """Every document, those with digit groups too."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count("text").alias("n"))
+
+
 HEADS = [
     ("a.md", "# Nghị định 13/2023/NĐ-CP về dữ liệu\n\nTình trạng: Còn hiệu lực\n", "Nghị định 13/2023/NĐ-CP về dữ liệu", "13/2023/NĐ-CP", "còn hiệu lực"),
     ("b.md", "# Thông tư 05-2026-TT-BKHCN\nhết hiệu lực", "Thông tư 05-2026-TT-BKHCN", "05/2026/TT-BKHCN", "hết hiệu lực"),
@@ -493,6 +499,12 @@ def abstention(spark, sf_dir):
     return turns.select("conv_id", "turn", T.abstains("text").alias("abstains"))
 
 
+@query("abstention_all")
+def abstention_all(spark, sf_dir):
+    """Every turn, those with digit groups too."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.abstains("text").alias("abstains"))
+
+
 @query("judge_usage", f"with {support_sql()} select case when supported then 'entailed' else 'undecided' end as verdict, count(*) as n from support group by 1")
 def judge_usage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("premise"))

@@ -545,7 +545,7 @@ def stage_latency(spark, sf_dir):
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("lang").alias("metric"), F.col("doc_id").alias("question_id"), F.col("quality").cast("double").alias("value"))
-    return metrics.bootstrap_intervals(rows, 200)
+    return metrics.bootstrap_intervals(rows)
 
 
 GATE_VALUES = [("hit_at_3", 0.9), ("mrr", 0.6), ("groundedness", 0.85), ("critical_contradictions", 0.0), ("rubric", 3.9)]

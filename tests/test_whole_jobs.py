@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import unicodedata
 
+import numpy as np
+import pytest
+
 from docstrata import catalog
 from docstrata.functions import text as T
 
@@ -33,3 +37,14 @@ def test_every_turn_is_judged(spark, tmp_path):
     got = {r.turn: r.abstains for r in catalog.QUERIES["abstention_all"](spark, str(tmp_path)).collect()}
     assert got == {k: any(c in brute_normal(t) for c in T.ABSTENTION_CUES) if brute_normal(t) else None for k, t in enumerate(GROUPED)}
     assert got[6] is True and got[7] is True and got[3] is False
+
+
+def test_bootstrap_takes_a_thousand_resamples(spark, tmp_path):
+    quality = [(k * 7) % 5 % 2 for k in range(53)]
+    spark.createDataFrame([(k, "en") for k in range(53)], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    (got,) = catalog.QUERIES["bootstrap_ci"](spark, str(tmp_path)).collect()
+    rng = random.Random(20260101)
+    means = [sum(quality[rng.randrange(53)] for _ in range(53)) / 53 for _ in range(1000)]
+    assert (got.low, got.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    assert (got.low, got.high) != pytest.approx(tuple(np.quantile(means[:200], [0.025, 0.975])))

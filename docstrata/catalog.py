@@ -282,10 +282,11 @@ dense as (select query_id, vec_id as doc_id, round(list_cosine_similarity(embedd
   row_number() over (partition by query_id order by round(list_cosine_similarity(embedding::double[], q), 9) desc, vec_id) as rank from embeddings, q qualify rank <= 10)"""
 
 
-def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense_hits(spark: SparkSession, sf_dir: str, some: str = "query_id < 20", ids: DataFrame | None = None) -> DataFrame:
+    """The vectors under ``some`` as queries, or those of ``ids(query_id)``."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    queries = vectors.filter("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    return ranking.dense_search(vectors, queries, 10)
+    queries = vectors.select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    return ranking.dense_search(vectors, queries.filter(some) if ids is None else queries.join(ids, "query_id", "left_semi"), 10)
 
 
 @query("dense_topk", f"with {DENSE} select query_id, doc_id, round(score, 6) as score, rank from dense")
@@ -293,6 +294,12 @@ def dense_topk(spark, sf_dir):
     return dense_hits(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("dense_topk_all")
+def dense_topk_all(spark, sf_dir):
+    """One vector in fifty as a query, whatever the size of the table."""
+    return dense_hits(spark, sf_dir, "query_id % 50 = 0").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def fusion_sql(weights: dict[str, float]) -> str:
     case = " ".join(f"when '{c}' then {w}" for c, w in weights.items())
     return f"""with {DENSE.strip()}, {bm25_sql().strip()},
@@ -301,9 +308,13 @@ def fusion_sql(weights: dict[str, float]) -> str:
     select query_id, doc_id, round(score, 9) as score, row_number() over (partition by query_id order by score desc, seen, doc_id) as rank from fused qualify rank <= 10"""
 
 
-def fused(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None) -> DataFrame:
-    dense = dense_hits(spark, sf_dir).select("query_id", F.lit("vector").alias("channel"), F.lit(0).alias("channel_order"), "rank", "doc_id")
-    sparse = bm25_hits(spark, sf_dir).filter("query_id < 20").select("query_id", F.lit("bm25").alias("channel"), F.lit(1).alias("channel_order"), "rank", "doc_id")
+def fused(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None, whole: bool = False) -> DataFrame:
+    """The first queries of both channels, or ``whole``: all that have a passage and a vector."""
+    both = passages(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("query_id") == F.col("vec_id"), "left_semi").select("query_id").distinct()
+    hits, sparse = dense_hits(spark, sf_dir, ids=both if whole else None), bm25_hits(spark, sf_dir)
+    dense = hits.select("query_id", F.lit("vector").alias("channel"), F.lit(0).alias("channel_order"), "rank", "doc_id")
+    sparse = sparse.join(both, "query_id", "left_semi") if whole else sparse.filter("query_id < 20")
+    sparse = sparse.select("query_id", F.lit("bm25").alias("channel"), F.lit(1).alias("channel_order"), "rank", "doc_id")
     return ranking.fuse(dense.unionByName(sparse), weights).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -317,14 +328,24 @@ def rrf_weighted(spark, sf_dir):
     return fused(spark, sf_dir, retrieval.WEIGHTS)
 
 
+@query("rrf_fuse_all")
+def rrf_fuse_all(spark, sf_dir):
+    return fused(spark, sf_dir, None, whole=True)
+
+
+@query("rrf_weighted_all")
+def rrf_weighted_all(spark, sf_dir):
+    return fused(spark, sf_dir, retrieval.WEIGHTS, whole=True)
+
+
 COVER = f"list_distinct(regexp_extract_all({normal('{0}')}, '{MATCH}'))"
 
 
 @query("hybrid_retrieve")
 def hybrid_retrieve(spark, sf_dir):
-    """Two channels fused and reranked by token coverage."""
+    """Two channels fused and reranked by token coverage; every passage with a vector has both."""
     docs, queries = table(spark, sf_dir, "documents").select("doc_id", "text"), passages(spark, sf_dir)
-    channels = {"bm25": bm25_hits(spark, sf_dir), "vector": dense_hits(spark, sf_dir)}
+    channels = {"bm25": bm25_hits(spark, sf_dir), "vector": dense_hits(spark, sf_dir, ids=queries.select("query_id"))}
     return retrieval.hybrid(channels, docs, queries)
 
 
@@ -813,8 +834,18 @@ def pagerank(spark, sf_dir):
 with n as (select vec_id as q, embedding::double[] as v from embeddings where vec_id < 50), s as (select q, vec_id, round(list_cosine_similarity(v, embedding::double[]), 9) as s from n, embeddings where label <> 3)
 select q as query_id, vec_id as doc_id from s where s >= 0.4 qualify row_number() over (partition by q order by s desc, vec_id) = 1""")
 def entity_link(spark, sf_dir):
+    return entity_links(spark, sf_dir, "doc_id < 50")
+
+
+@query("entity_link_all")
+def entity_link_all(spark, sf_dir):
+    """Every name."""
+    return entity_links(spark, sf_dir, "true")
+
+
+def entity_links(spark: SparkSession, sf_dir: str, some: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
-    names = vectors.filter("doc_id < 50").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    names = vectors.filter(some).select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
     usable = vectors.withColumn("label", F.col("label").cast("string"))
     return graph_link(names, usable).select("query_id", "doc_id")
 

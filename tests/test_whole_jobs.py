@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from docstrata import catalog
+from docstrata.plans import retrieval
 from docstrata.functions import text as T
 
 GROUPED = [
@@ -48,3 +49,65 @@ def test_bootstrap_takes_a_thousand_resamples(spark, tmp_path):
     means = [sum(quality[rng.randrange(53)] for _ in range(53)) / 53 for _ in range(1000)]
     assert (got.low, got.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
     assert (got.low, got.high) != pytest.approx(tuple(np.quantile(means[:200], [0.025, 0.975])))
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """Passages 0 to 29, each in one document, and vectors 0 to 119."""
+    folder = str(tmp_path_factory.mktemp("vectors"))
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((120, 8)).round(3)
+    spark.createDataFrame([(k, x[k].tolist(), k % 5) for k in range(120)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k}") for k in range(30)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} common") for k in range(120)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return folder, (x @ x.T).round(9)
+
+
+def brute_top(scores: np.ndarray, k: int) -> list[int]:
+    return sorted(range(len(scores)), key=lambda d: (-scores[d], d))[:k]
+
+
+def brute_fused(near: list[int], own: int, weights: dict[str, float]) -> list[int]:
+    score, seen = {}, {}
+    for channel, order, found in (("vector", 0, near), ("bm25", 1, [own])):
+        for rank, d in enumerate(found, 1):
+            score[d] = score.get(d, 0) + weights.get(channel, 1) / (60 + rank)
+            seen.setdefault(d, (order, rank))
+    return sorted(score, key=lambda d: (-round(score[d], 12), seen[d], d))[:10]
+
+
+def ranked(rows, k: str = "query_id") -> dict:
+    out = {}
+    for r in sorted(rows, key=lambda r: (r[k], r["rank"])):
+        out.setdefault(r[k], []).append(r.doc_id)
+    return out
+
+
+def test_dense_search_of_one_in_fifty(spark, vectors):
+    folder, cosine = vectors
+    assert ranked(catalog.QUERIES["dense_topk_all"](spark, folder).collect()) == {q: brute_top(cosine[q], 10) for q in (0, 50, 100)}
+
+
+@pytest.mark.parametrize("name, weights", [("rrf_fuse_all", {}), ("rrf_weighted_all", retrieval.WEIGHTS)])
+def test_fusion_of_all_common_queries(spark, vectors, name, weights):
+    folder, cosine = vectors
+    assert ranked(catalog.QUERIES[name](spark, folder).collect()) == {q: brute_fused(brute_top(cosine[q], 10), q, weights) for q in range(30)}
+
+
+def test_every_passage_has_both_channels(spark, vectors):
+    folder, cosine = vectors
+    got = ranked(catalog.QUERIES["hybrid_retrieve"](spark, folder).collect())
+    assert set(got) == set(range(30))
+    for q, found in got.items():
+        candidates = brute_fused(brute_top(cosine[q], 10), q, retrieval.WEIGHTS)
+        assert found[0] == q and len(found) == 5 and set(found) <= set(candidates)
+
+
+def test_every_name_is_linked(spark, vectors):
+    folder, cosine = vectors
+    usable = [d for d in range(120) if d % 5 != 3]
+    want = {q: min(usable, key=lambda d: (-cosine[q][d], d)) for q in range(120)}
+    got = {r.query_id: r.doc_id for r in catalog.QUERIES["entity_link_all"](spark, folder).collect()}
+    assert got == {q: d for q, d in want.items() if cosine[q][d] >= 0.4}

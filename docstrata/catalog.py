@@ -816,6 +816,16 @@ def one_hop(spark, sf_dir):
     return graph.one_hop(edges.filter("src like 'c1%'").select(F.col("src").alias("id")).distinct(), edges)
 
 
+def builders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id)`` of the customers of one market segment, wherever they are."""
+    return table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+
+
+@query("one_hop_segment")
+def one_hop_segment(spark, sf_dir):
+    return graph.one_hop(builders(spark, sf_dir).distinct(), geography(spark, sf_dir))
+
+
 @query("pagerank", f"""
 with recursive {GEOGRAPHY.strip()},
 d as (select src, count(*) as k from e group by src), nodes as (select src as id from e union select dst from e),
@@ -830,6 +840,13 @@ def pagerank(spark, sf_dir):
     return graph.personalized_pagerank(edges.select("src", "dst"), seeds, rounds=2).select("id", F.round("score", 9).alias("score"))
 
 
+@query("pagerank_segment")
+def pagerank_segment(spark, sf_dir):
+    """With the operator's own number of rounds."""
+    edges = geography(spark, sf_dir).select("src", "dst")
+    return graph.personalized_pagerank(edges, builders(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
+
+
 @query("entity_link", """
 with n as (select vec_id as q, embedding::double[] as v from embeddings where vec_id < 50), s as (select q, vec_id, round(list_cosine_similarity(v, embedding::double[]), 9) as s from n, embeddings where label <> 3)
 select q as query_id, vec_id as doc_id from s where s >= 0.4 qualify row_number() over (partition by q order by s desc, vec_id) = 1""")

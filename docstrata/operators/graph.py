@@ -204,17 +204,22 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 10,
     Edges are partitioned by source once; only scores move in each round, and lineage is cut every few.
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    out = edges.join(degree, "src").select("src", "dst", "degree")
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(seeds.select("id")).distinct()
     n = seeds.select("id").distinct().count()
     restart = seeds.select("id").distinct().withColumn("restart", F.lit(1.0 / max(n, 1)))
-    score = nodes.join(restart, "id", "left").select("id", F.coalesce("restart", F.lit(0.0)).alias("restart")).withColumn("score", F.col("restart"))
+    sinks = nodes.join(degree, nodes["id"] == degree["src"], "left").select("id", F.col("src").isNull().alias("sink"))
+    score = sinks.join(restart, "id", "left").select("id", F.coalesce("restart", F.lit(0.0)).alias("restart"), "sink").withColumn("score", F.col("restart"))
+    # Each node has an edge to itself without a degree, which keeps it and carries its restart share: a round reads the scores
+    # in one join and for the mass of sinks, as each reading repeats the plan of all rounds since lineage was cut.
+    out = edges.join(degree, "src").select("src", "dst", "degree").union(nodes.select("id", "id", F.lit(None).cast("long")))
     for k in range(rounds):
-        sent = score.join(out, score["id"] == out["src"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-        kept = F.coalesce("got", F.lit(0.0))
-        lost = score.join(degree, score["id"] == degree["src"], "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        base = score.select("id", "restart").join(sent, F.col("id") == F.col("dst"), "left").join(F.broadcast(lost), how="cross")
-        score = base.select("id", "restart", (damping * (kept + F.col("lost") * F.col("restart")) + (1 - damping) * F.col("restart")).alias("score"))
+        own = F.col("degree").isNull()
+        lost = score.filter("sink").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+        sent = score.join(out, score["id"] == out["src"]).groupBy("dst").agg(
+            F.coalesce(F.sum(F.when(~own, F.col("score") / F.col("degree"))), F.lit(0.0)).alias("kept"), F.max(F.when(own, F.col("restart"))).alias("restart"), F.max(F.when(own, F.col("sink"))).alias("sink"),
+        )
+        after = damping * (F.col("kept") + F.col("lost") * F.col("restart")) + (1 - damping) * F.col("restart")
+        score = sent.join(F.broadcast(lost), how="cross").select(F.col("dst").alias("id"), "restart", "sink", after.alias("score"))
         if (k + 1) % checkpoint_every == 0 and edges.sparkSession.conf.get("spark.checkpoint.dir", None):
             score = score.checkpoint()
     return score.select("id", "score")

@@ -111,3 +111,34 @@ def test_every_name_is_linked(spark, vectors):
     want = {q: min(usable, key=lambda d: (-cosine[q][d], d)) for q in range(120)}
     got = {r.query_id: r.doc_id for r in catalog.QUERIES["entity_link_all"](spark, folder).collect()}
     assert got == {q: d for q, d in want.items() if cosine[q][d] >= 0.4}
+
+
+@pytest.fixture(scope="module")
+def customers(spark, tmp_path_factory):
+    """Twelve customers in four nations in two regions; edges and seeds as Python."""
+    folder = str(tmp_path_factory.mktemp("customers"))
+    rows = [(k, k * k % 4, ("BUILDING", "MACHINERY", None)[k % 3]) for k in range(12)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(n, n % 2) for n in range(4)], "n_nationkey int, n_regionkey int").write.parquet(f"{folder}/nation.parquet")
+    edges = [(f"c{k}", "in", f"n{n}") for k, n, _ in rows] + [(f"n{n}", "part", f"r{n % 2}") for n in range(4)]
+    return folder, edges, [f"c{k}" for k, _, segment in rows if segment == "BUILDING"]
+
+
+def test_one_hop_from_a_segment(spark, customers):
+    folder, edges, seeds = customers
+    got = [tuple(r) for r in catalog.QUERIES["one_hop_segment"](spark, folder).select("src", "label", "dst").collect()]
+    assert sorted(got) == sorted(e for e in edges if e[0] in seeds)
+
+
+def test_pagerank_takes_ten_rounds(spark, customers):
+    folder, edges, seeds = customers
+    names = sorted({x for s, _, d in edges for x in (s, d)})
+    restart = {x: (x in seeds) / len(seeds) for x in names}
+    out = {x: [d for s, _, d in edges if s == x] for x in names}
+    rounds = [restart]
+    for _ in range(10):
+        last = rounds[-1]
+        lost = sum(last[x] for x in names if not out[x])
+        rounds.append({x: 0.85 * (sum(last[s] / len(out[s]) for s in names if x in out[s]) + lost * restart[x]) + 0.15 * restart[x] for x in names})
+    got = {r.id: r.score for r in catalog.QUERIES["pagerank_segment"](spark, folder).collect()}
+    assert got == pytest.approx(rounds[10], abs=1e-8) and got != pytest.approx(rounds[2], abs=1e-3)

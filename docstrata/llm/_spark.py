@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -13,24 +14,55 @@ from ..ship import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset and all executors are threads of this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "docstrata-shared")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder, deleted when the driver's Python ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/docstrata-{context.applicationId}"
+    known = getattr(context, "_docstrata_dirs", set())
+    if path not in known:
+        context._docstrata_dirs = known | {path}
+
+        def clean() -> None:
+            if context._jsc is not None:
+                _delete(spark, path)
+
+        atexit.register(clean)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     Unlike a local checkpoint the files outlive any executor, and unlike ``checkpoint()`` they are
-    columnar and compressed.
+    columnar and compressed.  ``dropped`` deletes them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._docstrata_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no plan needs any longer."""
+    for df in tables:
+        _delete(df.sparkSession, df._docstrata_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

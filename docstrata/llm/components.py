@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import dropped, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(now.filter("u is not null and v is not null and u <> v").distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        now = written(_star(_star(now, True), False), "stars")
+        last, now = now, written(_star(_star(now, True), False), "stars")
+        dropped(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -4,20 +4,22 @@ After Yu & Weber, "HyperMinHash: MinHash in LogLog space".  Each document's shin
 buckets; a register keeps, of the smallest hash in its bucket, the leading-zero count and the first
 mantissa bits, in two bytes.
 
-1. Documents with equal shingle sets form a class; only one document of each class goes on.
-2. Bands of six compressed registers are the candidate keys.  Sets of few shingles, for which
-   registers are sparse, get the keys of an exact prefix filter instead (or besides): any two sets
-   at the threshold share one of their smallest ``n - ceil(t n) + 1`` hashes.
-3. Stars: in each key's group every member is paired with a few pivots, never all with all.
-   Registers give a collision-corrected Jaccard estimate; pairs clearly below the threshold go, the
-   rest are confirmed on full shingle sets.
-4. Residue: where a key's group still holds several components, members outside the pivot's
-   component meet the members of other components, streamed in bounded blocks, so that no link
-   between texts that share a key is lost.  Estimates and confirmation are as before.
-5. Components of confirmed links give each document its smallest reachable doc_id.
-
-Shingles are 64-bit hashes.  With 80 bands of six, two sets at Jaccard 0.75 share no key with
-probability 2e-7.
+1. Documents with equal shingle sets form a class, known by a digest of the set; a class counts once.
+2. Bands of seven compressed registers are the candidate keys.  An empty register borrows that
+   of the filled bucket which comes first in the empty one's own random order of buckets, and the
+   borrower keeps the lender's number, so sets of any size agree in a register with probability
+   about J, and sets that share a few shingles among many share no band.
+3. Classes that share keys form clusters (components of candidate edges: ids only, no texts).
+4. A cluster of bounded size meets in one task.  Registers give a collision-corrected Jaccard
+   estimate; pairs clearly below the threshold go, the rest are verified on full shingle sets, unless
+   links have already joined the two.  Only links that join two parts leave the task, so nothing grows
+   with the square of a group.
+5. A cluster beyond the bound is split: its classes meet by shared key, and those of a key beyond the
+   bound in all pairs of parts of bounded size.  That loses no pair that shares a key.
+6. Components of verified links give each document its smallest reachable doc_id.
+
+Shingles are 64-bit hashes, and so are digests.  With 90 bands of seven, two sets at Jaccard 0.75
+share no key with probability 3e-6.
 """
 
 from __future__ import annotations
@@ -31,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import documents, written
+from ._spark import documents, dropped, written
 from .components import components
 
-BANDS, WIDTH = 80, 6
+BANDS, WIDTH = 90, 7
 REGISTERS = BANDS * WIDTH
 MANTISSA = 10
-SMALL, SPARSE = 86, 64  # sets up to SMALL get prefix keys, sets from SPARSE get band keys: ratios from 0.75 overlap
-BLOCK = 512
+#: What one task gathers at most: so many classes, with so many shingles in all (8 bytes each).
+MEMBERS, SHINGLES = 4096, 1 << 22
 
 
 def _doc_shingles(column: pa.Array) -> Iterator[np.ndarray]:
@@ -118,191 +120,184 @@ def passes(a, b, n, m, threshold: float) -> np.ndarray:
     return (value >= threshold - 5 * spread - 0.01) | (used < 32)
 
 
-def _prefix(hashes: np.ndarray, percent: int) -> np.ndarray:
-    n = len(hashes)
-    return hashes[: n - -(-percent * n // 100) + 1]
-
-
-def signatures(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``(doc_id, n_shingles, k1, k2, regs, small)``: set size, set key, registers, prefix keys of small sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, one, two, regs, small = [], [], [], [], []
-            for h in _doc_shingles(batch.column(1)):
-                sizes.append(len(h))
-                one.append(int(_text.mix(h, 1).sum(dtype=np.uint64).astype(np.int64)))
-                two.append(int(_text.mix(h, 2).sum(dtype=np.uint64).astype(np.int64)))
-                regs.append(registers(h).astype("<u2").tobytes())
-                small.append(_prefix(h, percent).astype(np.int64) if len(h) <= SMALL else None)
-            columns = [
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                pa.array(regs, pa.binary()), pa.array(small, pa.list_(pa.int64())),
-            ]
-            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "k1", "k2", "regs", "small"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, regs binary, small array<long>")
-
-
-def _keys(reps: DataFrame) -> DataFrame:
-    """``(key, band, id)``: band keys and prefix keys (band -1) of class representatives."""
-    step = 2 * WIDTH
-    cut = lambda k: F.substring("regs", k * step + 1, step)
-    empty = F.unhex(F.lit("00" * step))
-    bands = F.array(*(F.when((F.col("n_shingles") >= SPARSE) & (cut(k) != empty), F.struct(F.xxhash64(cut(k), F.lit(k)).alias("key"), F.lit(k).alias("band"))) for k in range(BANDS)))
-    prefix = F.transform(F.coalesce("small", F.array().cast("array<long>")), lambda x: F.struct(F.xxhash64(x, F.lit(-1)).alias("key"), F.lit(-1).alias("band")))
-    keys = F.array_compact(F.concat(bands, prefix))
-    # The outer form, since for the other one the optimizer adds a filter that evaluates the array again.
-    return reps.select(F.explode_outer(keys).alias("k"), "id").select("k.key", "k.band", "id").filter("key is not null")
+@functools.cache
+def _lenders() -> np.ndarray:
+    """For each bucket its own random order of all buckets, as ranks."""
+    return np.argsort(np.argsort(_text.mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64), 11).reshape(REGISTERS, REGISTERS), axis=1), axis=1).astype(np.uint16)
 
 
-def _register_pairs(batch: pa.RecordBatch, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(_stack(batch.column(n)) for n in names)
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band of a document's registers, of which at least one is filled."""
+    lender = np.arange(REGISTERS)
+    filled, empty = np.flatnonzero(regs), np.flatnonzero(regs == 0)
+    if len(empty):
+        lender[empty] = filled[_lenders()[np.ix_(empty, filled)].argmin(axis=1)]
+    values = (lender.astype(np.uint64) << np.uint64(16)) | regs[lender]
+    at = np.arange(BANDS) * WIDTH
+    return _text.mix(_text.combine(_text.mix(values, 5), at, tuple(range(WIDTH)), 3) + np.arange(BANDS, dtype=np.uint64), 6)
 
 
-def _stack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
+def digest(hashes: np.ndarray) -> int:
+    return int(_text.mix(_text.mix(hashes, 1).sum(dtype=np.uint64)[None] + np.uint64(len(hashes)), 2).astype(np.int64)[0])
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the registers don't rule out."""
-    own = reps.select("id", "regs", "n_shingles")
-    sides = pairs
-    for side in ("a", "b"):
-        sides = sides.join(own.select(F.col("id").alias(side), F.col("regs").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}")), side)
+def signatures(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, digest, keys)``: set size, digest of the set, band keys (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                if not len(batch):
-                    continue
-                n, m = (np.asarray(batch.column(x)) for x in ("na", "nb"))
-                keep = passes(*_register_pairs(batch, ("ra", "rb")), n, m, percent / 100)
-                keep &= np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for batch in batches:
+            sizes, marks, keys = [], [], []
+            for h in _doc_shingles(batch.column(1)):
+                sizes.append(len(h))
+                marks.append(digest(h))
+                keys.append(band_keys(registers(h)).astype(np.int64) if len(h) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "digest", "keys"])
 
-    return sides.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest long, keys array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
+def _meetings(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``(id, g1, g2, g3)``: the groups in which each class meets others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, size, at = [], 0, 0
-            for k, h in enumerate(_doc_shingles(batch.column(1))):
-                held.append(h.astype(np.int64))
-                size += len(h)
-                if size > 1 << 20 or k == len(batch) - 1:
-                    yield pa.record_batch([batch.column(0)[at : k + 1], pa.array(held, pa.list_(pa.int64()))], names=["id", "set"])
-                    held, size, at = [], 0, k + 1
-
-    # A doc_id with several texts would stand for several sets; each class has one, chosen by its key.
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "id long, set array<long>")
-    sets = written(sets, "sets")
-    left, right = (sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")) for x in ("a", "b"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    return both.filter(F.col("common") * 100 >= union * percent).select("a", "b")
-
-
-def _residue(keys: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a key across components and whose estimate passes.
-
-    In each key's group the members outside its largest component are probes; they come in blocks
-    and meet every member that isn't of their own component.
+    ``rows(key, id)`` are shared keys, ``members(id, cluster, n)`` the classes that have any.  A group
+    is a cluster (g2 = -1), or a key with two parts of it.
     """
-    held = written(keys.join(labels, "id"), "residue")
-    parts = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-    groups = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.sum("n").alias("size"), F.max("n").alias("most"))
-    groups = groups.filter("most < size").select("key", "home", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("blocks"))
-    rows = held.join(groups, "key").join(reps.select("id", "regs", "n_shingles"), "id")
-    members = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    probes = rows.filter("component <> home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-    columns = ["key", "band", "block", "side", "id", "component", "n_shingles", "regs"]
-    both = probes.select(columns).union(members.select(columns)).repartition("key", "block").sortWithinPartitions("key", "block", "side", "id")
+    held = lambda by: members.groupBy(by).agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    fits = (F.col("classes") <= MEMBERS) & (F.col("shingles") <= SHINGLES)
+    small = members.join(held("cluster").filter(fits).select("cluster"), "cluster")
+    large = members.join(held("cluster").filter(~fits).select("cluster"), "cluster").select("id", "n")
+    wide = rows.join(large, "id")
+    sizes = wide.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).filter("classes > 1")
+    parts = F.ceil(F.greatest(F.col("classes") / (MEMBERS // 2), F.col("shingles") / (SHINGLES // 2))).cast("int")
+    sizes = sizes.select("key", F.when(fits, 1).otherwise(parts).alias("parts"))
+    split = wide.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = split.select("id", F.col("key").alias("g1"), F.least("own", "other").alias("g2"), F.greatest("own", "other").alias("g3"))
+    return small.select("id", F.col("cluster").alias("g1"), F.lit(-1).alias("g2"), F.lit(-1).alias("g3")).union(split)
+
+
+def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(id, set, regs, groups)`` for the documents that stand for classes, ``chosen(doc_id, id, groups)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, probe = None, None
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                if not len(batch):
-                    continue
-                cols = {n: np.asarray(batch.column(n)) for n in columns[:-1]}
-                regs = _stack(batch.column("regs"))
-                change = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["block"]) != 0) | (np.diff(cols["side"]) != 0)) + 1
-                found = []
-                for s, e in zip([0, *change.tolist()], [*change.tolist(), len(batch)], strict=True):
-                    now = (cols["key"][s], cols["block"][s])
-                    part = [cols["id"][s:e], cols["component"][s:e], cols["n_shingles"][s:e], regs[s:e]]
-                    if cols["side"][s] == 0:
-                        probe = [np.concatenate(x) for x in zip(probe, part, strict=True)] if group == now else part
-                        group = now
-                    elif group == now:
-                        found += _cross(probe, part, int(cols["band"][s]), percent)
-                if found:
-                    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _cross(probe: list[np.ndarray], part: list[np.ndarray], band: int, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of other components that pass, if this is the first band that they share."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(len(probe[0])):
-        n = probe[2][k]
-        other = np.flatnonzero((part[1] != probe[1][k]) & (np.minimum(n, part[2]) * 100 >= np.maximum(n, part[2]) * percent))
+        for batch in batches:
+            ids = batch.column(1).to_numpy()
+            at, sets, regs, size = [], [], [], 0
+            for k, h in enumerate(_doc_shingles(batch.column(0))):
+                if digest(h) == ids[k]:  # a doc_id may have other texts, too
+                    at.append(k)
+                    sets.append(h.tobytes())
+                    regs.append(registers(h).astype("<u2").tobytes())
+                    size += len(h)
+                if at and (size > 1 << 20 or k == len(batch) - 1):
+                    rows = pa.array(at)
+                    yield pa.record_batch([batch.column(1).take(rows), pa.array(sets, pa.binary()), pa.array(regs, pa.binary()), batch.column(2).take(rows)], names=["id", "set", "regs", "groups"])
+                    at, sets, regs, size = [], [], [], 0
+
+    groups = "array<struct<g1:long,g2:int,g3:int>>"
+    held = docs.join(chosen, "doc_id").select("text", "id", "groups")
+    return held.mapInArrow(run, f"id long, set binary, regs binary, groups {groups}")
+
+
+def joining_links(sets: list[np.ndarray], regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets (by position) that join all that any links join: a spanning forest."""
+    n = np.array([len(s) for s in sets])
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    has = np.zeros(offsets[-1], bool)
+    part = np.arange(len(sets))
+    found = []
+    for i in range(len(sets) - 1):
+        other = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        other = other[np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * percent]
+        if len(other):
+            other = other[passes(np.broadcast_to(regs[i], (len(other), REGISTERS)), regs[other], np.full(len(other), n[i]), n[other], percent / 100)]
         if not len(other):
             continue
-        ids, m, b = part[0][other], part[2][other], part[3][other]
-        a = np.broadcast_to(probe[3][k], b.shape)
-        keep = passes(a, b, np.full(len(ids), n), m, percent / 100)
-        if band >= 0 and keep.any():
-            same = ((a == b).reshape(-1, BANDS, WIDTH).all(2)) & (b.reshape(-1, BANDS, WIDTH).any(2))
-            keep &= same.argmax(1) == band
-        found.append((np.full(int(keep.sum()), probe[0][k]), ids[keep]))
+        own = shingle[offsets[i] : offsets[i + 1]]
+        has[own] = True
+        for at in range(0, len(other), 256):
+            some = other[at : at + 256]
+            some = some[part[some] != part[i]]
+            if not len(some):
+                continue
+            ends = np.cumsum(n[some])
+            spots = np.arange(ends[-1]) + np.repeat(offsets[some] - (ends - n[some]), n[some])
+            common = np.add.reduceat(has[shingle[spots]].astype(np.int64), ends - n[some])
+            linked = some[common * 100 >= (n[some] + n[i] - common) * percent]
+            while len(linked):
+                found.append((i, int(linked[0])))
+                part[part == part[linked[0]]] = part[i]
+                linked = linked[part[linked] != part[i]]
+        has[own] = False
     return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, pivots: int = 4) -> DataFrame:
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """Verified links ``(a, b)`` inside the groups of ``rows(g1, g2, g3, id, set, regs)``."""
+
+    def solved(ids: list[int], sets: list[bytes], regs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(ids) > 1:
+            pairs = joining_links([np.frombuffer(s, "<u8") for s in sets], np.frombuffer(b"".join(regs), "<u2").reshape(-1, REGISTERS), percent)
+            if pairs:
+                a, b = zip(*((ids[i], ids[j]) for i, j in pairs), strict=True)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, ([], [], [])
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("g1", "g2", "g3", "id")), strict=True)
+            sets, regs = batch.column("set"), batch.column("regs")
+            for k, (*now, i) in enumerate(keys):
+                if now != group:
+                    yield from solved(*held)
+                    group, held = now, ([], [], [])
+                if not held[0] or held[0][-1] != i:  # repeated rows come one after the other
+                    for to, value in zip(held, (i, sets[k].as_py(), regs[k].as_py()), strict=True):
+                        to.append(value)
+        yield from solved(*held)
+
+    placed = rows.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "id")
+    return placed.select("g1", "g2", "g3", "id", "set", "regs").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row with doc_id and text.
 
     Two documents are linked if 100 |A and B| >= ``percent`` |A or B| over their sets of 5-word
     shingles.  Null or empty text: no shingles, linked with nothing, its own component.  Rows with
-    one doc_id count as one document: all are kept or none.  Null doc_id: linked with nothing, with
-    component null and kept true.
+    one doc_id count as one document, linked by any of their texts: all are kept or none.  Null
+    doc_id: linked with nothing, with component null and kept true.
     """
     own = documents(docs)
-    marks = written(signatures(own, percent), "signatures")
+    marks = written(signatures(own), "signatures")
     full = marks.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    named = full.join(classes, ["k1", "k2"])
-    reps = named.filter("doc_id = rep").dropDuplicates(["k1", "k2"])
-    reps = written(reps.select(F.col("doc_id").alias("id"), "n_shingles", "regs", "small"), "reps").dropDuplicates(["id"])
-    copies = named.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    # Keys with one member find nothing: only shared ones are kept.
-    keys = _keys(reps)
-    picks = F.min_by("id", F.xxhash64("id", F.pmod("key", F.lit(pivots)))).alias("pivot")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), picks).filter("n > 1").select("key", "pivot")
-    keys = written(keys.join(shared, "key"), "keys")
-    stars = keys.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links = written(_confirmed(written(_estimated(stars, reps, percent), "stars"), own, percent), "links")
-
-    labels = components(links)
-    involved = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").select("key")
-    wide = keys.join(involved, "key", "left_semi").select("key", "band", "id")
-    labels = wide.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    rest = written(_residue(wide, labels, reps, percent).distinct(), "rest")
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(written(rest, "open"), own, percent)
-
-    final = components(links.union(more).union(copies))
-    out = marks.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+
+    # Keys of one class find nothing: only shared ones are kept.
+    keys = full.select(F.explode_outer("keys").alias("key"), F.col("digest").alias("id"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low")
+    rows = written(keys.join(shared, "key").distinct(), "shared-keys")
+    clusters = components(rows.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    members = clusters.withColumnRenamed("component", "cluster").join(classes.withColumnRenamed("digest", "id"), "id")
+    members = written(members.select("id", "cluster", "n", "rep"), "members")
+    meetings = _meetings(rows.select("key", "id"), members.select("id", "cluster", "n"))
+    groups = meetings.groupBy("id").agg(F.collect_list(F.struct("g1", "g2", "g3")).alias("groups"))
+    chosen = written(members.join(groups, "id").select(F.col("rep").alias("doc_id"), "id", "groups"), "chosen")
+    met = _sets(own, chosen).select("id", "set", "regs", F.explode("groups").alias("g")).select("g.*", "id", "set", "regs")
+    links = written(_links(met, percent), "links")
+    dropped(rows, members, chosen)
+
+    # A doc_id with several texts joins their classes.
+    twice = full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id", "a")
+    both = full.select("doc_id", F.col("digest").alias("b")).join(twice, "doc_id").select("a", "b")
+    joined = components(links.union(both)).withColumnRenamed("id", "digest")
+    named = classes.join(joined, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = named.join(lowest, "component").select("digest", "component_id")
+    of_doc = full.select("doc_id", "digest").distinct().join(of_class, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = marks.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = written(out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))), "near-duplicates")
+    dropped(marks, classes, links)
+    return out

@@ -248,6 +248,41 @@ def test_a_large_group_keeps_all_links(spark):
     assert got == brute_components(rows)
 
 
+def test_split_groups_keep_all_links(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", 16)
+    rng = random.Random(10)
+    rows = []
+    for size in (30, 120):
+        base = prose(size, rng)
+        rows += [base] + [edited(base, rng.choice([0, 1, 2, 3]), rng) for _ in range(60)]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_joining_links_join_what_all_links_join():
+    rng = random.Random(12)
+    base = prose(80, rng)
+    texts = [base] + [edited(base, rng.choice([1, 2, 3, 4, 6]), rng) for _ in range(40)]
+    sets = list(neardup._doc_shingles(pa.array(texts)))
+    regs = np.array([neardup.registers(s) for s in sets])
+    root = {i: {i} for i in range(len(sets))}
+    for i, j in neardup.joining_links(sets, regs, 75):
+        assert root[i] is not root[j]
+        root[i] |= root[j]
+        for k in root[i]:
+            root[k] = root[i]
+    assert {i: min(r) for i, r in root.items()} == {i: c for i, (_, c) in brute_components(list(enumerate(texts))).items()}
+
+
+def test_a_doc_id_with_two_texts_joins_their_groups(spark):
+    rng = random.Random(13)
+    one, two = prose(50, rng), prose(70, rng)
+    rows = [(1, one), (2, two), (3, one), (3, two), (3, None), (4, prose(40, rng))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (3, 1, False), (4, 4, True)]
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
     rows = neardup.near_duplicates(odd).collect()

@@ -41,6 +41,8 @@ REGISTERS = BANDS * WIDTH
 MANTISSA = 10
 #: What one task gathers at most: so many classes, with so many shingles in all (8 bytes each).
 MEMBERS, SHINGLES = 4096, 1 << 22
+#: Up to so many classes with partners, of three longs each (about 100 MB), are broadcast to fetch their texts; beyond, the texts are shuffled.
+FEW = 1 << 21
 
 
 def _doc_shingles(column: pa.Array) -> Iterator[np.ndarray]:
@@ -157,28 +159,26 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest long, keys array<long>")
 
 
-def _meetings(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """``(id, g1, g2, g3)``: the groups in which each class meets others.
+def _split(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``(id, g1, g2, g3)``: the groups in which classes of clusters beyond the bound meet: a key with two parts of it.
 
-    ``rows(key, id)`` are shared keys, ``members(id, cluster, n)`` the classes that have any.  A group
-    is a cluster (g2 = -1), or a key with two parts of it.
+    ``rows(key, id)`` are shared keys, ``large(id, n)`` the classes and the sizes of their sets.
     """
-    held = lambda by: members.groupBy(by).agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
-    fits = (F.col("classes") <= MEMBERS) & (F.col("shingles") <= SHINGLES)
-    small = members.join(held("cluster").filter(fits).select("cluster"), "cluster")
-    large = members.join(held("cluster").filter(~fits).select("cluster"), "cluster").select("id", "n")
     wide = rows.join(large, "id")
     sizes = wide.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).filter("classes > 1")
     parts = F.ceil(F.greatest(F.col("classes") / (MEMBERS // 2), F.col("shingles") / (SHINGLES // 2))).cast("int")
-    sizes = sizes.select("key", F.when(fits, 1).otherwise(parts).alias("parts"))
+    sizes = sizes.select("key", F.when(_fits(), 1).otherwise(parts).alias("parts"))
     split = wide.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.select("id", F.col("key").alias("g1"), F.least("own", "other").alias("g2"), F.greatest("own", "other").alias("g3"))
-    return small.select("id", F.col("cluster").alias("g1"), F.lit(-1).alias("g2"), F.lit(-1).alias("g3")).union(split)
+    return split.select("id", F.col("key").alias("g1"), F.least("own", "other").alias("g2"), F.greatest("own", "other").alias("g3"))
+
+
+def _fits() -> F.Column:
+    return (F.col("classes") <= MEMBERS) & (F.col("shingles") <= SHINGLES)
 
 
 def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``(id, set, regs, groups)`` for the documents that stand for classes, ``chosen(doc_id, id, groups)``."""
+    """``(id, cluster, set, regs)`` for the documents that stand for classes, ``chosen(doc_id, id, cluster)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,12 +192,12 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                     size += len(h)
                 if at and (size > 1 << 20 or k == len(batch) - 1):
                     rows = pa.array(at)
-                    yield pa.record_batch([batch.column(1).take(rows), pa.array(sets, pa.binary()), pa.array(regs, pa.binary()), batch.column(2).take(rows)], names=["id", "set", "regs", "groups"])
+                    yield pa.record_batch([batch.column(1).take(rows), batch.column(2).take(rows), pa.array(sets, pa.binary()), pa.array(regs, pa.binary())], names=["id", "cluster", "set", "regs"])
                     at, sets, regs, size = [], [], [], 0
 
-    groups = "array<struct<g1:long,g2:int,g3:int>>"
-    held = docs.join(chosen, "doc_id").select("text", "id", "groups")
-    return held.mapInArrow(run, f"id long, set binary, regs binary, groups {groups}")
+    few = chosen.count() <= FEW
+    held = docs.join(F.broadcast(chosen) if few else chosen, "doc_id").select("text", "id", "cluster")
+    return held.mapInArrow(run, "id long, cluster long, set binary, regs binary")
 
 
 def joining_links(sets: list[np.ndarray], regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -278,14 +278,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Keys of one class find nothing: only shared ones are kept.
     keys = full.select(F.explode_outer("keys").alias("key"), F.col("digest").alias("id"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low")
-    rows = written(keys.join(shared, "key").distinct(), "shared-keys")
+    rows = written(keys.join(shared.hint("merge"), "key").distinct(), "shared-keys")
     clusters = components(rows.select(F.col("id").alias("a"), F.col("low").alias("b")))
     members = clusters.withColumnRenamed("component", "cluster").join(classes.withColumnRenamed("digest", "id"), "id")
     members = written(members.select("id", "cluster", "n", "rep"), "members")
-    meetings = _meetings(rows.select("key", "id"), members.select("id", "cluster", "n"))
-    groups = meetings.groupBy("id").agg(F.collect_list(F.struct("g1", "g2", "g3")).alias("groups"))
-    chosen = written(members.join(groups, "id").select(F.col("rep").alias("doc_id"), "id", "groups"), "chosen")
-    met = _sets(own, chosen).select("id", "set", "regs", F.explode("groups").alias("g")).select("g.*", "id", "set", "regs")
+    small = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).filter(_fits())
+    marked = members.join(small.select("cluster", F.col("cluster").alias("own")), "cluster", "left")
+    chosen = written(marked.select(F.col("rep").alias("doc_id"), "id", F.col("own").alias("cluster"), "n"), "chosen")
+    met = _sets(own, chosen.select("doc_id", "id", "cluster"))
+    whole = F.array(F.struct(F.col("cluster").alias("g1"), F.lit(-1).alias("g2"), F.lit(-1).alias("g3")))
+    large = chosen.filter("cluster is null")
+    if not large.isEmpty():
+        groups = _split(rows.select("key", "id"), large.select("id", "n")).groupBy("id").agg(F.collect_list(F.struct("g1", "g2", "g3")).alias("split"))
+        met, whole = met.join(groups, "id", "left"), F.when(F.col("cluster").isNull(), F.col("split")).otherwise(whole)
+    met = met.select("id", "set", "regs", F.explode(whole).alias("g")).select("g.*", "id", "set", "regs")
     links = written(_links(met, percent), "links")
     dropped(rows, members, chosen)
 

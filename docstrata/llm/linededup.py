@@ -1,17 +1,19 @@
 """Line dedup by an exact set-similarity join (operator 7), with DataFrame functions only.
 
 After Xiao et al., "Efficient Similarity Joins for Near-Duplicate Detection" (PPJoin, 2011), and
-the bitmap filter of Sandes et al. (2020).  A line's tokens are its 5-word shingles (all words, if
-fewer); words are what stands between white space.  Two lines match at Jaccard 0.75 or more, and
-the later one, by (doc_id, line number), is removed.
-
-* Rarity comes from a count sketch of fixed size over all tokens; a token's code has its rarity class
-  in the top bits and its hash below, so codes sort by rarity.
+the bitmap filter of Sandes et al. (2020).  A line's tokens are its shingles of ``width`` words (all
+words, if fewer); words are what stands between white space.  Two lines match at Jaccard 0.75 or
+more, and the later one, by (doc_id, line number), is removed.
+
+* Prefix filter: two similar sets share a token among their first ``n - ceil(0.75 n) + 1`` in any one
+  order of all tokens.  The order is by rarity: tokens that few prefixes hold come first, by their
+  hash; those that more than ``HOT`` hold come last, by how many.  Which are hot shows only once prefixes
+  in hash order are counted, exactly, over all lines; lines with a hot token in their prefix get
+  another one then.  A pair whose prefixes share a token that isn't hot meets there; any
+  other similar pair shares a hot one, so both of its lines have the second prefix and meet in that.
+* Tokens in one prefix only can't join, and lines with no others are settled at once.
 * Lines with equal sets form a class, of which the first line stands; only classes are joined.
-* Prefix filter: two similar sets share a token among their first ``n - ceil(0.75 n) + 1``.  Length,
-  positional and bitmap filters prune inside the join.
-* Tokens in one prefix only can't join.  A window counts each token's rows; tokens that the sketch
-  says may be very common skip it, so no window grows past a bound.
+* Length, positional and bitmap filters prune inside the join; full sets verify.
 * Stars first: each line meets the earliest line of each of its tokens, and those that match are
   decided.  Only the others meet every earlier line, so a large group of near-equal lines doesn't
   make all its pairs.
@@ -22,14 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import documents, written
+from ._spark import documents, dropped, written
 
 WORDS = 5
-BUCKETS = 1 << 20
-#: Quarter octaves of the sketch's count; from this class on (about 90,000 rows) a token skips the window.
-COMMON = 66
-#: Up to so many documents their ids are broadcast to fetch lines; beyond, the texts are shuffled.
-FEW_DOCS = 500_000
+#: Tokens that more classes than this hold in their prefixes come last in the order.
+HOT = 128
+#: Tokens with more rows than this in a 64th of the documents skip the window that counts rows.
+HEAVY = 512
+#: Up to so many bytes of line numbers are broadcast to the texts; beyond, the texts are shuffled.
+FEW_BYTES = 64 << 20
 
 
 def _spaced(text: Column) -> Column:
@@ -46,21 +49,18 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", lines).filter(F.trim("line") != "")
 
 
-def _shingled(lines: DataFrame) -> DataFrame:
-    """Adds ``made``: hashes of the line's tokens, with repeats."""
+def _coded(lines: DataFrame, width: int) -> DataFrame:
+    """``line`` becomes ``codes``: the sorted hashes of its distinct tokens."""
     words = F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))
     out = lines.withColumn("words", words).withColumn("words", F.array_remove("words", F.xxhash64(F.lit(""))))
     n = F.size("words")
-    made = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(WORDS))))
-    return out.withColumn("made", F.when(n >= WORDS, made).otherwise(F.array(F.xxhash64("words", n)))).drop("words", "line")
+    made = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(width))))
+    made = F.when(n >= width, made).otherwise(F.array(F.xxhash64("words", n)))
+    return out.withColumn("codes", F.sort_array(F.array_distinct(made))).drop("words", "line")
 
 
-def rarity(lines: DataFrame) -> DataFrame:
-    """One row with one array: the rarity class of each bucket of token hashes."""
-    counts = lines.select(F.explode_outer("made").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).count()
-    all_buckets = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    counts = all_buckets.join(counts, "b", "left").select("b", F.floor(4 * F.log2(F.coalesce("count", F.lit(1)))).cast("tinyint").alias("c"))
-    return counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("classes"))
+def _prefix_size(n: Column) -> Column:
+    return n - F.ceil(n * 3 / 4).cast("int") + 1
 
 
 def _parity(codes: str, word: int) -> Column:
@@ -69,109 +69,156 @@ def _parity(codes: str, word: int) -> Column:
     return F.aggregate(codes, F.expr("0L"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", own(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _classes(lines: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The first line of each distinct token set: place, set size, prefix of codes, bitmap."""
-    code = lambda t: F.shiftleft(F.get("classes", F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
-    # The optimizer puts the subquery's one value into the expression; no row carries the array.
-    coded = lines.withColumn("classes", sketch.scalar()).withColumn("codes", F.sort_array(F.array_distinct(F.transform("made", code)))).drop("made", "classes")
-    n = F.size("codes")
-    marked = coded.select(
-        "doc_id", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.xxhash64("codes", F.lit(7)).alias("k2"),
-        F.slice("codes", 1, n - F.ceil(n * 3 / 4).cast("int") + 1).alias("prefix"), _parity("codes", 0).alias("b1"), _parity("codes", 1).alias("b2"),
-    )
-    one = [F.first(c).alias(c) for c in ("n", "prefix", "b1", "b2")]
-    out = marked.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *one)
-    return out.select("at.doc_id", "at.line_no", "n", "prefix", "b1", "b2")
+def _least(x: str, y: str) -> Column:
+    """The least overlap of ``x`` and ``y`` at Jaccard 3/4."""
+    return F.floor((3 * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 6) / 7)
 
 
-def _may_match(x: str, y: str) -> Column:
-    """Length, positional and bitmap filters for a shared token of row structs ``x`` and ``y``."""
+def _fitting(x: str, y: str) -> Column:
+    """Length and positional filters for a shared token of rows ``x`` and ``y``."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    least = F.floor((3 * (n + m) + 6) / 7)  # the least overlap at Jaccard 3/4
-    place = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= least
-    differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & place & (differ <= n + m - 2 * least)
+    place = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= _least(x, y)
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & place
 
 
-def _place(x: str) -> Column:
-    return F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.line_no").alias("line_no"))
+def _may_match(x: str, y: str) -> Column:
+    """Length, positional and bitmap filters for a shared token of rows ``x`` and ``y``."""
+    differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
+    return _fitting(x, y) & (differ <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * _least(x, y))
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(_place("x").alias("late"), _place("y").alias("early")).distinct()
+    return joined.select(F.col("x.c").alias("late"), F.col("y.c").alias("early")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The late lines of pairs whose full token sets reach the threshold."""
-    lines = pairs.select("late.*").union(pairs.select("early.*")).groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    lines = written(lines, "wanted-lines").withColumnRenamed("doc_id", "_doc")
-    few = lines.count() <= FEW_DOCS
-    held = docs.join(F.broadcast(lines) if few else lines, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text", "wanted")
+    one, two = (sets.select(F.col("c").alias(side), F.col("codes").alias(f"s_{side}")) for side in ("late", "early"))
+    both = pairs.join(one, "late").join(two, "early")
+    both = both.withColumn("common", F.size(F.array_intersect("s_late", "s_early")))
+    both = both.filter(4 * F.col("common") >= 3 * (F.size("s_late") + F.size("s_early") - F.col("common")))
+    return both.select("late").distinct()
+
+
+def _beside(docs: DataFrame, numbers: DataFrame, column: str, how: str) -> DataFrame:
+    """``docs`` joined with one array of line numbers per document; the arrays are broadcast if their size is bounded."""
+    size = numbers.agg(F.sum(F.size(column) * 4 + 32).alias("bytes")).first()["bytes"] or 0
+    numbers = numbers.withColumnRenamed("doc_id", "_doc")
+    return docs.join(F.broadcast(numbers) if size <= FEW_BYTES else numbers, docs["doc_id"].cast("long").eqNullSafe(numbers["_doc"]), how).drop("_doc")
+
+
+def _class_sets(docs: DataFrame, index: DataFrame, width: int) -> DataFrame:
+    """``(c, codes, n, b1, b2)`` of the classes in ``index``, read from the texts again."""
+    wanted = index.select("c").distinct()
+    numbers = written(wanted.groupBy("c.doc_id").agg(F.collect_set("c.line_no").alias("wanted")), "wanted-lines")
     split = F.posexplode_outer(F.split(_spaced(F.col("text")), "\n", -1)).alias("line_no", "line")
-    own = held.select("doc_id", "wanted", split).filter(F.array_contains("wanted", F.col("line_no"))).drop("wanted")
-    sets = _shingled(own).select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct("made").alias("set")).dropDuplicates(["at"])
-    sets = written(sets, "line-sets")
-    both = pairs.join(sets.toDF("late", "sx"), "late").join(sets.toDF("early", "sy"), "early")
-    common = F.size(F.array_intersect("sx", "sy"))
-    both = both.withColumn("common", common)
-    return both.filter(4 * F.col("common") >= 3 * (F.size("sx") + F.size("sy") - F.col("common"))).select("late").distinct()
+    own = _beside(docs, numbers, "wanted", "inner").select("doc_id", "wanted", split).filter(F.array_contains("wanted", F.col("line_no"))).drop("wanted")
+    sets = _coded(own, width).withColumn("c", F.struct("doc_id", "line_no", F.xxhash64("codes").alias("k1")))
+    # The whole key: a doc_id may have several texts.
+    sets = sets.dropDuplicates(["c"]).join(wanted, "c", "left_semi")
+    out = written(sets.select("c", "codes", F.size("codes").alias("n"), _parity("codes", 0).alias("b1"), _parity("codes", 1).alias("b2")), "line-sets")
+    dropped(numbers)
+    return out
+
+
+def _shared(rows: DataFrame, least: int = 2) -> DataFrame:
+    """``rows(token, c, ...)`` whose token has at least two classes, with their number ``held``."""
+    held = rows.groupBy("token").agg(F.count("*").alias("held")).filter(F.col("held") >= least)
+    return rows.join(held, "token")
+
+
+def _prefix_rows(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, line_no, n, k1, pos, token)``: the prefixes of all lines in hash order."""
+    n = F.size("codes")
+    return _coded(_lines(docs), width).select("doc_id", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.posexplode_outer(F.slice("codes", 1, _prefix_size(n))).alias("pos", "token"))
+
+
+def _heavy(docs: DataFrame, width: int) -> DataFrame:
+    """``(token, heavy)``: tokens that fill a window of their own, by a count over one document in 64.
+
+    Their rows are spread and pass the count unseen; which tokens these are changes no result.
+    """
+    some = _prefix_rows(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0), width)
+    held = some.groupBy("token").count().filter(F.col("count") > HEAVY)
+    return held.orderBy(F.desc("count"), "token").limit(1 << 16).select("token", F.lit(True).alias("heavy"))
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, kept)``: the numbers of the lines with words that stay, for documents that have any."""
+def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """``(doc_id, gone)``: the sorted numbers of the lines that match an earlier one, for documents that have any."""
     own = documents(docs)
-    lines = _shingled(_lines(own))
-    sketch = written(rarity(lines), "rarity")
-    classes = written(_classes(lines, sketch), "line-classes")
-
-    index = classes.select("doc_id", "line_no", "n", F.posexplode_outer("prefix").alias("pos", "token"))
-    common = F.shiftright("token", 56) >= COMMON
-    rare = index.filter(~common).withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1").drop("rows")
-    shared = rare.unionByName(index.filter(common))
-    bits = classes.select("doc_id", "line_no", "b1", "b2")
-    shared = written(shared, "shared-tokens")
-    marked = shared.alias("s").join(bits.alias("c"), (F.col("s.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("s.line_no") == F.col("c.line_no")))
-    rows = written(marked.select("token", F.struct("s.doc_id", "s.line_no", "n", "pos", "b1", "b2").alias("x")), "index").dropDuplicates()
-
-    pivots = rows.groupBy("token").agg(F.min("x").alias("y"))
-    later = _place("x") > _place("y")
-    stars = written(_pairs(rows.join(pivots, "token").filter(later & _may_match("x", "y"))), "stars")
-    gone = written(_verified(stars, own), "matched")
-
-    open_rows = rows.withColumn("late", _place("x")).join(gone, "late", "left_anti").select("token", "x")
-    earlier = rows.select("token", F.col("x").alias("y"))
-    rest = _pairs(open_rows.join(earlier, "token").filter(later & _may_match("x", "y")))
+    heavy = written(_heavy(own, width), "heavy")
+    rows = _prefix_rows(own, width).join(F.broadcast(heavy), "token", "left")
+    salt = F.when(F.col("heavy"), F.xxhash64("doc_id", "line_no"))
+    rows = rows.withColumn("rows", F.count("*").over(Window.partitionBy("token", salt))).filter("rows > 1 or heavy").drop("rows", "heavy")
+    rows = written(rows, "prefix-rows")
+
+    # Equal sets have equal digests and equal shared tokens; the first line stands for its class.
+    lines = rows.groupBy("doc_id", "line_no", "k1", "n").agg(F.min("token").alias("k2"))
+    lines = written(lines, "lines")
+    classes = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", "k1")).alias("c"))
+    classes = written(classes, "line-classes")
+    # A place may stand for several texts of one doc_id, so the digest goes along.
+    first = classes.select("c.doc_id", "c.line_no", "c.k1", "n")
+    places = [rows[x].eqNullSafe(first[x]) for x in ("doc_id", "line_no")]
+    index = rows.join(first, [*places, rows["k1"] == first["k1"]], "left_semi").distinct()
+    index = _shared(index.select("token", F.struct("doc_id", "line_no", "k1").alias("c"), "n", "pos"))
+    index = written(index, "index")
+    x, y = index.filter(F.col("held") <= HOT).alias("x"), index.alias("y")
+    cold = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _fitting("x", "y"), "left_semi")
+    last, index = index, written(cold.unionByName(index.filter(F.col("held") > HOT)), "index")
+    dropped(last)
+    sets = _class_sets(own, index, width)
+
+    hot = written(index.filter(F.col("held") > HOT).select("token", "c", "held"), "hot")
+    again = sets.join(hot.select("c").distinct(), "c").select("c", "n", F.explode("codes").alias("token"))
+    again = again.join(hot.select("token", "held").distinct(), "token", "left")
+    order = Window.partitionBy("c").orderBy(F.coalesce("held", F.lit(0)), "token")
+    again = again.withColumn("pos", F.row_number().over(order) - 1).filter(F.col("pos") < _prefix_size(F.col("n")))
+    again = _shared(again.select(F.xxhash64("token", F.lit(1)).alias("token"), "c", "pos"))
+    met = index.filter(F.col("held") <= HOT).select("token", "c", "pos").union(again.select("token", "c", "pos"))
+    joined = met.join(sets.select("c", "n", "b1", "b2"), "c")
+    met = written(joined.select("token", F.struct("c", "n", "pos", "b1", "b2").alias("x")), "met")
+    dropped(rows, index, hot)
+
+    pivots = met.groupBy("token").agg(F.min("x").alias("y"))
+    later = F.col("x.c") > F.col("y.c")
+    stars = written(_pairs(met.join(pivots, "token").filter(later & _may_match("x", "y"))), "stars")
+    matched = written(_verified(stars, sets), "matched")
+    open_rows = met.withColumn("late", F.col("x.c")).join(matched, "late", "left_anti").select("token", "x")
+    rest = _pairs(open_rows.join(met.select("token", F.col("x").alias("y")), "token").filter(later & _may_match("x", "y")))
     rest = written(rest.join(stars, ["late", "early"], "left_anti"), "rest")
-    gone = gone.union(_verified(rest, own))
+    gone = matched.union(_verified(rest, sets)).withColumnRenamed("late", "c").withColumn("matched", F.lit(True))
 
-    stay = classes.select(F.struct("doc_id", "line_no").alias("late")).join(gone, "late", "left_anti")
-    return stay.groupBy("late.doc_id").agg(F.sort_array(F.collect_list("late.line_no")).alias("kept"))
+    ends = classes.join(gone, "c", "left")
+    named = lines.join(ends, ["k1", "k2", "n"])
+    again = ~(named["doc_id"].eqNullSafe(F.col("c.doc_id")) & (named["line_no"] == F.col("c.line_no")))
+    out = named.filter(F.coalesce("matched", F.lit(False)) | again)
+    out = written(out.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "removed-lines")
+    dropped(heavy, lines, classes, sets, met, stars, matched, rest)
+    return out
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """``docs`` with all columns, ``text`` without the lines that match an earlier one, and ``n_chars``, if there, new.
 
     Lines without words stay.  Null text stays null; a text whose lines all go becomes empty.  Rows
-    with one doc_id count as one document: a repeated row keeps the same lines.  Nulls in doc_id
-    count as one document that comes first.
+    with one doc_id count as one document: repeated rows lose the same lines, by number.  Nulls in
+    doc_id count as one document that comes first.
     """
-    kept = kept_lines(docs)
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left")
-    held = F.coalesce(kept["kept"], F.array().cast("array<int>"))
-    stays = F.filter(F.split(docs["text"], "\n", -1), lambda line, i: (F.trim(_spaced(line)) == "") | F.array_contains(held, i))
-    new = {"text": F.array_join(stays, "\n")}
+    gone = removed_lines(docs, width).withColumnRenamed("gone", "_gone_lines")
+    joined = _beside(docs, gone, "_gone_lines", "left")
+    stays = F.filter(F.split(docs["text"], "\n", -1), lambda line, i: ~F.array_contains("_gone_lines", i))
+    text = F.when(F.col("_gone_lines").isNull(), docs["text"]).otherwise(F.array_join(stays, "\n"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed_lines)`` for every row; null text has no lines."""
-    kept = kept_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"))
-    lines = F.split(_spaced(F.col("text")), "\n", -1)
-    filled = F.filter(F.transform(lines, lambda line, i: F.when(F.trim(line) != "", i)), lambda i: i.isNotNull())
-    own = documents(docs).select("doc_id", F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(filled, F.array().cast("array<int>")).alias("filled"))
-    own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    out = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    removed = F.array_except("filled", F.coalesce("_kept", F.array().cast("array<int>")))
-    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    gone = removed_lines(docs, width)
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    own = documents(docs).select("doc_id", F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"))
+    removed = F.coalesce("gone", F.array().cast("array<int>"))
+    return _beside(own, gone, "gone", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))

@@ -347,12 +347,26 @@ def test_lines_by_brute_force(spark):
     assert {r.doc_id: r.removed_lines for r in got if r.n_removed} == brute_lines(rows)
 
 
-def test_common_tokens_skip_the_window(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "COMMON", 4)
-    monkeypatch.setattr(linededup, "FEW_DOCS", 0)
+def test_common_tokens_come_last(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 2)
+    monkeypatch.setattr(linededup, "HEAVY", 0)
     rows = line_rows()
-    got = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.removed_lines for r in got if r.n_removed} == brute_lines(rows)
+    got = {r.doc_id: r.removed_lines for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if r.n_removed}
+    assert got == brute_lines(rows)
+
+
+def test_lines_by_single_words(spark):
+    rng = random.Random(21)
+    lines = [prose(rng.randrange(1, 16), rng) for _ in range(25)]
+    lines += [" ".join(rng.sample(x.split(" "), len(x.split(" ")))) for x in lines] + [edited(x, 1, rng) for x in lines]
+    rows = [(k, x) for k, x in enumerate(lines)]
+    seen, want = [], set()
+    for k, x in rows:
+        s = set(x.split(" "))
+        want |= {k} if any(4 * len(s & o) >= 3 * len(s | o) for o in seen) else set()
+        seen.append(s)
+    got = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string"), width=1).filter("n_removed = 1")
+    assert {r.doc_id for r in got.collect()} == want
 
 
 def test_line_dedup_of_odd_rows(odd, empty):

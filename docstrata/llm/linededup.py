@@ -7,7 +7,7 @@ more, and the later one, by (doc_id, line number), is removed.
 
 * Prefix filter: two similar sets share a token among their first ``n - ceil(0.75 n) + 1`` in any one
   order of all tokens.  The order is by rarity: tokens that few prefixes hold come first, by their
-  hash; those that more than ``HOT`` hold come last, by how many.  Which are hot shows only once prefixes
+  hash; those that more than ``HOT`` hold come last, by how many (in quarter octaves).  Which are hot shows only once prefixes
   in hash order are counted, exactly, over all lines; lines with a hot token in their prefix get
   another one then.  A pair whose prefixes share a token that isn't hot meets there; any
   other similar pair shares a hot one, so both of its lines have the second prefix and meet in that.
@@ -29,6 +29,8 @@ from ._spark import documents, dropped, written
 WORDS = 5
 #: Tokens that more classes than this hold in their prefixes come last in the order.
 HOT = 128
+#: Buckets of token hashes in which hot tokens are marked; a token beside a hot one comes late, too.
+BUCKETS = 1 << 20
 #: Tokens with more rows than this in a 64th of the documents skip the window that counts rows.
 HEAVY = 512
 #: Up to so many bytes of line numbers are broadcast to the texts; beyond, the texts are shuffled.
@@ -127,6 +129,15 @@ def _shared(rows: DataFrame, least: int = 2) -> DataFrame:
     return rows.join(held, "token")
 
 
+def _hot_order(index: DataFrame) -> DataFrame:
+    """One row with one array: by bucket of tokens the size class of its hottest one, 0 where none is hot."""
+    some = index.filter(F.col("held") > HOT).groupBy(F.pmod("token", F.lit(BUCKETS)).cast("int").alias("b"))
+    classes = some.agg(F.max(F.floor(4 * F.log2("held")).cast("tinyint")).alias("c"))
+    filled = index.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(classes, "b", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0).cast("tinyint")).alias("c"))))
+    return filled.agg(F.transform(ordered, lambda x: x["c"]).alias("classes"))
+
+
 def _prefix_rows(docs: DataFrame, width: int) -> DataFrame:
     """``(doc_id, line_no, n, k1, pos, token)``: the prefixes of all lines in hash order."""
     n = F.size("codes")
@@ -157,28 +168,24 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     lines = written(lines, "lines")
     classes = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", "k1")).alias("c"))
     classes = written(classes, "line-classes")
-    # A place may stand for several texts of one doc_id, so the digest goes along.
-    first = classes.select("c.doc_id", "c.line_no", "c.k1", "n")
-    places = [rows[x].eqNullSafe(first[x]) for x in ("doc_id", "line_no")]
-    index = rows.join(first, [*places, rows["k1"] == first["k1"]], "left_semi").distinct()
-    index = _shared(index.select("token", F.struct("doc_id", "line_no", "k1").alias("c"), "n", "pos"))
-    index = written(index, "index")
+    # Equal sets count once.  Rows that fit no other of their token by length and position go.
+    index = written(_shared(rows.select("token", "k1", "n", "pos").distinct()), "index")
     x, y = index.filter(F.col("held") <= HOT).alias("x"), index.alias("y")
-    cold = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _fitting("x", "y"), "left_semi")
-    last, index = index, written(cold.unionByName(index.filter(F.col("held") > HOT)), "index")
-    dropped(last)
-    sets = _class_sets(own, index, width)
-
-    hot = written(index.filter(F.col("held") > HOT).select("token", "c", "held"), "hot")
-    again = sets.join(hot.select("c").distinct(), "c").select("c", "n", F.explode("codes").alias("token"))
-    again = again.join(hot.select("token", "held").distinct(), "token", "left")
-    order = Window.partitionBy("c").orderBy(F.coalesce("held", F.lit(0)), "token")
-    again = again.withColumn("pos", F.row_number().over(order) - 1).filter(F.col("pos") < _prefix_size(F.col("n")))
-    again = _shared(again.select(F.xxhash64("token", F.lit(1)).alias("token"), "c", "pos"))
-    met = index.filter(F.col("held") <= HOT).select("token", "c", "pos").union(again.select("token", "c", "pos"))
-    joined = met.join(sets.select("c", "n", "b1", "b2"), "c")
-    met = written(joined.select("token", F.struct("c", "n", "pos", "b1", "b2").alias("x")), "met")
-    dropped(rows, index, hot)
+    cold = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.k1") != F.col("y.k1")) & _fitting("x", "y"), "left_semi")
+    fitting = cold.unionByName(index.filter(F.col("held") > HOT)).drop("n")
+    met = written(fitting.join(classes.select("k1", "c", "n"), "k1").drop("k1"), "met")
+    dropped(rows, index)
+    sets = _class_sets(own, met, width)
+
+    order = written(_hot_order(met), "order")
+    again = sets.join(met.filter(F.col("held") > HOT).select("c").distinct(), "c").withColumn("order", order.scalar())
+    code = lambda t: F.shiftleft(F.get("order", F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
+    again = again.select("c", F.posexplode_outer(F.slice(F.sort_array(F.transform("codes", code)), 1, _prefix_size(F.col("n")))).alias("pos", "token"))
+    again = again.withColumn("token", F.xxhash64("token", F.lit(1)))
+    both = met.filter(F.col("held") <= HOT).select("token", "c", "pos").union(_shared(again).select("token", "c", "pos"))
+    both = both.join(sets.select("c", "n", "b1", "b2"), "c").select("token", F.struct("c", "n", "pos", "b1", "b2").alias("x"))
+    last, met = met, written(both, "candidates")
+    dropped(last, order)
 
     pivots = met.groupBy("token").agg(F.min("x").alias("y"))
     later = F.col("x.c") > F.col("y.c")

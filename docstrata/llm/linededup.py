@@ -14,7 +14,7 @@ more, and the later one, by (doc_id, line number), is removed.
 * Tokens in one prefix only can't join, and lines with no others are settled at once.
 * Lines with equal sets form a class, of which the first line stands; only classes are joined.
 * Length, positional and bitmap filters prune inside the join; full sets verify.
-* Stars first: each line meets the earliest line of each of its tokens, and those that match are
+* Stars first: each line meets a few early lines of each of its tokens, and those that match are
   decided.  Only the others meet every earlier line, so a large group of near-equal lines doesn't
   make all its pairs.
 """
@@ -29,6 +29,8 @@ from ._spark import documents, dropped, written
 WORDS = 5
 #: Tokens that more classes than this hold in their prefixes come last in the order.
 HOT = 128
+#: Lines of a token that all its others meet first: the earliest of each of so many parts.
+PIVOTS = 8
 #: Buckets of token hashes in which hot tokens are marked; a token beside a hot one comes late, too.
 BUCKETS = 1 << 20
 #: Tokens with more rows than this in a 64th of the documents skip the window that counts rows.
@@ -102,11 +104,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("late").distinct()
 
 
+def _fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def _beside(docs: DataFrame, numbers: DataFrame, column: str, how: str) -> DataFrame:
     """``docs`` joined with one array of line numbers per document; the arrays are broadcast if their size is bounded."""
     size = numbers.agg(F.sum(F.size(column) * 4 + 32).alias("bytes")).first()["bytes"] or 0
-    numbers = numbers.withColumnRenamed("doc_id", "_doc")
-    return docs.join(F.broadcast(numbers) if size <= FEW_BYTES else numbers, docs["doc_id"].cast("long").eqNullSafe(numbers["_doc"]), how).drop("_doc")
+    key = _fresh(docs, "key")
+    numbers = numbers.withColumnRenamed("doc_id", key)
+    return docs.join(F.broadcast(numbers) if size <= FEW_BYTES else numbers, docs["doc_id"].cast("long").eqNullSafe(numbers[key]), how).drop(key)
 
 
 def _class_sets(docs: DataFrame, index: DataFrame, width: int) -> DataFrame:
@@ -130,11 +140,11 @@ def _shared(rows: DataFrame, least: int = 2) -> DataFrame:
 
 
 def _hot_order(index: DataFrame) -> DataFrame:
-    """One row with one array: by bucket of tokens the size class of its hottest one, 0 where none is hot."""
-    some = index.filter(F.col("held") > HOT).groupBy(F.pmod("token", F.lit(BUCKETS)).cast("int").alias("b"))
-    classes = some.agg(F.max(F.floor(4 * F.log2("held")).cast("tinyint")).alias("c"))
-    filled = index.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(classes, "b", "left")
-    ordered = F.sort_array(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0).cast("tinyint")).alias("c"))))
+    """One row with one array: by bucket of tokens the size class of its hottest one in the top byte, 0 where none is hot."""
+    some = index.filter(F.col("held") > HOT).groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
+    classes = some.agg(F.shiftleft(F.max(F.floor(4 * F.log2("held"))).cast("long"), 56).alias("c"))
+    filled = index.sparkSession.range(BUCKETS).select(F.col("id").alias("b")).join(classes, "b", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0).cast("long")).alias("c"))))
     return filled.agg(F.transform(ordered, lambda x: x["c"]).alias("classes"))
 
 
@@ -179,15 +189,15 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
     order = written(_hot_order(met), "order")
     again = sets.join(met.filter(F.col("held") > HOT).select("c").distinct(), "c").withColumn("order", order.scalar())
-    code = lambda t: F.shiftleft(F.get("order", F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
+    code = lambda t: F.get("order", t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
     again = again.select("c", F.posexplode_outer(F.slice(F.sort_array(F.transform("codes", code)), 1, _prefix_size(F.col("n")))).alias("pos", "token"))
-    again = again.withColumn("token", F.xxhash64("token", F.lit(1)))
+    again = written(again.withColumn("token", F.xxhash64("token", F.lit(1))), "again")
     both = met.filter(F.col("held") <= HOT).select("token", "c", "pos").union(_shared(again).select("token", "c", "pos"))
     both = both.join(sets.select("c", "n", "b1", "b2"), "c").select("token", F.struct("c", "n", "pos", "b1", "b2").alias("x"))
     last, met = met, written(both, "candidates")
-    dropped(last, order)
+    dropped(last, order, again)
 
-    pivots = met.groupBy("token").agg(F.min("x").alias("y"))
+    pivots = met.groupBy("token", F.pmod(F.xxhash64("x.c"), F.lit(PIVOTS))).agg(F.min("x").alias("y"))
     later = F.col("x.c") > F.col("y.c")
     stars = written(_pairs(met.join(pivots, "token").filter(later & _may_match("x", "y"))), "stars")
     matched = written(_verified(stars, sets), "matched")
@@ -205,6 +215,23 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return out
 
 
+def without(docs: DataFrame, gone: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` without the lines that ``gone(doc_id, gone)`` names; ``drop_emptied`` drops rows that lose all their words."""
+    numbers, new_text = _fresh(docs, "gone"), _fresh(docs, "new_text")
+    joined = _beside(docs, gone.withColumnRenamed("gone", numbers), numbers, "left")
+    stays = F.filter(F.split(docs["text"], "\n", -1), lambda line, i: ~F.array_contains(numbers, i))
+    lost = F.col(numbers).isNotNull()
+    joined = joined.withColumn(new_text, F.when(lost, F.array_join(stays, "\n")))
+    if drop_emptied:
+        words = lambda text: F.trim(F.translate(_spaced(text), "\n", " ")) != ""
+        joined = joined.filter(~lost | docs["text"].isNull() | words(F.col(new_text)) | ~words(docs["text"]))
+    text = F.when(lost, F.col(new_text)).otherwise(docs["text"])
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
+
+
 def line_dedup(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """``docs`` with all columns, ``text`` without the lines that match an earlier one, and ``n_chars``, if there, new.
 
@@ -212,14 +239,7 @@ def line_dedup(docs: DataFrame, width: int = WORDS) -> DataFrame:
     with one doc_id count as one document: repeated rows lose the same lines, by number.  Nulls in
     doc_id count as one document that comes first.
     """
-    gone = removed_lines(docs, width).withColumnRenamed("gone", "_gone_lines")
-    joined = _beside(docs, gone, "_gone_lines", "left")
-    stays = F.filter(F.split(docs["text"], "\n", -1), lambda line, i: ~F.array_contains("_gone_lines", i))
-    text = F.when(F.col("_gone_lines").isNull(), docs["text"]).otherwise(F.array_join(stays, "\n"))
-    new = {"text": text}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
+    return without(docs, removed_lines(docs, width))
 
 
 def line_report(docs: DataFrame, width: int = WORDS) -> DataFrame:

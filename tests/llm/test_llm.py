@@ -634,10 +634,24 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
         assert set(after) <= set(before)
         if name == "line dedup":
             gone = brute_lines(list(before.items()))
-            assert after == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ())) for i, t in before.items()}
+            left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ())) for i, t in before.items()}
+            assert after == {i: t for i, t in left.items() if t.split() or not before[i].split()}
         elif name == "near-dedup":
             want = brute_components(list(before.items()))
             assert set(after) == {i for i, (_, c) in want.items() if c == i}
         elif name == "benchmark decontamination":
             assert not any(b in t for t in after.values() for b in benchmark)
     assert sorted(map(repr, corpus_pipeline.run(spark, sf_dir).select("doc_id", "start", "length").collect()))
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir, odd, empty, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name, table in (("odd", odd.withColumn("key", F.lit(1)).withColumn("gone", F.lit(2))), ("empty", empty)):
+        now = table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:]):  # the classifier rejects what has no prose
+            stage(spark, now, sf_dir).write.parquet(str(tmp_path / name / str(k)))
+            last, now = now, spark.read.parquet(str(tmp_path / name / str(k)))
+            assert k == 3 or now.columns == table.columns
+        assert now.count() == (0 if name == "empty" else now.count()) and (name == "empty" or now.count() >= last.count() > 0)
+        stage = corpus_pipeline.STAGES[0][1]
+        assert stage(spark, table, sf_dir).columns == table.columns

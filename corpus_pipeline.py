@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages, each of them one of the training-data operators.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``.  No stage fails on null or empty texts, null or repeated
+ids, very long texts, empty tables or further columns: these pass through the filters as the
+docstrings say, and a column of any other name than ``doc_id``, ``text`` and ``n_chars`` isn't read.
 """
 
 from __future__ import annotations
@@ -12,18 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.llm import decontam, linededup, neardup, packing, quality
-from docstrata.llm._spark import table, written
+from docstrata.llm._spark import dropped, table, written
 from docstrata.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; a null text is scored as an empty one.  Repeated rows share a fate."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that match an earlier one."""
-    return linededup.line_dedup(docs)
+    """Documents without lines that match an earlier one; those that are left without words go, if they had any.
+
+    Texts that had no words before (null, empty, blank) stay as they are.  Rows with one doc_id lose the
+    same lines; null ids count as one document.
+    """
+    gone = linededup.removed_lines(docs)
+    return linededup.without(docs, gone, drop_emptied=True)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +40,12 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark; null and empty texts stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences; a null or empty text is one id."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -56,7 +63,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if last is not None:
+            dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,13 +6,19 @@ Luby & Rackoff and NIST SP 800-38G in outline.  Equal values map to equal pseudo
 document, different ones to different ones, and the key's holder can invert the permutation.
 
 * Numbers: two halves of digits; each round adds a keyed digest of one half to the other.  Card
-  numbers permute all but the check digit, which is then set again; so they stay valid.
+  numbers permute all but the check digit, which is then set again; so they stay valid.  Digit runs
+  that fail the check stay as they are.  Telephone numbers keep their country code.
+* Social security numbers are permuted until the result is one that may exist (a cycle walk, which
+  is again a permutation).
 * Dates: the day number within a range of 270 x 270 days from 1900-01-01; the result is a date in
-  the same notation.  Addresses: the 32 bits of an IPv4 address.
-* E-mail addresses and credentials: characters move within their class (digit, lower, upper), with
-  everything else in place.
-
-Digests are SHA-256 of the key, the kind and length, the round and the half.
+  the same notation.  A date with slashes is read day first; one that is none that way is read month
+  first and permuted, by a cycle walk, among those.  So no two dates share a pseudonym.
+* Addresses: the 32 bits of an IPv4 address.
+* E-mail addresses, IBANs and credentials: characters move within their class (digit, lower, upper),
+  with everything else in place.  An IBAN keeps its country and gets new check digits.
+
+Digests are SHA-256 of the key, the kind and length, the round and the half.  The key is a scalar
+subquery, so no plan, event log or user interface shows it.
 """
 
 from __future__ import annotations
@@ -25,11 +31,15 @@ from ._spark import documents
 ROUNDS = 8
 DAYS_SIDE = 270  # dates from 1900-01-01 to 2099-08-03
 EPOCH = "1900-01-01"
+#: Steps of a cycle walk, of which each ends it with probability 0.6 or more: none is left after so many but once in 10^25.
+WALK = 64
+#: Texts without any of these hold nothing that the long pattern finds.
+HINT = "[0-9@]|password=|token"
 
 # One pattern, its branches in order of precedence.
 PATTERN = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",  # e-mail
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+",  # e-mail
         r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",  # IPv4
         r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",  # date, year first
         r"(?<![0-9A-Za-z/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])",  # date, year last
@@ -37,7 +47,7 @@ PATTERN = "|".join(
         r"(?<![0-9A-Za-z+])\+?[0-9]{0,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])",  # telephone, with parentheses
         r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",  # telephone, international
         r"(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z.-])",  # telephone, national
-        r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])",  # card number
+        r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z-])",  # card number
         r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",  # IBAN
         r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",  # access key
         r"(?<=password=|token=|token = \")[0-9a-zA-Z]{12,}",  # credential
@@ -98,6 +108,17 @@ def permute_card(digits: Column, key: Column, inverse: bool = False) -> Column:
     return out[0]
 
 
+def _walk(start: Column, step, ends) -> Column:
+    """``step`` applied to ``start`` until ``ends`` holds, once at least."""
+    first = F.transform(F.array(start), step)[0]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda s, _: F.when(ends(s), s).otherwise(step(s)))
+
+
+def permute_ssn(digits: Column, key: Column, inverse: bool = False) -> Column:
+    """Nine digits permuted among the social security numbers that may exist."""
+    return _walk(digits, lambda d: permute_digits(d, key, F.lit("ssn"), inverse), lambda d: ~d.rlike("^(?:000|666|9|...00|.....0000)"))
+
+
 def permute_date(day: Column, key: Column, inverse: bool = False) -> Column:
     """A date permuted among the dates of the range."""
     n = F.datediff(day, F.to_date(F.lit(EPOCH)))
@@ -107,6 +128,11 @@ def permute_date(day: Column, key: Column, inverse: bool = False) -> Column:
     return moved[0]
 
 
+def permute_late_date(day: Column, key: Column, inverse: bool = False) -> Column:
+    """A date after the twelfth of its month permuted among those."""
+    return _walk(day, lambda d: permute_date(d, key, inverse), lambda d: F.dayofmonth(d) > 12)
+
+
 def _in_range(day: Column) -> Column:
     n = F.datediff(day, F.to_date(F.lit(EPOCH)))
     return (n >= 0) & (n < DAYS_SIDE * DAYS_SIDE)
@@ -168,13 +194,34 @@ def _respell(match: Column, digits: Column) -> Column:
     return F.transform(F.array(out), lambda s: s["t"])[0]
 
 
-def _iban_ok(match: Column) -> Column:
-    plain = F.upper(F.regexp_replace(match, " ", ""))
-    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
-    chars = F.filter(F.split(turned, ""), lambda c: c != "")
+def _mod97(plain: Column) -> Column:
+    """The remainder by 97 of digits and capitals, where A to Z count as 10 to 35."""
+    chars = F.filter(F.split(plain, ""), lambda c: c != "")
     value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
-    rest = F.aggregate(chars, F.lit(0), lambda s, c: F.pmod(s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)).cast("int"))
-    return (F.length(plain) >= 15) & (rest == 1)
+    return F.aggregate(chars, F.lit(0), lambda s, c: F.pmod(s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)).cast("int"))
+
+
+def _iban_ok(match: Column) -> Column:
+    plain = F.regexp_replace(match, " ", "")
+    return (F.length(plain) >= 15) & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
+
+
+def permute_iban(match: Column, key: Column, inverse: bool = False) -> Column:
+    country = F.substring(match, 1, 2)
+    body = permute_text(F.substring(match, F.lit(5), F.length(match)), key, F.concat(F.lit("iban"), country), inverse)
+
+    def checked(new: Column) -> Column:
+        rest = _mod97(F.concat(F.regexp_replace(new, " ", ""), country, F.lit("00")))
+        return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), new)
+
+    return F.transform(F.array(body), checked)[0]
+
+
+def permute_phone(match: Column, key: Column, inverse: bool = False) -> Column:
+    """The digits after the country code permuted among as many."""
+    code = F.regexp_extract(match, r"^\+(?:[0-9]{1,3}(?=[ .(-])|[17]|[0-9]{2})", 0)
+    rest = F.substring(match, F.length(code) + 1, F.length(match))
+    return F.concat(code, _respell(rest, permute_digits(_digits(rest), key, F.concat(F.lit("phone"), code), inverse)))
 
 
 def kind_of(m: Column) -> Column:
@@ -190,7 +237,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.when(_in_range(year_last), "date_dmy").when(_in_range(american), "date_mdy"))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~m.rlike("^(000|666|9)|-00-|-0000$"), "ssn"))
         .when(m.rlike(r"^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$") | m.rlike(r"[+(]"), F.when((n >= 8) & (n <= 16), "phone"))
-        .when(m.rlike("^[0-9][0-9 -]*$") & (n >= 13), F.when(F.pmod(luhn_sum(_digits(m), 1), F.lit(10)) == 0, "card").otherwise("number"))
+        .when(m.rlike("^[0-9][0-9 -]*$") & (n >= 13), F.when(F.pmod(luhn_sum(_digits(m), 1), F.lit(10)) == 0, "card"))
         .when(m.rlike("^AKIA[0-9A-Z]{16}$"), "secret")
         .when(m.rlike("^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$") & m.rlike("^[A-Z]{2}[0-9]{2}"), F.when(_iban_ok(m), "iban"))
         .when(m.rlike("^[0-9a-zA-Z]{12,}$"), "secret")
@@ -200,18 +247,18 @@ def kind_of(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: Column, inverse: bool = False) -> Column:
     """The match permuted within its format."""
     d = _digits(m)
-    digits = lambda name: _respell(m, permute_digits(d, key, F.lit(name), inverse))
     user, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    moved = lambda pattern: F.date_format(permute_date(F.try_to_date(m, pattern), key, inverse), pattern)
+    moved = lambda pattern, permute=permute_date: F.date_format(permute(F.try_to_date(m, pattern), key, inverse), pattern)
     return (
         F.when(kind == "email", F.concat(permute_text(user, key, F.lit("email"), inverse), F.lit("@"), host))
         .when(kind == "ip", permute_ip(m, key, inverse))
         .when(kind == "date_ymd", moved("yyyy-MM-dd"))
         .when(kind == "date_dmy", moved("dd/MM/yyyy"))
-        .when(kind == "date_mdy", moved("MM/dd/yyyy"))
+        .when(kind == "date_mdy", moved("MM/dd/yyyy", permute_late_date))
         .when(kind == "card", _respell(m, permute_card(d, key, inverse)))
-        .when(kind.isin("ssn", "phone", "number"), digits("digits"))
-        .when(kind == "iban", F.concat(F.substring(m, 1, 4), permute_text(F.substring(m, F.lit(5), F.length(m)), key, F.lit("iban"), inverse)))
+        .when(kind == "ssn", _respell(m, permute_ssn(d, key, inverse)))
+        .when(kind == "phone", permute_phone(m, key, inverse))
+        .when(kind == "iban", permute_iban(m, key, inverse))
         .when(kind == "secret", permute_text(m, key, F.lit("secret"), inverse))
         .otherwise(m)
     )
@@ -221,11 +268,15 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``(doc_id, text, kinds, n_found)`` for every row: the text with each validated value replaced.
 
     Null text stays null, with nothing found.  No row depends on another, so repeated rows, empty
-    tables and texts of any length need nothing special; there is no shuffle.
+    tables and texts of any length need nothing special; there is no shuffle.  E-mail addresses have
+    a local part of 64 characters and 127 host labels at most; what is longer is left alone or cut there.
     """
-    secret = F.lit(key)
-    own = documents(docs).withColumn("found", F.when(F.col("text").rlike(PATTERN), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
-    pieces = F.split("text", PATTERN, -1)
+    # Without rows in the plan: a table of one row, whose value is read when the query runs.
+    held = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    secret = F.col("secret")
+    own = documents(docs).withColumn("secret", held).withColumn("found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    own = own.withColumn("found", F.when(F.size("found") > 0, F.col("found")))
+    pieces = F.when(F.col("found").isNotNull(), F.split("text", PATTERN, -1))
     own = own.withColumn("marked", F.transform("found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
     own = own.withColumn("new", F.transform("marked", lambda x: F.when(x["kind"].isNotNull(), pseudonym(x["m"], x["kind"], secret)).otherwise(x["m"])))
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.concat("new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")

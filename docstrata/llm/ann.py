@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ship import ship
 
@@ -105,7 +106,10 @@ def train(sample: np.ndarray, books: int = 8, words: int = 256, refine: int = 2,
 
 def _valid(rows: DataFrame) -> DataFrame:
     """``(vec_id, v)`` without vectors that are null, empty, zero or hold null or non-finite components."""
-    x = F.transform(F.col("embedding"), lambda c: c.cast("float"))
+    # Components stay doubles where the table has doubles: scores are those of the original vectors.
+    kind = rows.schema["embedding"].dataType
+    own_kind = "float" if isinstance(getattr(kind, "elementType", None), T.FloatType) else "double"
+    x = F.transform(F.col("embedding"), lambda c: c.cast(own_kind))
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).filter("vec_id is not null and size(v) > 0")
     return own.filter(
         F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -125,29 +129,39 @@ def fit(vectors: DataFrame, bound: int = 16000, **options) -> Codebooks | None:
         return None
     sizes, counts = np.unique([len(x) for x in rows], return_counts=True)
     dim = sizes[counts.argmax()]
-    return train(np.array([x for x in rows if len(x) == dim], np.float32), **options)
+    return train(_coded(np.array([x for x in rows if len(x) == dim])), **options)
 
 
 def encoded(vectors: DataFrame, model: Codebooks) -> DataFrame:
-    """The index: ``(vec_id, v, codes, norm)`` for every valid row; norm is that of the reconstruction."""
+    """The index: ``(vec_id, v, codes, norm)`` for every valid row; norm is the vector's as a multiple of its reconstruction's.
+
+    Codes shrink vectors, the more the worse they fit; the stored norm undoes that in the scores.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             x = _matrix(batch.column("v"), model.dim)
-            codes = model.encode(x)
-            norms = np.linalg.norm(model.decode(codes), axis=1)
+            codes = model.encode(_coded(x))
+            near = np.linalg.norm(model.decode(codes).astype(np.float64), axis=1)
+            norms = np.where(near > 0, np.linalg.norm(_coded(x).astype(np.float64), axis=1) / np.maximum(near, 1e-30), 1.0)
             yield pa.record_batch(
                 [batch.column("vec_id"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())],
                 names=["vec_id", "v", "codes", "norm"],
             )
 
-    return vectors.filter(F.size("v") == model.dim).mapInArrow(run, "vec_id long, v array<float>, codes binary, norm float")
+    kind = vectors.schema["v"].dataType.simpleString()
+    return vectors.filter(F.size("v") == model.dim).mapInArrow(run, f"vec_id long, v {kind}, codes binary, norm float")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float32).reshape(-1, dim)
+    return np.asarray(column.flatten()).reshape(-1, dim)
+
+
+def _coded(x: np.ndarray) -> np.ndarray:
+    """As the codebooks take them: 32 bits, within what their squares can hold."""
+    return np.clip(x, -1e15, 1e15).astype(np.float32)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -163,14 +177,14 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, is_query: F.Column, k: int = 20, shortlist: int = 100, least_block: int = 8192, most_block: int = 131072, model: Codebooks | None = None, share: float = 0.05, **options
+    vectors: DataFrame, is_query: F.Column, k: int = 20, shortlist: int = 100, least_block: int = 8192, most_block: int = 131072, model: Codebooks | None = None, share: float = 0.07, **options
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row under ``is_query`` its ``k`` nearest by inner product.
 
     ``vectors`` has vec_id and embedding.  Null ids and vectors that are null, empty, zero, of another
     dimension or with null or non-finite components take no part.  A query isn't its own neighbour.
-    Ties go to the smaller vec_id.  A vec_id that is there twice is one query (with either vector)
-    and one candidate per row.  An empty table gives no rows.
+    Ties go to the smaller vec_id.  A vec_id that is there twice is one query (with the
+    smaller vector, component by component) and one candidate per row.  An empty table gives no rows.
 
     Each block reranks its best ``share`` of the codes, ``shortlist`` at least: with a fixed number
     the share of true neighbours among them falls as the block grows.
@@ -186,9 +200,9 @@ def search(
     size = int(min(most_block, max(least_block, total / (2 * spark.sparkContext.defaultParallelism))))
     blocks = max(1, math.ceil(total / size))
     held = index.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("side", F.lit(0))
-    queries = own.filter(is_query).filter(F.size("v") == model.dim).dropDuplicates(["vec_id"])
-    queries = queries.withColumn("codes", F.lit(None).cast("binary")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
-    columns = ["block", "side", "vec_id", "v", "codes"]
+    queries = own.filter(is_query).filter(F.size("v") == model.dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = queries.withColumn("codes", F.lit(None).cast("binary")).withColumn("norm", F.lit(None).cast("float")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
+    columns = ["block", "side", "vec_id", "v", "codes", "norm"]
     both = held.select(columns).union(queries.select(columns)).repartition(blocks, "block").sortWithinPartitions("block", "side", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +216,7 @@ def search(
                     parts = parts if now == block else []
                     block, ready = now, None
                     codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-                    parts.append((ids, x, codes))
+                    parts.append((ids, x, codes, np.asarray(batch.column("norm"))))
                 elif now == block:
                     ready = ready or tuple(np.concatenate(p) for p in zip(*parts, strict=True))
                     for at in range(0, len(ids), 64):
@@ -224,8 +238,8 @@ def _runs(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[pa.RecordBa
         yield batch.slice(s, e - s)
 
 
-def _found(query_ids, queries, ids, x, codes, model: Codebooks, k: int, shortlist: int) -> pa.RecordBatch:
-    score = model.lookup(queries, codes)
+def _found(query_ids, queries, ids, x, codes, norms, model: Codebooks, k: int, shortlist: int) -> pa.RecordBatch:
+    score = model.lookup(_coded(queries), codes) * norms
     score[query_ids[:, None] == ids[None, :]] = -np.inf
     short = _best(score, ids, shortlist)
     exact = np.empty(short.shape)

@@ -7,8 +7,8 @@ compared token by token on the hit's diagonal, and any long enough window with f
 decides.
 
 The benchmark is read in chunks of a bounded number of tokens.  Each chunk is a broadcast table; a
-larger benchmark makes several passes over the corpus, so no table grows with it.  The corpus isn't
-shuffled but for the union of passes.
+larger benchmark makes several passes over the corpus, so no table grows with it.  Only the documents
+with an overlap leave a pass; they are gathered by doc_id and digest of the text.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ MASKS = ("111111", "1101011001", "1110010101001", "101100100111")
 SHORT = 15
 CHUNK_TOKENS = 250_000
 _PREFILTER = 1 << 22
+_HITS = 1 << 20
 
 # Letters, digits and bytes of non-ASCII characters are token bytes; ASCII capitals are lowered.
 _FOLD = np.full(256, 32, np.uint8)
@@ -92,14 +93,32 @@ class Seeds:
             at, made = at[some], made[some]
             low, high = np.searchsorted(keys, made, "left"), np.searchsorted(keys, made, "right")
             n = high - low
-            if n.sum():
-                entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                where = np.repeat(at, n)
-                row = row_of[where]
-                out.append(np.stack([row, items[entry], where - rows[row] - places[entry]], axis=1))
+            # A run of one repeated word meets all places of such a run: a bounded number of hits at a time.
+            edge = 0
+            total = np.cumsum(n)
+            while edge < len(n) and total[-1]:
+                stop = max(edge + 1, int(np.searchsorted(total, (total[edge - 1] if edge else 0) + _HITS, "right")))
+                some, edge = slice(edge, stop), stop
+                m = n[some]
+                if m.sum():
+                    entry = np.repeat(low[some], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    where = np.repeat(at[some], m)
+                    row = row_of[where]
+                    out.append(_distinct(row, items[entry], where - rows[row] - places[entry]))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
+def _distinct(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Distinct (row, item, diagonal)."""
+    low = int(diagonal.min())
+    wide, tall = int(diagonal.max()) - low + 1, int(item.max()) + 1
+    if (int(row.max()) + 1) * tall * wide >= 1 << 62:
+        return np.unique(np.stack([row, item, diagonal], axis=1), axis=0)
+    key = np.unique((row * tall + item) * wide + (diagonal - low))
+    pair = key // wide
+    return np.stack([pair // tall, pair % tall, key % wide + low], axis=1)
+
+
 def best_window(same: np.ndarray, share: float, least: int) -> int:
     """Most matched tokens of any window of ``least`` tokens or more of which at least ``share`` match; 0 if there is none.
 
@@ -149,18 +168,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, lea
     is there twice counts under each of its ids.  Repeated rows are judged each on their own.
     """
     context = docs.sparkSession.sparkContext
-    own, parts = documents(docs), []
-    for items in _chunks(benchmark, budget):
-        shared = context.broadcast(items)
-        parts.append(own.mapInArrow(_judge(shared, share, least), "doc_id long, overlap_tokens int, item_ids array<long>"))
-    if len(parts) == 1:
-        out = parts[0]
-    else:  # every pass has a row per document in the same order: number them and gather
-        tagged = [p.withColumn("_row", F.monotonically_increasing_id()) for p in parts]
-        out = tagged[0]
-        for p in tagged[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.max("overlap_tokens").alias("overlap_tokens"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+    own, schema = documents(docs), "doc_id long, mark string, overlap_tokens int, item_ids array<long>"
+    chunks = [context.broadcast(items) for items in _chunks(benchmark, budget)]
+    if len(chunks) == 1:
+        out = own.withColumn("mark", F.lit(None).cast("string")).select("doc_id", "text", "mark").mapInArrow(_judge(chunks[0], share, least), schema)
+    else:  # repeated rows have the same finds in every pass, so their doc_id and text say whose these are
+        own = own.withColumn("mark", F.md5("text"))
+        parts = [own.mapInArrow(_judge(c, share, least), schema).filter("overlap_tokens > 0") for c in chunks]
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.union(p)
+        ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")
+        found = found.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.max("overlap_tokens").alias("overlap_tokens"), ids)
+        out = own.select("doc_id", "mark").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
+        out = out.withColumn("overlap_tokens", F.coalesce("overlap_tokens", F.lit(0))).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<long>")))
     n = F.size("item_ids")
     return out.select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), "overlap_tokens", "item_ids")
 
@@ -170,7 +191,7 @@ def _judge(shared, share: float, least: int):
         seeds = Seeds(shared.value, share)
         for batch in batches:
             most, found = _scan(batch.column(1), seeds, share, least)
-            yield pa.record_batch([batch.column(0), pa.array(most, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "overlap_tokens", "item_ids"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(most, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "mark", "overlap_tokens", "item_ids"])
 
     return run
 

@@ -29,7 +29,7 @@ _PARTITION_SHIFT = 40
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 1024
-    segments: int = 256
+    segments: int = 1024
     loss_tokens: int = 1024
 
 
@@ -38,7 +38,7 @@ class Packer:
 
     An example is a run of tokens of which the first ``loss`` bear loss.  ``add`` takes examples,
     ``flush`` ends the last sequence; both yield placements ``(key, start, length, sequence, offset)``.
-    An example over a limit is cut if cuttable, else refused.  Empty examples take no place.
+    An example over a limit is cut if cuttable, else refused: it has no sequence.  Empty examples take no place.
     """
 
     def __init__(self, limits: Limits, cuttable: bool = True, pool: int = 512):
@@ -96,7 +96,8 @@ class Packer:
         start, whole = 0, min(self.limits.tokens, self.limits.loss_tokens)
         if tokens > self.limits.tokens or loss > self.limits.loss_tokens:
             if not self.cuttable:
-                raise ValueError(f"example {key!r} of {tokens} tokens is over the limits")
+                yield key, 0, tokens, None, None  # refused
+                return
             while tokens > whole:  # a sequence of its own for each full length
                 yield key, start, whole, self._number(), 0
                 start, tokens, loss = start + whole, tokens - whole, loss - min(loss, whole)
@@ -174,23 +175,23 @@ def pack_documents(
 
 
 def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Whole instruction examples ``(example_id, n_tokens, n_loss_tokens)`` → ``(example_id, sequence_id, offset)``.
+    """Whole instruction examples ``(example_id, n_tokens, n_loss_tokens)`` → ``(example_id, sequence_id, offset, refused)``.
 
-    Null or no tokens: the example takes no place and has no row.  Over a limit: an error.
+    Null or no tokens: the example takes no place and has no row.  Over a limit: refused, without a
+    place.  Repeated rows are packed each; an empty table gives no rows.
     """
+    schema = pa.schema([("example_id", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("refused", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base = Packer(limits, cuttable=False), _sequence_base()
 
         def out(placements) -> pa.RecordBatch:
-            rows = [(key, base + sequence, offset) for key, _, _, sequence, offset in placements]
-            schema = pa.schema([("example_id", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+            rows = [(key, None if sequence is None else base + sequence, offset, sequence is None) for key, _, _, sequence, offset in placements]
+            return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else ([] for _ in schema), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for key, tokens, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield out(packer.add(key, tokens or 0, loss or 0))
+            yield out([x for key, tokens, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in packer.add(key, tokens or 0, loss or 0)])
         yield out(packer.flush())
 
     some = examples.selectExpr("cast(example_id as long) example_id", "cast(n_tokens as long) n_tokens", "cast(n_loss_tokens as long) n_loss_tokens")
-    return some.mapInArrow(run, "example_id long, sequence_id long, offset long")
+    return some.mapInArrow(run, "example_id long, sequence_id long, offset long, refused boolean")

@@ -162,9 +162,10 @@ def _features_udf():
     return made
 
 
-def _gathered(rows: DataFrame) -> np.ndarray:
+def _gathered(rows: DataFrame, most: int) -> np.ndarray:
+    """Features of the rows; ``most`` holds only if single ids are there very often, as ids are drawn, not rows."""
     made = _features_udf()
-    got = rows.select(made(F.col("text").cast("string")).alias("x")).toArrow().column("x").combine_chunks()
+    got = rows.select(made(F.col("text").cast("string")).alias("x")).limit(most).toArrow().column("x").combine_chunks()
     return np.asarray(got.values, np.float32).reshape(-1, WIDTH) if len(got) else np.zeros((0, WIDTH), np.float32)
 
 
@@ -184,9 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model | None
     draw = lambda n: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20)) < int(min(1.0, bound / max(n, 1)) * (1 << 20))
     some = known.filter("quality = 1").filter(draw(count[1])).select(F.col("doc_id").alias("_known")).distinct()
     # At most about ``bound`` ids: a broadcast of bounded size.
-    positive = _gathered(docs.join(F.broadcast(some), docs["doc_id"].cast("long") == some["_known"], "left_semi"))
+    positive = _gathered(docs.join(F.broadcast(some), docs["doc_id"].cast("long") == some["_known"], "left_semi"), 2 * bound)
     web = docs.filter(~held_out("doc_id"))
-    unlabelled = _gathered(web.filter(F.coalesce(draw(docs.count()), F.lit(False))))
+    unlabelled = _gathered(web.filter(F.coalesce(draw(docs.count()), F.lit(False))), 2 * bound)
     if not len(positive) or not len(unlabelled):
         return None
     if min(count.get(0, 0), count[1]) >= 20:

@@ -29,6 +29,20 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as instruction examples under three limits; what assistants say bears loss."""
+    from .packing import Limits, pack_examples
+    from .tokencount import count_tokens
+
+    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null")
+    # An id that tells whose turn it is, since counts come by row.
+    says = turns.select((F.col("conv_id") * 2 + F.coalesce(F.col("role") == "assistant", F.lit(False)).cast("long")).alias("doc_id"), "text")
+    counted = count_tokens(says, tokenizer_path())
+    loss = F.when(F.pmod("doc_id", F.lit(2)) == 1, F.col("n_tokens")).otherwise(0)
+    examples = counted.groupBy(F.floor(F.col("doc_id") / 2).cast("long").alias("example_id")).agg(F.sum("n_tokens").alias("n_tokens"), F.sum(loss).alias("n_loss_tokens"))
+    return pack_examples(examples, Limits(2048, 16, 1536))
+
+
 def op3_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -44,7 +58,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bfd import pack_best_fit
 
-    return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+    return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +158,7 @@ def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op2_vector_packing": op2_vector_packing,
+    "pack_conversations": pack_conversations,
     "op3_hyperminhash_dedup": op3_hyperminhash_dedup,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_token_counts": op5_token_counts,

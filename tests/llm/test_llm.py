@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -147,6 +148,24 @@ def test_vector_limits_hold_for_examples(spark):
     assert len(by) <= 1.25 * bound + 2
 
 
+def test_one_token_documents_fill_sequences(spark):
+    rows = packing.pack_documents(spark.range(5000).selectExpr("id as doc_id", "'' as text").coalesce(1), BPE).collect()
+    assert len(rows) == 5000 and len({r.sequence_id for r in rows}) == 5
+
+
+def test_examples_over_a_limit_are_refused(spark):
+    rows = [(1, 10, 5), (2, 2000, 5), (3, 10, 700), (4, None, 3), (1, 10, 5)]
+    got = packing.pack_examples(spark.createDataFrame(rows, "example_id long, n_tokens long, n_loss_tokens long"), packing.Limits(1000, 3, 600)).collect()
+    assert sorted((r.example_id, r.refused, r.sequence_id is None) for r in got) == [(1, False, False), (1, False, False), (2, True, True), (3, True, True)]
+
+
+def test_conversations_are_packed(spark, sf_dir):
+    got = queries.pack_conversations(spark, sf_dir).collect()
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text <> ''")
+    assert sorted(r.example_id for r in got) == sorted(r.conv_id for r in turns.select("conv_id").distinct().collect())
+    assert max(sum(r.sequence_id == s for r in got) for s in {r.sequence_id for r in got if not r.refused}) <= 16
+
+
 def test_best_fit_decreasing_by_brute_force():
     rng = random.Random(4)
     for _ in range(50):
@@ -464,6 +483,50 @@ def test_contamination_with_substitutions_at_the_edges(spark):
     assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == {k for k, (m, _) in want.items() if not m}
 
 
+def brute_overlap(text: str, item: str) -> int:
+    """Most agreeing tokens of any window on any diagonal, token by token."""
+    own, test = text.split(), item.split()
+    least, best = min(16, len(test)), 0
+    for diagonal in range(1 - len(test), len(own)):
+        start, stop = max(0, -diagonal), min(len(test), len(own) - diagonal)
+        if stop - start >= least:
+            best = max(best, brute_window([test[k] == own[k + diagonal] for k in range(start, stop)], least))
+    return best
+
+
+def test_contamination_by_a_brute_force_aligner(spark):
+    rng = random.Random(31)
+    items = [prose(n, rng) for n in (4, 6, 9, 14, 18, 25)]
+    rows = []
+    for k in range(120):
+        words = rng.choice(items).split()
+        words = [w if rng.random() > 0.12 else "zzz" for w in words][rng.randrange(3) :]
+        rows.append((k, f"{prose(rng.randrange(12), rng)} {' '.join(words)} {prose(rng.randrange(12), rng)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in decontam.contamination(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    missed = 0
+    for k, text in rows:
+        want = {i: brute_overlap(text, item) for i, item in enumerate(items)}
+        found = set(got[k].item_ids)
+        assert all(want[i] for i in found) and all(i in found for i in range(4) if want[i])
+        missed += sum(1 for i in (4, 5) if want[i] and i not in found)
+    assert missed <= 1
+
+
+def test_one_word_over_and_over(spark):
+    rows = [(1, "very " * 20_000), (2, "fine day"), (3, "very " * 17)]
+    items = spark.createDataFrame([(5, "very " * 500)], "item_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.contaminated, r.overlap_tokens) for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: (True, 500), 2: (False, 0), 3: (True, 17)} and time.time() - began < 60
+
+
+def test_passes_over_the_corpus_keep_rows_apart(spark, odd):
+    items = spark.createDataFrame([(k, odd_texts()[k][1]) for k in (7, 12, 16)], "item_id long, text string")
+    whole = lambda budget, docs: sorted((str(r) for r in decontam.contamination(docs, items, budget=budget).collect()))
+    assert whole(10**6, odd) == whole(10, odd) == whole(10, odd.repartition(5, "text"))
+
+
 def test_contamination_of_odd_rows(spark, odd, empty, sf_dir):
     benchmark = spark.createDataFrame([(1, odd_texts()[7][1])], "item_id long, text string")
     assert decontam.contamination(empty, benchmark).count() == 0

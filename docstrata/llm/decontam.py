@@ -201,7 +201,7 @@ def _scan(column: pa.Array, seeds: Seeds, share: float, least: int) -> tuple[lis
     most, found = [0] * len(column), [set() for _ in range(len(column))]
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (8 << 20), side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (2 << 20), side="right")) - 1)
         tokens, rows = _tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         for row, item, matched in _overlaps(tokens, rows, seeds, share, least):
             most[i + row] = max(most[i + row], matched)

@@ -140,11 +140,11 @@ def _shared(rows: DataFrame, least: int = 2) -> DataFrame:
 
 
 def _hot_order(index: DataFrame) -> DataFrame:
-    """One row with one array: by bucket of tokens the size class of its hottest one in the top byte, 0 where none is hot."""
+    """One row with one array: by bucket of tokens the size class of its hottest one, 0 where none is hot."""
     some = index.filter(F.col("held") > HOT).groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
-    classes = some.agg(F.shiftleft(F.max(F.floor(4 * F.log2("held"))).cast("long"), 56).alias("c"))
+    classes = some.agg(F.max(F.floor(4 * F.log2("held")).cast("tinyint")).alias("c"))
     filled = index.sparkSession.range(BUCKETS).select(F.col("id").alias("b")).join(classes, "b", "left")
-    ordered = F.sort_array(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0).cast("long")).alias("c"))))
+    ordered = F.sort_array(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0).cast("tinyint")).alias("c"))))
     return filled.agg(F.transform(ordered, lambda x: x["c"]).alias("classes"))
 
 
@@ -189,7 +189,7 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
     order = written(_hot_order(met), "order")
     again = sets.join(met.filter(F.col("held") > HOT).select("c").distinct(), "c").withColumn("order", order.scalar())
-    code = lambda t: F.get("order", t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
+    code = lambda t: F.shiftleft(F.get("order", t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
     again = again.select("c", F.posexplode_outer(F.slice(F.sort_array(F.transform("codes", code)), 1, _prefix_size(F.col("n")))).alias("pos", "token"))
     again = written(again.withColumn("token", F.xxhash64("token", F.lit(1))), "again")
     both = met.filter(F.col("held") <= HOT).select("token", "c", "pos").union(_shared(again).select("token", "c", "pos"))

@@ -50,7 +50,7 @@ def _doc_shingles(column: pa.Array) -> Iterator[np.ndarray]:
     raw, offsets = _text.buffer_of(column)
     i = 0
     while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (8 << 20), side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (2 << 20), side="right")) - 1)
         part = _text.lower_ascii(raw[offsets[i] : offsets[j]])
         starts, ends, rows = _text.word_spans(part, offsets[i : j + 1] - offsets[i])
         made, at = _text.shingles(_text.hash_spans(part, starts, ends), rows)

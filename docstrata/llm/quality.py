@@ -13,6 +13,7 @@ broadcast with the scoring function; scoring needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,14 +52,19 @@ def _repeats(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def features(column: pa.Array) -> np.ndarray:
     """One row of features per text; empty and null texts have all zeros."""
+    return np.concatenate([np.zeros((0, WIDTH), np.float32), *_blocks(column)])
+
+
+def _blocks(column: pa.Array) -> Iterator[np.ndarray]:
+    """Features of some rows at a time: a megabyte of text, or one longer text."""
     raw, offsets = _text.buffer_of(column)
-    out = np.zeros((len(column), WIDTH), np.float32)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (8 << 20), side="right")) - 1)
-        _fill(out[i:j], raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        j = max(i + 1, min(i + 1024, int(np.searchsorted(offsets, offsets[i] + (1 << 20), side="right")) - 1))
+        out = np.zeros((j - i, WIDTH), np.float32)
+        _fill(out, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield out
         i = j
-    return out
 
 
 def _fill(out: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> None:
@@ -200,8 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model | None
 def scorer(model: Model | None):
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        x = features(pa.array(text, pa.string(), from_pandas=True))
-        return pd.Series(model.score(x).astype(float) if model else np.full(len(x), 0.5))
+        if model is None:
+            return pd.Series(np.full(len(text), 0.5))
+        blocks = _blocks(pa.array(text, pa.string(), from_pandas=True))
+        return pd.Series(np.concatenate([np.zeros(0), *(model.score(x).astype(float) for x in blocks)]))
 
     return score
 

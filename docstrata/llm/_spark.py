@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..ship import ship
 
 
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset and all executors are threads of this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,11 +68,22 @@ def dropped(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._docstrata_path)
 
 
+def prepared(spark: SparkSession) -> None:
+    """Make Python workers ready: the package's sources, and Arrow batches of bounded bytes, since by rows alone one of long texts may be huge.
+
+    A bound that the session sets itself stays.
+    """
+    ship(spark)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(docs: DataFrame) -> DataFrame:
     """The two columns that every text operator reads, under names that no extra column can clash with."""
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

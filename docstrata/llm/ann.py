@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..ship import ship
+from ._spark import prepared
+
 
 
 @dataclass
@@ -190,7 +191,7 @@ def search(
     the share of true neighbours among them falls as the block grows.
     """
     spark = vectors.sparkSession
-    ship(spark)
+    prepared(spark)
     own = _valid(vectors)
     model = model or fit(own, **options)
     if model is None:

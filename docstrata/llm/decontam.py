@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
 from . import _text
-from ._spark import documents
+from ._spark import documents, prepared
 
 #: 1 is a token that must agree, 0 one that may differ.  Each has six that must agree.
 MASKS = ("111111", "1101011001", "1110010101001", "101100100111")
@@ -212,7 +211,7 @@ def _scan(column: pa.Array, seeds: Seeds, share: float, least: int) -> tuple[lis
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, least: int = 16, budget: int = CHUNK_TOKENS) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     kept = docs
     for items in _chunks(benchmark, budget):
         pure = _pure(docs.sparkSession.sparkContext.broadcast(items), share, least)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
 from . import _text
+from ._spark import prepared
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91], _CLASS[48:58], _CLASS[32], _CLASS[10], _CLASS[128:] = 1, 2, 3, 4, 5
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model | None
     The sample follows from hashes of doc_id, so it is the same whatever the partitions.  Held-out
     rows take no part.
     """
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(~held_out("doc_id") & F.col("quality").isin(0, 1))
     sizes = known.groupBy("quality").count().collect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..ship import ship
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from . import _text
 
-_SLOTS = 1 << 22
+_SLOTS = 1 << 21
 _LIMIT = _SLOTS // 2
 
 

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,10 +219,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, least: int
 
 
 def _pure(shared, share: float, least: int):
-    @F.pandas_udf("boolean")
-    def pure(text: pd.Series) -> pd.Series:
-        most, _ = _scan(pa.array(text, pa.string(), from_pandas=True), _seeds_of(shared, share), share, least)
-        return pd.Series([m == 0 for m in most])
+    @F.arrow_udf("boolean")
+    def pure(text: pa.Array) -> pa.Array:
+        most, _ = _scan(text, _seeds_of(shared, share), share, least)
+        return pa.array([m == 0 for m in most], pa.bool_())
 
     return pure
 

@@ -193,7 +193,7 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     again = again.select("c", F.posexplode_outer(F.slice(F.sort_array(F.transform("codes", code)), 1, _prefix_size(F.col("n")))).alias("pos", "token"))
     again = written(again.withColumn("token", F.xxhash64("token", F.lit(1))), "again")
     both = met.filter(F.col("held") <= HOT).select("token", "c", "pos").union(_shared(again).select("token", "c", "pos"))
-    both = both.join(sets.select("c", "n", "b1", "b2"), "c").select("token", F.struct("c", "n", "pos", "b1", "b2").alias("x"))
+    both = both.join(sets.select("c", "n", "b1", "b2").hint("merge"), "c").select("token", F.struct("c", "n", "pos", "b1", "b2").alias("x"))
     last, met = met, written(both, "candidates")
     dropped(last, order, again)
 

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,9 +160,10 @@ def held_out(doc_id) -> F.Column:
 
 
 def _features_udf():
-    @F.pandas_udf("array<float>")
-    def made(text: pd.Series) -> pd.Series:
-        return pd.Series(list(features(pa.array(text, pa.string(), from_pandas=True))))
+    @F.arrow_udf("array<float>")
+    def made(text: pa.Array) -> pa.Array:
+        x = features(text)
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * WIDTH, x.ravel())
 
     return made
 
@@ -204,12 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model | None
 
 
 def scorer(model: Model | None):
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
         if model is None:
-            return pd.Series(np.full(len(text), 0.5))
-        blocks = _blocks(pa.array(text, pa.string(), from_pandas=True))
-        return pd.Series(np.concatenate([np.zeros(0), *(model.score(x).astype(float) for x in blocks)]))
+            return pa.array(np.full(len(text), 0.5))
+        return pa.array(np.concatenate([np.zeros(0), *(model.score(x).astype(float) for x in _blocks(text))]))
 
     return score
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import documents, dropped, written
+from ._spark import documents, dropped, swept, written
 
 WORDS = 5
 #: Tokens that more classes than this hold in their prefixes come last in the order.
@@ -172,6 +172,7 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     salt = F.when(F.col("heavy"), F.xxhash64("doc_id", "line_no"))
     rows = rows.withColumn("rows", F.count("*").over(Window.partitionBy("token", salt))).filter("rows > 1 or heavy").drop("rows", "heavy")
     rows = written(rows, "prefix-rows")
+    swept(own.sparkSession)
 
     # Equal sets have equal digests and equal shared tokens; the first line stands for its class.
     lines = rows.groupBy("doc_id", "line_no", "k1", "n").agg(F.min("token").alias("k2"))
@@ -196,6 +197,7 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     both = both.join(sets.select("c", "n", "b1", "b2").hint("merge"), "c").select("token", F.struct("c", "n", "pos", "b1", "b2").alias("x"))
     last, met = met, written(both, "candidates")
     dropped(last, order, again)
+    swept(own.sparkSession)
 
     pivots = met.groupBy("token", F.pmod(F.xxhash64("x.c"), F.lit(PIVOTS))).agg(F.min("x").alias("y"))
     later = F.col("x.c") > F.col("y.c")

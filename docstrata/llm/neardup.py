@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import documents, dropped, written
+from ._spark import documents, dropped, swept, written
 from .components import components
 
 BANDS, WIDTH = 90, 7
@@ -279,6 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     keys = full.select(F.explode_outer("keys").alias("key"), F.col("digest").alias("id"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low")
     rows = written(keys.join(shared.hint("merge"), "key").distinct(), "shared-keys")
+    swept(own.sparkSession)
     clusters = components(rows.select(F.col("id").alias("a"), F.col("low").alias("b")))
     members = clusters.withColumnRenamed("component", "cluster").join(classes.withColumnRenamed("digest", "id"), "id")
     members = written(members.select("id", "cluster", "n", "rep"), "members")

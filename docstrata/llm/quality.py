@@ -118,10 +118,15 @@ def elkan_noto_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, seed: int = 7) -> Model:
-    """Minimise the non-negative risk by Adam over mini-batches."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 0.02
-    p, u = ((v - mean) / scale for v in (positive, unlabelled))
+    """Minimise the non-negative risk by Adam over mini-batches.  Both matrices are standardised in place."""
+    p, u = positive, unlabelled
+    n = len(p) + len(u)
+    mean = (p.sum(0) + u.sum(0)) / n
+    for v in (p, u):
+        v -= mean
+    scale = np.sqrt((np.einsum("ij,ij->j", p, p) + np.einsum("ij,ij->j", u, u)) / n) + np.float32(0.02)
+    for v in (p, u):
+        v /= scale
     rng = np.random.default_rng(seed)
     theta = [rng.normal(0, 0.05, (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
     moment, square, step = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta], 0
@@ -172,7 +177,7 @@ def _gathered(rows: DataFrame, most: int) -> np.ndarray:
     """Features of the rows; ``most`` holds only if single ids are there very often, as ids are drawn, not rows."""
     made = _features_udf()
     got = rows.select(made(F.col("text").cast("string")).alias("x")).limit(most).toArrow().column("x").combine_chunks()
-    return np.asarray(got.values, np.float32).reshape(-1, WIDTH) if len(got) else np.zeros((0, WIDTH), np.float32)
+    return np.array(got.values, np.float32).reshape(-1, WIDTH) if len(got) else np.zeros((0, WIDTH), np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model | None:

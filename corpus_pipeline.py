@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.llm import decontam, linededup, neardup, packing, quality
-from docstrata.llm._spark import dropped, table, written
+from docstrata.llm._spark import dropped, swept, table, written
 from docstrata.llm.queries import tokenizer_path
 
 
@@ -69,4 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last is not None:
             dropped(last)
         last = docs
+        swept(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -170,7 +170,10 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     heavy = written(_heavy(own, width), "heavy")
     rows = _prefix_rows(own, width).join(F.broadcast(heavy), "token", "left")
     salt = F.when(F.col("heavy"), F.xxhash64("doc_id", "line_no"))
-    rows = rows.withColumn("rows", F.count("*").over(Window.partitionBy("token", salt))).filter("rows > 1 or heavy").drop("rows", "heavy")
+    window = Window.partitionBy("token", salt)
+    several = F.col("heavy") | (F.col("low") <> F.col("high"))  # else all of the token's lines are equal
+    rows = rows.select("*", F.count("*").over(window).alias("rows"), F.min("k1").over(window).alias("low"), F.max("k1").over(window).alias("high"))
+    rows = rows.filter("rows > 1 or heavy").withColumn("several", F.coalesce(several, F.col("low") <> F.col("high"))).drop("rows", "heavy", "low", "high")
     rows = written(rows, "prefix-rows")
     swept(own.sparkSession)
 
@@ -180,7 +183,7 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     classes = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", "k1")).alias("c"))
     classes = written(classes, "line-classes")
     # Equal sets count once.  Rows that fit no other of their token by length and position go.
-    index = written(_shared(rows.select("token", "k1", "n", "pos").distinct()), "index")
+    index = written(_shared(rows.filter("several").select("token", "k1", "n", "pos").distinct()), "index")
     x, y = index.filter(F.col("held") <= HOT).alias("x"), index.alias("y")
     cold = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.k1") != F.col("y.k1")) & _fitting("x", "y"), "left_semi")
     fitting = cold.unionByName(index.filter(F.col("held") > HOT)).drop("n")

@@ -171,9 +171,9 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     rows = _prefix_rows(own, width).join(F.broadcast(heavy), "token", "left")
     salt = F.when(F.col("heavy"), F.xxhash64("doc_id", "line_no"))
     window = Window.partitionBy("token", salt)
-    several = F.col("heavy") | (F.col("low") <> F.col("high"))  # else all of the token's lines are equal
+    several = F.col("heavy") | (F.col("low") != F.col("high"))
     rows = rows.select("*", F.count("*").over(window).alias("rows"), F.min("k1").over(window).alias("low"), F.max("k1").over(window).alias("high"))
-    rows = rows.filter("rows > 1 or heavy").withColumn("several", F.coalesce(several, F.col("low") <> F.col("high"))).drop("rows", "heavy", "low", "high")
+    rows = rows.filter("rows > 1 or heavy").withColumn("several", F.coalesce(several, F.col("low") != F.col("high"))).drop("rows", "heavy", "low", "high")
     rows = written(rows, "prefix-rows")
     swept(own.sparkSession)
 

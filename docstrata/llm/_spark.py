@@ -62,11 +62,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def swept(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects their objects."""
-    spark._jvm.java.lang.System.gc()
-
-
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that no plan needs any longer."""
     for df in tables:

@@ -659,6 +659,13 @@ def section_chunks_documents(spark, sf_dir):
     return chunks.groupBy(F.substring_index("source", "/", 1).alias("source")).agg(F.count("*").alias("n_chunks"))
 
 
+@query("section_chunks_sized")
+def section_chunks_sized(spark, sf_dir):
+    """Every document in chunks of the production size, with a digest of each."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("source"), "text")
+    return splitters.section_chunks(docs).select("chunk_id", "part", "total_parts", F.length("content").alias("size"), F.md5("content").alias("digest"))
+
+
 CLAUSES = "Lời dẫn\n" + "\n".join(f"{k}. Khoản {k} " + "x" * 60 for k in (1, 2)) + "\n3. Khoản 3\na) " + "y" * 90 + "\nb) " + "z" * 40
 UNITS = [(0, "1", None), (1, "2", None), (2, "3", "a"), (3, "3", "b")]
 

@@ -28,11 +28,15 @@ class Index:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index | None:
-        """The saved index, or None if there is none."""
+        """The saved index, or None if there is none; a damaged or partial one is an error."""
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
         try:
-            return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "docs", "stats")))
-        except AnalysisException:
+            postings = read("postings")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
+        return Index(postings, *(read(name) for name in ("terms", "docs", "stats")))
 
 
 def fit(docs: DataFrame, codes: bool = False) -> Index:

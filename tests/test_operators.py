@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import math
+import shutil
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
@@ -205,3 +207,28 @@ def test_judge_sees_each_pair_once(spark):
     got = evidence.judged_once(pairs, evidence.rule_judge)
     assert sorted((r.premise, r.verdict or "") for r in got.collect()) == [("A b", "entailed"), ("a  B", "entailed"), ("x", "")]
     assert T.ABSTENTION_CUES
+
+
+def test_overlong_lines_are_cut_after_the_last_mark_that_fits():
+    assert splitters.split_by_length("one. two; three: four five six", 20) == ["one. two; three: ", "four five six"]
+    assert splitters.split_by_length("one; two three. four five", 12) == ["one; ", "two three. ", "four five"]
+    assert splitters.split_by_length("alpha beta gamma", 12) == ["alpha beta ", "gamma"]
+    assert splitters.split_by_length("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+
+
+def test_an_index_is_none_only_where_there_is_none(spark, tmp_path):
+    index = bm25.fit(spark.createDataFrame([(1, "one two"), (2, "two three")], "doc_id long, text string"))
+    assert bm25.Index.load(spark, str(tmp_path / "no")) is None
+    index.save(str(tmp_path / "index"))
+    assert bm25.Index.load(spark, str(tmp_path / "index")).docs.count() == 2
+    shutil.rmtree(tmp_path / "index" / "terms")
+    with pytest.raises(AnalysisException):
+        bm25.Index.load(spark, str(tmp_path / "index"))
+
+
+def test_sized_chunks_hold_every_word(spark):
+    text = "\n\n".join(f"paragraph {k} " + "word " * (k % 90) for k in range(200))
+    rows = splitters.section_chunks(spark.createDataFrame([("a", text)], "source string, text string")).collect()
+    assert len(rows) > 10 and max(len(r.content) for r in rows) <= 1200 and [r.part for r in rows] == list(range(1, len(rows) + 1))
+    held = " ".join(r.content for r in rows).split()
+    assert {held[k + 1] for k, w in enumerate(held) if w == "paragraph"} == {str(k) for k in range(200)}

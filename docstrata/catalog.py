@@ -61,6 +61,15 @@ def normal(column: str) -> str:
     return NORMAL.replace("{0}", column)
 
 
+def joined(column: str) -> str:
+    """``normal`` with digit groups joined: every run of digits gets marks, so that groups need no look-around."""
+    text = f"translate(nfc_normalize(coalesce({column}, '')), '*`#_|~', '')"
+    marked = f"regexp_replace({text}, '([0-9]+)', chr(1) || '\\1' || chr(2), 'g')"
+    grouped = f"regexp_replace({marked}, '(\\x01[0-9]{{1,3}}\\x02(?:[ .,\\x{{a0}}\\x{{202f}}]\\x01[0-9]{{3}}\\x02)+)', chr(3) || '\\1' || chr(4), 'g')"
+    pieces = f"list_transform(regexp_split_to_array({grouped}, '[\\x03\\x04]'), lambda x, i: case when i % 2 = 0 then regexp_replace(x, '[^0-9]', '', 'g') else x end)"
+    return f"trim(regexp_replace(lower(translate(array_to_string({pieces}, ''), chr(1) || chr(2), '')), '\\s+', ' ', 'g'))"
+
+
 def bm25_sql(pattern: str = WORDS, k: int = 10, name: str = "bm") -> str:
     """CTEs that end in ``name(query_id, doc_id, score, rank)`` with the benchmark's passages as queries."""
     return f"""
@@ -191,16 +200,8 @@ def stable_ids(spark, sf_dir):
     return docs.select("doc_id", T.digest(F.col("source"), F.col("doc_id")).alias("digest"), T.content_id("text").alias("content"))
 
 
-@query("token_counter", f"select doc_id, greatest(len(regexp_extract_all({normal('text')}, '{MATCH}')), ceil(length(text) / 4)::int)::int as n from documents where not regexp_matches(text, '[0-9][ .,][0-9]{{3}}')")
+@query("token_counter", f"select doc_id, greatest(len(regexp_extract_all({joined('text')}, '{MATCH}')), ceil(length(text) / 4)::int)::int as n from documents")
 def token_counter(spark, sf_dir):
-    # Digit groups are joined before counting, which DuckDB's patterns can't say; those texts are in the tests.
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[0-9][ .,][0-9]{3}"))
-    return docs.select("doc_id", T.token_count("text").alias("n"))
-
-
-@query("token_counter_all")
-def token_counter_all(spark, sf_dir):
-    """Every document, those with digit groups too."""
     return table(spark, sf_dir, "documents").select("doc_id", T.token_count("text").alias("n"))
 
 
@@ -277,43 +278,36 @@ def bm25_codes_topk(spark, sf_dir):
 
 
 DENSE = """
-q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id < 20),
+q as (select vec_id as query_id, embedding::double[] as q from embeddings where {0}),
 dense as (select query_id, vec_id as doc_id, round(list_cosine_similarity(embedding::double[], q), 9) as score,
   row_number() over (partition by query_id order by round(list_cosine_similarity(embedding::double[], q), 9) desc, vec_id) as rank from embeddings, q qualify rank <= 10)"""
 
 
-def dense_hits(spark: SparkSession, sf_dir: str, some: str = "query_id < 20", ids: DataFrame | None = None) -> DataFrame:
-    """The vectors under ``some`` as queries, or those of ``ids(query_id)``."""
+def dense_hits(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """One vector in fifty as a query, whatever the size of the table, or those of ``ids(query_id)``."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
     queries = vectors.select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    return ranking.dense_search(vectors, queries.filter(some) if ids is None else queries.join(ids, "query_id", "left_semi"), 10)
+    return ranking.dense_search(vectors, queries.filter("query_id % 50 = 0") if ids is None else queries.join(ids, "query_id", "left_semi"), 10)
 
 
-@query("dense_topk", f"with {DENSE} select query_id, doc_id, round(score, 6) as score, rank from dense")
+@query("dense_topk", f"with {DENSE.replace('{0}', 'vec_id % 50 = 0')} select query_id, doc_id, round(score, 6) as score, rank from dense")
 def dense_topk(spark, sf_dir):
     return dense_hits(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("dense_topk_all")
-def dense_topk_all(spark, sf_dir):
-    """One vector in fifty as a query, whatever the size of the table."""
-    return dense_hits(spark, sf_dir, "query_id % 50 = 0").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
 def fusion_sql(weights: dict[str, float]) -> str:
     case = " ".join(f"when '{c}' then {w}" for c, w in weights.items())
-    return f"""with {DENSE.strip()}, {bm25_sql().strip()},
-    channels as (select query_id, 'vector' as channel, 0 as o, rank, doc_id from dense union all select query_id, 'bm25', 1, rank, doc_id from bm where query_id < 20),
+    return f"""with {DENSE.strip().replace('{0}', 'vec_id in (select item_id from benchmark)')}, {bm25_sql().strip()},
+    channels as (select query_id, 'vector' as channel, 0 as o, rank, doc_id from dense union all select query_id, 'bm25', 1, rank, doc_id from bm where query_id in (select vec_id from embeddings)),
     fused as (select query_id, doc_id, round(sum((case channel {case} else 1.0 end) / (60 + rank)), 12) as score, min({{'o': o, 'rank': rank}}) as seen from channels group by all)
     select query_id, doc_id, round(score, 9) as score, row_number() over (partition by query_id order by score desc, seen, doc_id) as rank from fused qualify rank <= 10"""
 
 
-def fused(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None, whole: bool = False) -> DataFrame:
-    """The first queries of both channels, or ``whole``: all that have a passage and a vector."""
+def fused(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None) -> DataFrame:
+    """Both channels for every query that has a passage and a vector."""
     both = passages(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("query_id") == F.col("vec_id"), "left_semi").select("query_id").distinct()
-    hits, sparse = dense_hits(spark, sf_dir, ids=both if whole else None), bm25_hits(spark, sf_dir)
-    dense = hits.select("query_id", F.lit("vector").alias("channel"), F.lit(0).alias("channel_order"), "rank", "doc_id")
-    sparse = sparse.join(both, "query_id", "left_semi") if whole else sparse.filter("query_id < 20")
+    dense = dense_hits(spark, sf_dir, both).select("query_id", F.lit("vector").alias("channel"), F.lit(0).alias("channel_order"), "rank", "doc_id")
+    sparse = bm25_hits(spark, sf_dir).join(both, "query_id", "left_semi")
     sparse = sparse.select("query_id", F.lit("bm25").alias("channel"), F.lit(1).alias("channel_order"), "rank", "doc_id")
     return ranking.fuse(dense.unionByName(sparse), weights).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
@@ -328,16 +322,6 @@ def rrf_weighted(spark, sf_dir):
     return fused(spark, sf_dir, retrieval.WEIGHTS)
 
 
-@query("rrf_fuse_all")
-def rrf_fuse_all(spark, sf_dir):
-    return fused(spark, sf_dir, None, whole=True)
-
-
-@query("rrf_weighted_all")
-def rrf_weighted_all(spark, sf_dir):
-    return fused(spark, sf_dir, retrieval.WEIGHTS, whole=True)
-
-
 COVER = f"list_distinct(regexp_extract_all({normal('{0}')}, '{MATCH}'))"
 
 
@@ -514,15 +498,8 @@ def citation_metrics(spark, sf_dir):
     return metrics.citation_metrics(rows.filter("question_id = 'q1'").select("question_id", "correct"), rows.filter("question_id = 'q2'").select("question_id", "cited"))
 
 
-@query("abstention", "select conv_id, turn, " + " or ".join(f"contains(n, '{c}')" for c in T.ABSTENTION_CUES).join(("case when ", " then true when n <> '' then false end")) + f" as abstains from (select conv_id, turn, {normal('text')} as n from conversations where not regexp_matches(text, '[0-9][ .,][0-9]{{3}}'))")
+@query("abstention", "select conv_id, turn, " + " or ".join(f"contains(n, '{c}')" for c in T.ABSTENTION_CUES).join(("case when ", " then true when n <> '' then false end")) + f" as abstains from (select conv_id, turn, {joined('text')} as n from conversations)")
 def abstention(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike("[0-9][ .,][0-9]{3}"))
-    return turns.select("conv_id", "turn", T.abstains("text").alias("abstains"))
-
-
-@query("abstention_all")
-def abstention_all(spark, sf_dir):
-    """Every turn, those with digit groups too."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.abstains("text").alias("abstains"))
 
 
@@ -817,10 +794,7 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.union(table(spark, sf_dir, "nation").select(key("n", "n_nationkey"), F.lit("part"), key("r", "n_regionkey")))
 
 
-@query("one_hop", f"with {GEOGRAPHY.strip()} select src, label, dst from e where src like 'c1%'")
-def one_hop(spark, sf_dir):
-    edges = geography(spark, sf_dir)
-    return graph.one_hop(edges.filter("src like 'c1%'").select(F.col("src").alias("id")).distinct(), edges)
+BUILDERS = "select 'c' || c_custkey as id from customer where c_mktsegment = 'BUILDING'"
 
 
 def builders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -828,50 +802,36 @@ def builders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
 
 
-@query("one_hop_segment")
-def one_hop_segment(spark, sf_dir):
+@query("one_hop", f"with {GEOGRAPHY.strip()} select src, label, dst from e where src in ({BUILDERS})")
+def one_hop(spark, sf_dir):
     return graph.one_hop(builders(spark, sf_dir).distinct(), geography(spark, sf_dir))
 
 
-@query("pagerank", f"""
-with recursive {GEOGRAPHY.strip()},
-d as (select src, count(*) as k from e group by src), nodes as (select src as id from e union select dst from e),
-seeds as (select id, 1.0::double / (select count(*) from nodes where id like 'c1%') as w from nodes where id like 'c1%'),
-l1 as (select n.id, coalesce(w, 0) as r, coalesce(w, 0) as s from nodes n left join seeds using (id)),
-l2 as (select a.id, a.r, 0.85 * (coalesce((select sum(b.s / d.k) from l1 b join e on e.src = b.id join d on d.src = b.id where e.dst = a.id), 0) + (select coalesce(sum(s), 0) from l1 where id not in (select src from d)) * a.r) + 0.15 * a.r as s from l1 a),
-l3 as (select a.id, a.r, 0.85 * (coalesce((select sum(b.s / d.k) from l2 b join e on e.src = b.id join d on d.src = b.id where e.dst = a.id), 0) + (select coalesce(sum(s), 0) from l2 where id not in (select src from d)) * a.r) + 0.15 * a.r as s from l2 a)
-select id, round(s, 9) as score from l3""")
-def pagerank(spark, sf_dir):
-    edges = geography(spark, sf_dir)
-    seeds = edges.filter("src like 'c1%'").select(F.col("src").alias("id"))
-    return graph.personalized_pagerank(edges.select("src", "dst"), seeds, rounds=2).select("id", F.round("score", 9).alias("score"))
+def pagerank_sql(rounds: int) -> str:
+    """Power iteration, one materialised table a round."""
+    steps = ",\n".join(
+        f"""s{k} as materialized (select id, sum(s) as s from (select e.dst as id, 0.85 * p.s / d.k as s from s{k - 1} p join e on e.src = p.id join d on d.src = p.id
+        union all select a.id, (0.85 * (select coalesce(sum(s), 0) from s{k - 1} where id not in (select src from d)) + 0.15) * a.s from s0 a) group by id)"""
+        for k in range(1, rounds + 1)
+    )
+    return f"""with {GEOGRAPHY.strip()}, d as (select src, count(*) as k from e group by src), nodes as (select src as id from e union select dst from e), b as ({BUILDERS}),
+    s0 as materialized (select id, case when id in (select id from b) then 1.0::double / (select count(*) from b) else 0.0::double end as s from nodes),
+    {steps} select id, round(s, 9) as score from s{rounds}"""
 
 
-@query("pagerank_segment")
-def pagerank_segment(spark, sf_dir):
-    """With the operator's own number of rounds."""
+@query("pagerank", pagerank_sql(10))
+def pagerank(spark, sf_dir):
     edges = geography(spark, sf_dir).select("src", "dst")
     return graph.personalized_pagerank(edges, builders(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
 
 
 @query("entity_link", """
-with n as (select vec_id as q, embedding::double[] as v from embeddings where vec_id < 50), s as (select q, vec_id, round(list_cosine_similarity(v, embedding::double[]), 9) as s from n, embeddings where label <> 3)
+with n as (select vec_id as q, embedding::double[] as v from embeddings), s as (select q, vec_id, round(list_cosine_similarity(v, embedding::double[]), 9) as s from n, embeddings where label <> 3)
 select q as query_id, vec_id as doc_id from s where s >= 0.4 qualify row_number() over (partition by q order by s desc, vec_id) = 1""")
 def entity_link(spark, sf_dir):
-    return entity_links(spark, sf_dir, "doc_id < 50")
-
-
-@query("entity_link_all")
-def entity_link_all(spark, sf_dir):
-    """Every name."""
-    return entity_links(spark, sf_dir, "true")
-
-
-def entity_links(spark: SparkSession, sf_dir: str, some: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
-    names = vectors.filter(some).select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    usable = vectors.withColumn("label", F.col("label").cast("string"))
-    return graph_link(names, usable).select("query_id", "doc_id")
+    names = vectors.select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    return graph_link(names, vectors.withColumn("label", F.col("label").cast("string"))).select("query_id", "doc_id")
 
 
 def graph_link(names: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over whole tables, which have no SQL, against brute force on small fixtures."""
+"""Queries over whole tables against brute force on small fixtures."""
 
 from __future__ import annotations
 
@@ -28,14 +28,14 @@ def brute_normal(text: str | None) -> str:
 
 def test_every_document_is_counted(spark, tmp_path):
     spark.createDataFrame(list(enumerate(GROUPED)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.n for r in catalog.QUERIES["token_counter_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.n for r in catalog.QUERIES["token_counter"](spark, str(tmp_path)).collect()}
     assert got == {k: max(len(re.findall(catalog.MATCH, brute_normal(t))), math.ceil(len(t or "") / 4)) for k, t in enumerate(GROUPED)}
     assert got[0] == 8 and got[1] == 5
 
 
 def test_every_turn_is_judged(spark, tmp_path):
     spark.createDataFrame([(1, k, t) for k, t in enumerate(GROUPED)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.turn: r.abstains for r in catalog.QUERIES["abstention_all"](spark, str(tmp_path)).collect()}
+    got = {r.turn: r.abstains for r in catalog.QUERIES["abstention"](spark, str(tmp_path)).collect()}
     assert got == {k: any(c in brute_normal(t) for c in T.ABSTENTION_CUES) if brute_normal(t) else None for k, t in enumerate(GROUPED)}
     assert got[6] is True and got[7] is True and got[3] is False
 
@@ -87,10 +87,10 @@ def ranked(rows, k: str = "query_id") -> dict:
 
 def test_dense_search_of_one_in_fifty(spark, vectors):
     folder, cosine = vectors
-    assert ranked(catalog.QUERIES["dense_topk_all"](spark, folder).collect()) == {q: brute_top(cosine[q], 10) for q in (0, 50, 100)}
+    assert ranked(catalog.QUERIES["dense_topk"](spark, folder).collect()) == {q: brute_top(cosine[q], 10) for q in (0, 50, 100)}
 
 
-@pytest.mark.parametrize("name, weights", [("rrf_fuse_all", {}), ("rrf_weighted_all", retrieval.WEIGHTS)])
+@pytest.mark.parametrize("name, weights", [("rrf_fuse", {}), ("rrf_weighted", retrieval.WEIGHTS)])
 def test_fusion_of_all_common_queries(spark, vectors, name, weights):
     folder, cosine = vectors
     assert ranked(catalog.QUERIES[name](spark, folder).collect()) == {q: brute_fused(brute_top(cosine[q], 10), q, weights) for q in range(30)}
@@ -109,7 +109,7 @@ def test_every_name_is_linked(spark, vectors):
     folder, cosine = vectors
     usable = [d for d in range(120) if d % 5 != 3]
     want = {q: min(usable, key=lambda d: (-cosine[q][d], d)) for q in range(120)}
-    got = {r.query_id: r.doc_id for r in catalog.QUERIES["entity_link_all"](spark, folder).collect()}
+    got = {r.query_id: r.doc_id for r in catalog.QUERIES["entity_link"](spark, folder).collect()}
     assert got == {q: d for q, d in want.items() if cosine[q][d] >= 0.4}
 
 
@@ -126,7 +126,7 @@ def customers(spark, tmp_path_factory):
 
 def test_one_hop_from_a_segment(spark, customers):
     folder, edges, seeds = customers
-    got = [tuple(r) for r in catalog.QUERIES["one_hop_segment"](spark, folder).select("src", "label", "dst").collect()]
+    got = [tuple(r) for r in catalog.QUERIES["one_hop"](spark, folder).select("src", "label", "dst").collect()]
     assert sorted(got) == sorted(e for e in edges if e[0] in seeds)
 
 
@@ -140,5 +140,5 @@ def test_pagerank_takes_ten_rounds(spark, customers):
         last = rounds[-1]
         lost = sum(last[x] for x in names if not out[x])
         rounds.append({x: 0.85 * (sum(last[s] / len(out[s]) for s in names if x in out[s]) + lost * restart[x]) + 0.15 * restart[x] for x in names})
-    got = {r.id: r.score for r in catalog.QUERIES["pagerank_segment"](spark, folder).collect()}
+    got = {r.id: r.score for r in catalog.QUERIES["pagerank"](spark, folder).collect()}
     assert got == pytest.approx(rounds[10], abs=1e-8) and got != pytest.approx(rounds[2], abs=1e-3)

@@ -776,6 +776,37 @@ def same_unit_ambiguity(spark, sf_dir):
     return graph.downgraded(rows).select("name", "ambiguous")
 
 
+BODIES = [
+    ("Bộ Công an", "authority:bộ công an", "body"), ("Bộ trưởng Bộ Công an", None, "title of a person"), ("Chủ tịch nước", None, "title of a person"),
+    ("Cục A thuộc Bộ Công an", None, "part of another body"), ("Ủy ban nhân dân", None, "general name"), ("Bộ", None, "general name"),
+    ("Thanh tra Bộ Công an", None, "no kind of body"), ("  --- ", None, "no name"), ("Chính phủ", "authority:chính phủ", "body"),
+]
+
+
+@query("authority_identities", f"select name, id, reason from {values(BODIES, 'name, id, reason')}")
+def authority_identities(spark, sf_dir):
+    rows = spark.createDataFrame([r[:1] for r in BODIES], "name string").withColumn("own", graph.authority_identity(F.col("name")))
+    return rows.select("name", "own.id", "own.reason")
+
+
+TITLES = [("13/2023", "1", "Phạm vi điều chỉnh"), ("13/2023", "2", "Đối tượng  áp dụng"), ("13/2023", "3", "Xử phạt"), ("13/2023", "4", "Phạm vi áp dụng"), ("13/2023", "4", "Khác")]
+PLACED = [
+    ("Sanction", "a", "13/2023", "3", "1", None, "phạt tiền", "1", None, "occurrence"), ("Sanction", "b", "13/2023", "3", "1", None, "phạt tiền", "2", "a", "clause differs, point differs"),
+    ("LegalTerm", "c", "13/2023", "3", None, "đ", "dữ liệu", None, None, "occurrence"), ("Obligation", "d", "13/2023", "3", None, None, None, None, None, "no single occurrence"),
+    ("RegulatedEntity", "e", "13/2023", "2", "1", None, "tổ chức", None, None, "occurrence"), ("RegulatedEntity", "f", "13/2023", "4", "1", None, "tổ chức", None, None, "no article of scope"),
+    ("Article", "g", "13/2023", "4", "1", None, "tổ chức", None, None, "category has no ids here"),
+]
+PLACE = "category, name, document, article_no, clause_no, point_no, unit, hint_clause, hint_point"
+
+
+@query("semantic_identities", f"""
+select name, reason, case when reason = 'occurrence' or contains(reason, 'differs') then concat_ws(':', lower(category), document, article_no, 'k' || clause_no, 'p' || point_no,
+  substr(sha256(concat_ws(chr(31), category, document, article_no, 'k' || clause_no, 'p' || point_no, unit)), 1, 16)) end as id from {values(PLACED, PLACE + ', reason')}""")
+def semantic_identities(spark, sf_dir):
+    rows = spark.createDataFrame([r[:-1] for r in PLACED], ", ".join(f"{c} string" for c in PLACE.split(", ")))
+    return graph.semantic_identities(rows, spark.createDataFrame(TITLES, "document string, article_no string, title string")).select("name", "id", "reason")
+
+
 @query("dictionary_entities", "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
 def dictionary_entities(spark, sf_dir):
     names = table(spark, sf_dir, "benchmark").select(F.col("text").alias("name"), "item_id")

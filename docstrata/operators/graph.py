@@ -38,6 +38,28 @@ ALIASES = {
     "ràng buộc đối tượng": "boundEntity", "định nghĩa tại": "definedIn",
 }
 KEPT_LABELS = ("Chunk", "Table", "Summary", "Outline", "KnowledgeUnit", "AtomicQuery", "Doc")
+# Prefixes of ids by category; those whose ids come from one place in a source; headings that state a scope.
+ID_PREFIXES = {
+    "Article": "article", "Authority": "authority", "Sanction": "sanction", "Obligation": "obligation", "ProhibitedAct": "prohibitedact",
+    "LegalTerm": "legalterm", "RegulatedEntity": "regulatedentity",
+}
+CONTEXTUAL = ("Sanction", "Obligation", "ProhibitedAct", "LegalTerm", "RegulatedEntity")
+SCOPE_HEADINGS = ("đối tượng áp dụng", "phạm vi điều chỉnh", "phạm vi áp dụng")
+# Titles of persons, kinds of bodies, and names that don't say which body is meant.
+PERSON_TITLES = (
+    "bộ trưởng", "thứ trưởng", "thủ tướng", "phó thủ tướng", "chủ tịch", "phó chủ tịch", "cục trưởng", "tổng cục trưởng", "vụ trưởng",
+    "giám đốc", "chánh án", "phó chánh án", "viện trưởng", "phó viện trưởng", "chánh thanh tra", "trưởng ban", "trưởng đoàn",
+    "người đứng đầu", "thủ trưởng", "tổng giám đốc", "tổng thanh tra",
+)
+BODY_KINDS = (
+    "bộ", "chính phủ", "quốc hội", "ủy ban thường vụ quốc hội", "ủy ban nhân dân", "hội đồng nhân dân", "tòa án nhân dân",
+    "viện kiểm sát nhân dân", "ngân hàng nhà nước", "kiểm toán nhà nước", "văn phòng chính phủ", "thanh tra chính phủ", "chủ tịch nước",
+)
+GENERAL_BODIES = (
+    "bộ", "cơ quan", "cơ quan nhà nước", "cơ quan có thẩm quyền", "cơ quan quản lý", "cơ quan quản lý nhà nước", "nhà nước", "chính quyền",
+    "ủy ban", "ủy ban nhân dân", "hội đồng nhân dân", "tòa án nhân dân", "viện kiểm sát nhân dân", "tòa án", "viện kiểm sát", "thanh tra",
+    "người có thẩm quyền", "cấp có thẩm quyền",
+)
 
 
 def first_metadata(metas: DataFrame) -> DataFrame:
@@ -91,7 +113,7 @@ def metadata_graph(metas: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def merged_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes of one id merged: properties of the first written win; reader nodes keep their own ids."""
-    own = F.when(F.col("label").isin(*KEPT_LABELS) | F.col("id").rlike("^(?:article|authority|unresolved|term|act|sanction|obligation|entity):"), F.col("id")).otherwise(T.canonical_id("id"))
+    own = F.when(F.col("label").isin(*KEPT_LABELS) | has_identity(F.col("id"), F.col("label")), F.col("id")).otherwise(T.canonical_id("id"))
     flat = nodes.withColumn("id", own).select("id", "label", "position", F.explode_outer("properties").alias("key", "value"))
     first = flat.filter("key is not null").groupBy("id", "label", "key").agg(F.min_by("value", "position").alias("value"))
     packed = first.groupBy("id", "label").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
@@ -147,8 +169,81 @@ def belongs_to(articles: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.unionByName(new.select(F.col("article_id").alias("src"), F.lit("belongsTo").alias("label"), F.col("document_id").alias("dst")))
 
 
+def _prefix(category: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in ID_PREFIXES.items() for x in pair))
+    return F.try_element_at(known, F.element_at(F.split(category, r"\."), -1))
+
+
 def unresolved_id(category: Column, chunk: Column, name: Column) -> Column:
-    return F.concat_ws(":", F.lit("unresolved"), category, T.digest(chunk, T.canonical_id(name)))
+    """``<prefix>-unresolved:<digest>``, an id within one chunk only; an error for a category without ids."""
+    prefix = F.coalesce(_prefix(category), F.raise_error(F.lit("category has no ids")).cast("string"))
+    return F.concat(prefix, F.lit("-unresolved:"), T.digest(chunk, T.canonical_id(name)))
+
+
+def has_identity(node_id: Column, label: Column) -> Column:
+    """Whether an id has its label's prefix, resolved or not; false for labels without one."""
+    own = F.startswith(node_id, F.concat(_prefix(label), F.lit(":"))) | F.startswith(node_id, F.concat(_prefix(label), F.lit("-unresolved:")))
+    return F.coalesce(own, F.lit(False))
+
+
+def authority_identity(name: Column) -> Column:
+    """``struct(id, reason)``: a global id for a named body; null for titles of persons, parts of other bodies and general names."""
+    text = F.trim(F.regexp_replace(T.slug(F.coalesce(name, F.lit(""))), r"\s+", " "))
+
+    def begins(words: tuple[str, ...], s: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | (s == w) | F.startswith(s, F.lit(w + " "))
+        return out
+
+    def judged(s: Column) -> Column:
+        reason = (
+            F.when(s == "", F.lit("no name"))
+            .when(begins(PERSON_TITLES, s), F.lit("title of a person"))
+            .when(F.contains(F.concat(F.lit(" "), s, F.lit(" ")), F.lit(" thuộc ")), F.lit("part of another body"))
+            .when(s.isin(*GENERAL_BODIES), F.lit("general name"))
+            .when(~begins(BODY_KINDS, s), F.lit("no kind of body"))
+            .otherwise(F.lit("body"))
+        )
+        return F.struct(F.when(reason == "body", F.concat(F.lit("authority:"), s)).alias("id"), reason.alias("reason"))
+
+    return F.transform(F.array(text), judged)[0]
+
+
+def scope_articles(headings: DataFrame) -> DataFrame:
+    """``(document, article_no)`` of ``headings(document, article_no, title)`` whose one title states whom or what a text governs."""
+    title = F.lower(F.regexp_replace(T.nfc(F.col("title")), "[\"'“”‘’«»]", ""))
+    states = F.lit(False)
+    for words in SCOPE_HEADINGS:
+        states = states | F.contains(F.regexp_replace(title, r"\s+", " "), F.lit(words))
+    one = headings.groupBy("document", "article_no").agg(F.count("*").alias("n"), F.max(states).alias("states"))
+    return one.filter("n = 1 and states").select("document", "article_no")
+
+
+def semantic_identities(mentions: DataFrame, headings: DataFrame) -> DataFrame:
+    """``mentions`` with ``id`` and ``reason``; ids of nodes and of both ends of edges come from here.
+
+    ``mentions(category, name, document, article_no, clause_no, point_no, unit, hint_clause, hint_point)`` hold the place
+    and text of the one occurrence in the source, or a null ``unit`` if there is none.  The id is
+    ``<prefix>:<document>:<article>[:k<clause>][:p<point>]:<digest>``; names and hints of the
+    splitter aren't in it, hints that differ are reported.  A governed entity needs an article of scope.
+    """
+    scope = scope_articles(headings).select(F.col("document").alias("_d"), F.col("article_no").cast("string").alias("_a"), F.lit(True).alias("_scope"))
+    out = mentions.join(scope, (F.col("document") == F.col("_d")) & (F.col("article_no").cast("string") == F.col("_a")), "left")
+    place = ["document", F.col("article_no").cast("string"), F.concat(F.lit("k"), F.col("clause_no").cast("string")), F.concat(F.lit("p"), F.col("point_no").cast("string"))]
+    material = F.concat_ws("\x1f", "category", *place, "unit")
+    made = F.concat_ws(":", _prefix(F.col("category")), *place, F.substring(F.sha2(material, 256), 1, 16))
+    differs = lambda hint, own: F.col(hint).isNotNull() & ~F.col(hint).cast("string").eqNullSafe(F.col(own).cast("string"))
+    found = (
+        F.when(~F.col("category").isin(*CONTEXTUAL), F.lit("category has no ids here"))
+        .when(F.coalesce(F.col("unit"), F.lit("")) == "", F.lit("no single occurrence"))
+        .when((F.col("category") == "RegulatedEntity") & F.col("_scope").isNull(), F.lit("no article of scope"))
+    )
+    hints = F.concat_ws(", ", F.when(differs("hint_clause", "clause_no"), F.lit("clause differs")), F.when(differs("hint_point", "point_no"), F.lit("point differs")))
+    authority = authority_identity(F.col("name"))
+    own = F.when(F.col("category") == "Authority", authority["id"]).when(found.isNull() & F.col("category").isNotNull(), made)
+    reason = F.when(F.col("category") == "Authority", authority["reason"]).otherwise(F.coalesce(found, F.nullif(hints, F.lit("")), F.lit("occurrence")))
+    return out.withColumn("id", own).withColumn("reason", F.when(F.col("category").isNull(), F.lit("category has no ids here")).otherwise(reason)).drop("_d", "_a", "_scope")
 
 
 def article_id(document: Column, number: Column) -> Column:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import shutil
 
@@ -232,3 +233,22 @@ def test_sized_chunks_hold_every_word(spark):
     assert len(rows) > 10 and max(len(r.content) for r in rows) <= 1200 and [r.part for r in rows] == list(range(1, len(rows) + 1))
     held = " ".join(r.content for r in rows).split()
     assert {held[k + 1] for k, w in enumerate(held) if w == "paragraph"} == {str(k) for k in range(200)}
+
+
+def test_identities_keep_their_prefixes(spark):
+    """One occurrence has one id whatever its name or hints; unresolved ids differ between chunks; ids with a prefix aren't changed."""
+    placed = [("Sanction", n, "d", "3", "1", None, "phạt", h, None) for n, h in (("a", "1"), ("b", "9"))] + [(None, "c", None, None, None, None, None, None, None), ("Authority", None, None, None, None, None, None, None, None)]
+    rows = spark.createDataFrame(placed, "category string, name string, document string, article_no string, clause_no string, point_no string, unit string, hint_clause string, hint_point string")
+    empty = spark.createDataFrame([], "document string, article_no string, title string")
+    got = {r.name: (r.id, r.reason) for r in graph.semantic_identities(rows, empty).collect()}
+    material = "\x1f".join(("Sanction", "d", "3", "k1", "phạt"))
+    assert got["a"] == ("sanction:d:3:k1:" + hashlib.sha256(material.encode()).hexdigest()[:16], "occurrence")
+    assert got["b"] == (got["a"][0], "clause differs")
+    assert got["c"] == (None, "category has no ids here") and got[None] == (None, "no name")
+
+    ids = spark.createDataFrame([("c1", "x"), ("c2", "x")], "chunk string, name string").select(graph.unresolved_id(F.lit("LegalTerm"), F.col("chunk"), F.col("name")).alias("id"))
+    one, two = (r.id for r in ids.collect())
+    assert one != two and one == "legalterm-unresolved:" + hashlib.sha256(b"c1\x1fx").hexdigest()[:16]
+    nodes = [("sanction:d:3:K1", "Sanction"), ("KB.Sanction", "KB.Sanction"), ("legalterm-unresolved:AB", "KB.LegalTerm"), ("term:A B", "LegalTerm"), ("sanction:d", None)]
+    kept = spark.createDataFrame(nodes, "id string, label string").select("id", graph.has_identity(F.col("id"), F.col("label")).alias("own"))
+    assert [r.own for r in kept.collect()] == [True, False, True, False, False]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 import duckdb
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def plain(value):
@@ -28,7 +30,8 @@ def check(frame, sql: str, sf_dir: str) -> None:
     db = duckdb.connect()
     db.sql("set TimeZone = 'UTC'")
     for t in TABLES:
-        db.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+        if os.path.exists(f"{sf_dir}/{t}.parquet"):
+            db.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want = db.sql(sql)
     assert sorted(want.columns) == sorted(frame.columns)
     assert ordered(frame.collect(), frame.columns) == ordered(want.fetchall(), want.columns)

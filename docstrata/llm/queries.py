@@ -155,6 +155,44 @@ def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import alignment_report
+
+    return alignment_report(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import piece_digests
+
+    return piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .concurrency import open_sales
+
+    return open_sales(*(table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clients")))
+
+
+OP13_SQL = """
+with ends as (select sale_id, floor(epoch(max(shipped_at)) / 60)::bigint + 10080 as e from sale_lines where sale_id is not null group by sale_id having max(shipped_at) is not null),
+nations as (select client_id, min(nation_id) as nation_id from clients where client_id is not null group by client_id),
+held as (
+  select coalesce(n.nation_id, -1) as nation_id, floor(epoch(s.sold_at) / 60)::bigint as s, e,
+    case when s.total is null or isnan(s.total) or isinf(s.total) then 0 else floor(100 * s.total + 0.5) end::bigint as cents
+  from sales s left join ends using (sale_id) left join nations n using (client_id) where s.sold_at is not null),
+valid as (select * from held where e is null or e > s),
+each as (select nation_id, s, e, cents from valid union all select -2, s, e, cents from valid),
+changes as (select nation_id, s as m, 1 as dn, cents as dc from each union all select nation_id, e, -1, -cents from each where e is not null),
+moments as (select nation_id, m, sum(dn) as dn, sum(dc) as dc from changes group by all having sum(dn) <> 0 or sum(dc) <> 0),
+rows as (
+  select nation_id, m, lead(m) over w as next, sum(dn) over w as n_open, sum(dc) over w as open_cents from moments
+  window w as (partition by nation_id order by m))
+select nation_id::int as nation_id, m * 60 as from_s, next * 60 as to_s, n_open::bigint as n_open, open_cents::bigint as open_cents,
+  (max(n_open) over (partition by nation_id order by m))::bigint as high_open, n_open = max(n_open) over (partition by nation_id) as is_peak
+from rows
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op2_vector_packing": op2_vector_packing,
@@ -167,6 +205,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_temporal_url_filter": op8_temporal_url_filter,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_peak_concurrency": op13_peak_concurrency,
 }
 
 OP3_SQL = r"""
@@ -211,4 +252,5 @@ ORACLE: dict[str, str] = {
     "op3_hyperminhash_dedup": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_temporal_url_filter": OP8_SQL,
+    "op13_peak_concurrency": OP13_SQL,
 }

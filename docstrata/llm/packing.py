@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._spark import documents
+from ._spark import documents, prepared, written
 from .bpe import encoder
 
 _PARTITION_SHIFT = 40
@@ -195,3 +196,70 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     some = examples.selectExpr("cast(example_id as long) example_id", "cast(n_tokens as long) n_tokens", "cast(n_loss_tokens as long) n_loss_tokens")
     return some.mapInArrow(run, "example_id long, sequence_id long, offset long, refused boolean")
+
+
+#: Turns that stay together where a conversation is over a limit.
+TURNS = 8
+PART = "example_id long, turn long, n_turns long, start long, n_tokens long, n_loss_tokens long"
+
+
+def _turn_counts(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """``(example_id, turn, n_tokens, n_loss_tokens)`` of every turn with tokens; what assistants say bears loss."""
+    prepared(turns.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = encoder(tokenizer).counts(batch.column(3))
+            loss = np.where(batch.column(2).to_numpy(zero_copy_only=False).astype(bool), n, 0)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(loss)], names=["example_id", "turn", "n_tokens", "n_loss_tokens"])
+
+    spoken = turns.select(
+        F.col("conv_id").cast("long").alias("example_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("bears"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    ).filter("example_id is not null and text <> ''")
+    return spoken.mapInArrow(run, "example_id long, turn long, n_tokens long, n_loss_tokens long")
+
+
+def conversation_parts(turns: DataFrame, tokenizer: str, limits: Limits) -> DataFrame:
+    """Conversations ``(conv_id, turn, role, text)`` as examples that all keep to the limits: ``(example_id, turn, n_turns, start, n_tokens, n_loss_tokens)``.
+
+    A conversation that keeps to them is one example.  Another one is cut between turns, into runs of
+    ``TURNS`` turn numbers; a run that is still over a limit gives its turns one by one, and a turn that
+    is over one is cut within, from ``start`` on.  An example starts with ``turn``.  Every token is in one
+    example, and only what an assistant says bears loss.  Rows without a conv_id or text take no part;
+    a null turn counts as one before all others; repeated rows count again.
+    """
+    size = [F.sum(c).alias(c) for c in ("n_tokens", "n_loss_tokens")]
+    over = (F.col("n_tokens") > limits.tokens) | (F.col("n_loss_tokens") > limits.loss_tokens)
+    counted = written(_turn_counts(turns, tokenizer).withColumn("run", F.floor(F.coalesce("turn", F.lit(-1)) / TURNS)), "turns")
+    runs = counted.groupBy("example_id", "run").agg(F.min("turn").alias("turn"), F.count("*").alias("n_turns"), *size)
+    whole = runs.groupBy("example_id").agg(F.min("turn").alias("turn"), F.sum("n_turns").alias("n_turns"), *size)
+    long = whole.filter(over).select(F.col("example_id").alias("of"))
+    runs = runs.join(long, runs["example_id"] == long["of"], "left_semi")
+    dense = runs.filter(over).select(F.col("example_id").alias("of"), F.col("run").alias("of_run"))
+    single = counted.join(dense, (counted["example_id"] == dense["of"]) & (counted["run"] == dense["of_run"]), "left_semi").withColumn("n_turns", F.lit(1).cast("long"))
+    most = F.when(F.col("n_loss_tokens") > 0, min(limits.tokens, limits.loss_tokens)).otherwise(limits.tokens)
+    cut = single.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, most.cast("long"))).alias("start"), most.alias("most"))
+    part = F.least(F.col("most"), F.col("n_tokens") - F.col("start")).cast("long")
+    cut = cut.select("example_id", "turn", "n_turns", "start", part.alias("n_tokens"), F.when(F.col("n_loss_tokens") > 0, part).otherwise(F.lit(0)).cast("long").alias("n_loss_tokens"))
+    names = [x.split(" ")[0] for x in PART.split(", ")]
+    uncut = [x.filter(~over).withColumn("start", F.lit(0).cast("long")).select(names) for x in (whole, runs)]
+    return uncut[0].unionByName(uncut[1]).unionByName(cut)
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str, limits: Limits) -> DataFrame:
+    """``conversation_parts``, each with its ``sequence_id`` and ``offset`` there; none is refused."""
+    names = [x.split(" ")[0] for x in PART.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, base = Packer(limits, cuttable=False), _sequence_base()
+
+        def out(placements) -> pa.RecordBatch:
+            rows = [(*key, base + sequence, offset) for key, _, _, sequence, offset in placements]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 8)], names=[*names, "sequence_id", "offset"])
+
+        for batch in batches:
+            yield out([x for key in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in packer.add(key, key[4], key[5])])
+        yield out(packer.flush())
+
+    return conversation_parts(turns, tokenizer, limits).mapInArrow(run, PART + ", sequence_id long, offset long")

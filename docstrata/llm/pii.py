@@ -11,8 +11,9 @@ document, different ones to different ones, and the key's holder can invert the
 * Social security numbers are permuted until the result is one that may exist (a cycle walk, which
   is again a permutation).
 * Dates: the day number within a range of 270 x 270 days from 1900-01-01; the result is a date in
-  the same notation.  A date with slashes is read day first; one that is none that way is read month
-  first and permuted, by a cycle walk, among those.  So no two dates share a pseudonym.
+  the same notation, and dates beyond it stay.  A date with slashes is read day first; one that is no
+  date that way is read month first and permuted, by a cycle walk, among those.  So no two dates of
+  the range share a pseudonym.
 * Addresses: the 32 bits of an IPv4 address.
 * E-mail addresses, IBANs and credentials: characters move within their class (digit, lower, upper),
   with everything else in place.  An IBAN keeps its country and gets new check digits.
@@ -36,6 +37,9 @@ WALK = 64
 #: Texts without any of these hold nothing that the long pattern finds.
 HINT = "[0-9@]|password=|token"
 
+# Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = "20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
+
 # One pattern, its branches in order of precedence.
 PATTERN = "|".join(
     [
@@ -218,10 +222,11 @@ def permute_iban(match: Column, key: Column, inverse: bool = False) -> Column:
 
 
 def permute_phone(match: Column, key: Column, inverse: bool = False) -> Column:
-    """The digits after the country code permuted among as many."""
-    code = F.regexp_extract(match, r"^\+(?:[0-9]{1,3}(?=[ .(-])|[17]|[0-9]{2})", 0)
-    rest = F.substring(match, F.length(code) + 1, F.length(match))
-    return F.concat(code, _respell(rest, permute_digits(_digits(rest), key, F.concat(F.lit("phone"), code), inverse)))
+    """The digits after the country code permuted among as many; the code is told by its digits, however the number is spelled."""
+    d = _digits(match)
+    size = F.when(~match.startswith("+"), 0).when(d.rlike("^[17]"), 1).when(d.rlike(f"^(?:{TWO_DIGIT_CODES})"), 2).otherwise(3)
+    code = F.substring(d, F.lit(1), size)
+    return _respell(match, F.concat(code, permute_digits(F.substring(d, size + 1, F.length(d)), key, F.concat(F.lit("phone"), code), inverse)))
 
 
 def kind_of(m: Column) -> Column:
@@ -234,7 +239,7 @@ def kind_of(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(octets, "ip"))
         .when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when(_in_range(year_first), "date_ymd"))
-        .when(m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.when(_in_range(year_last), "date_dmy").when(_in_range(american), "date_mdy"))
+        .when(m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.when(_in_range(year_last), "date_dmy").when(year_last.isNull() & _in_range(american), "date_mdy"))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~m.rlike("^(000|666|9)|-00-|-0000$"), "ssn"))
         .when(m.rlike(r"^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$") | m.rlike(r"[+(]"), F.when((n >= 8) & (n <= 16), "phone"))
         .when(m.rlike("^[0-9][0-9 -]*$") & (n >= 13), F.when(F.pmod(luhn_sum(_digits(m), 1), F.lit(10)) == 0, "card"))

@@ -30,17 +30,10 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as instruction examples under three limits; what assistants say bears loss."""
-    from .packing import Limits, pack_examples
-    from .tokencount import count_tokens
+    """Conversations as instruction examples under three limits; those over one are cut between turns."""
+    from .packing import Limits, pack_conversations
 
-    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null")
-    # An id that tells whose turn it is, since counts come by row.
-    says = turns.select((F.col("conv_id") * 2 + F.coalesce(F.col("role") == "assistant", F.lit(False)).cast("long")).alias("doc_id"), "text")
-    counted = count_tokens(says, tokenizer_path())
-    loss = F.when(F.pmod("doc_id", F.lit(2)) == 1, F.col("n_tokens")).otherwise(0)
-    examples = counted.groupBy(F.floor(F.col("doc_id") / 2).cast("long").alias("example_id")).agg(F.sum("n_tokens").alias("n_tokens"), F.sum(loss).alias("n_loss_tokens"))
-    return pack_examples(examples, Limits(2048, 16, 1536))
+    return pack_conversations(table(spark, sf_dir, "conversations"), tokenizer_path(), Limits(2048, 16, 1536))
 
 
 def op3_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,11 +159,39 @@ def test_examples_over_a_limit_are_refused(spark):
     assert sorted((r.example_id, r.refused, r.sequence_id is None) for r in got) == [(1, False, False), (1, False, False), (2, True, True), (3, True, True)]
 
 
-def test_conversations_are_packed(spark, sf_dir):
-    got = queries.pack_conversations(spark, sf_dir).collect()
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text <> ''")
-    assert sorted(r.example_id for r in got) == sorted(r.conv_id for r in turns.select("conv_id").distinct().collect())
-    assert max(sum(r.sequence_id == s for r in got) for s in {r.sequence_id for r in got if not r.refused}) <= 16
+def test_conversations_are_packed_whole(spark, sf_dir):
+    """No token is left out, none is in two examples, and every sequence keeps to the limits."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    long = [(10**6, 3, "user", "word " * 5000), (10**6, 4, "assistant", "word " * 5000), (10**6, None, "user", "hello"), (10**6, 3, "user", "hello"), (None, 1, "user", "x"), (10**6 + 1, 0, "user", None)]
+    turns = turns.select("conv_id", "turn", "role", "text").union(spark.createDataFrame(long + [(10**6 + 2, k, "assistant", "word " * 400) for k in range(30)], "conv_id long, turn long, role string, text string"))
+    limits = packing.Limits(2048, 16, 1536)
+    got = packing.pack_conversations(turns, BPE, limits).collect()
+    from tokenizers import Tokenizer
+
+    whole, loss = Tokenizer.from_file(BPE), defaultdict(int)
+    tokens = defaultdict(int)
+    for r in turns.filter("conv_id is not null and text <> ''").collect():
+        n = len(whole.encode(r.text, add_special_tokens=False).ids)
+        tokens[r.conv_id] += n
+        loss[r.conv_id] += n * (r.role == "assistant")
+    for name, want in (("n_tokens", tokens), ("n_loss_tokens", loss)):
+        have = defaultdict(int)
+        for r in got:
+            have[r.example_id] += r[name]
+        assert have == want
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append(r)
+    for rows in by.values():
+        assert sum(r.n_tokens for r in rows) <= 2048 and len(rows) <= 16 and sum(r.n_loss_tokens for r in rows) <= 1536
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.n_tokens
+    once = [r for r in got if r.example_id not in (10**6, 10**6 + 2)]
+    assert {r.example_id for r in once if r.n_tokens + r.start > 2048} == set()
+    small = {c for c in tokens if tokens[c] <= 2048 and loss[c] <= 1536}
+    assert all(sum(r.example_id == c for r in got) == 1 for c in list(small)[:20])
 
 
 def test_best_fit_decreasing_by_brute_force():

@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import replies
 from .functions import text as T
-from .operators import bm25, evidence, graph, metrics, ranking, splitters
+from .operators import bm25, evaluation, evidence, graph, metrics, ranking, segments, splitters
 from .plans import retrieval
+from .shared import work_dir
 from .sources import corpus
 from .streaming import runs
 
@@ -921,3 +923,131 @@ s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows u
 select min(ts) as start, user_id, count(*) as n from s group by user_id, k""")
 def event_sessions(spark, sf_dir):
     return runs.sessions(table(spark, sf_dir, "events")).select("start", "user_id", "n")
+
+
+# ---------------------------------------------------------------- index job, evaluation, replies, dumps
+
+KEPT_DOCS = "(select * from documents where coalesce(lang, '') <> 'fr')"
+
+
+@query("index_upserts", f"with {bm25_sql().strip().replace('from documents', 'from ' + KEPT_DOCS)} select query_id, doc_id, round(score, 6) as score, rank from bm")
+def index_upserts(spark, sf_dir):
+    """An index in three batches: all documents, English ones first with a stale text; those again as they are; French ones taken away."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    path = work_dir(spark, "index")
+    segments.append(docs.withColumn("text", F.when(english, F.concat_ws(" ", "lang", "lang", F.substring("text", 1, 40))).otherwise(F.col("text"))), path, 0)
+    segments.append(docs.filter(english), path, 1)
+    segments.append(docs.limit(0), path, 2, gone=docs.filter("lang = 'fr'").select("doc_id"))
+    hits = bm25.search(segments.load(spark, path), passages(spark, sf_dir), 10)
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as items and quality labels as a system's outputs, side by side."""
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    outputs = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    return evaluation.states(items, outputs, "id")
+
+
+EVALUATED = """e as (select coalesce(v.vec_id, l.doc_id) as id, quality, toxic,
+  case when v.vec_id is null then 'unknown' when l.doc_id is null then 'missing' else 'matched' end as state from embeddings v full join labels l on v.vec_id = l.doc_id)"""
+
+
+@query("evaluation_states", f"with {EVALUATED} select id, state from e")
+def evaluation_states(spark, sf_dir):
+    return labelled_vectors(spark, sf_dir).select("id", "state")
+
+
+@query("evaluation_report", f"""with {EVALUATED}, m as (select 'quality' as metric, state, quality as v from e union all select 'toxic', state, toxic from e)
+select 'labels' as system, metric, round(avg(v) filter (state = 'matched'), 9) as mean, count(v) filter (state = 'matched') as n, count(*) filter (state = 'matched' and v is null) as not_available,
+  count(*) filter (state = 'missing') as missing, count(*) filter (state = 'unknown') as unknown from m group by metric""")
+def evaluation_report(spark, sf_dir):
+    rows = evaluation.report(labelled_vectors(spark, sf_dir).withColumn("system", F.lit("labels")), ["quality", "toxic"])
+    return rows.drop("json").withColumn("mean", F.round("mean", 9))
+
+
+CASES = f"""cases as (
+  select o.conv_id, o.turn, o.answer_relevancy as mrr, (o.answer_relevancy >= 0.3)::int::double as hit_at_3, o.faithfulness as ndcg_at_5, (g.status = 'SUPPORTED')::int::double as groundedness,
+    g.status = 'CONTRADICTED' as critical, r.score::double as rubric, length(p.question) % 7 = 0 as is_abstention,
+    case when contains(lower(p.question), 'the') then 'high' when contains(lower(p.question), 'e') then 'medium' else 'low' end as risk, case when o.turn < 2 then 'opening' when o.turn < 5 then 'middle' end as intent
+  from ({ORACLE['overlap_scores']}) o join ({ORACLE['rubric']}) r using (conv_id, turn) join ({ORACLE['claim_groundedness']}) g using (conv_id, turn)
+  join (with {TURNS.strip()} select * from p) p using (conv_id, turn)),
+sets as (
+  select case grouping(coalesce(risk, 'medium'), coalesce(intent, 'general')) when 3 then 'overall' when 1 then 'risk' else 'intent' end as scope, coalesce(coalesce(risk, 'medium'), coalesce(intent, 'general')) as bucket,
+    count(*) as n, avg(hit_at_3) as hit_at_3, avg(mrr) as mrr, avg(ndcg_at_5) as ndcg_at_5, avg(groundedness) as groundedness, avg(rubric) as rubric, count(*) filter (critical) as critical,
+    count(*) filter (is_abstention) as n_abstention, coalesce(count(*) filter (is_abstention and rubric >= 4) / nullif(count(*) filter (is_abstention), 0)::double, 0) as abstention_accuracy
+  from cases group by grouping sets ((), (coalesce(risk, 'medium')), (coalesce(intent, 'general'))))"""
+CASES = CASES.replace("coalesce(coalesce(risk, 'medium'), coalesce(intent, 'general'))", "case grouping(coalesce(risk, 'medium'), coalesce(intent, 'general')) when 1 then coalesce(risk, 'medium') when 2 then coalesce(intent, 'general') end")
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchanges as evaluated cases; a question's words and place stand for its risk and intent."""
+    own = exchanges(spark, sf_dir)
+    s = metrics.overlap_scores(F.col("question"), F.col("answer"), F.col("question"), F.col("answer"))
+    status = metrics.claim_grounded(F.col("question"), F.col("answer"))
+    relevancy = F.round(s["answer_relevancy"], 9)
+    return own.select(
+        relevancy.alias("mrr"), (relevancy >= 0.3).cast("double").alias("hit_at_3"), F.round(s["faithfulness"], 9).alias("ndcg_at_5"), (status == "SUPPORTED").cast("double").alias("groundedness"),
+        (status == "CONTRADICTED").alias("critical"), metrics.rubric(F.col("question"), F.col("answer"), F.col("question")).cast("double").alias("rubric"), (F.length("question") % 7 == 0).alias("is_abstention"),
+        corpus.risk_tier(F.col("question"), ("the",), ("e",)).alias("risk"), F.when(F.col("turn") < 2, "opening").when(F.col("turn") < 5, "middle").alias("intent"),
+    )
+
+
+@query("case_breakdown", f"""with {CASES} select scope, bucket, n, round(hit_at_3, 4) as hit_at_3, round(mrr, 4) as mrr, round(ndcg_at_5, 4) as ndcg_at_5, round(groundedness, 4) as groundedness, round(rubric, 2) as rubric,
+  critical, n_abstention, round(abstention_accuracy, 4) as abstention_accuracy from sets""")
+def case_breakdown(spark, sf_dir):
+    return evaluation.breakdown(cases(spark, sf_dir))
+
+
+@query("case_gates", f"""with {CASES}, g as (select * from {values(list(metrics.GATES), 'gate, bound, more')}),
+v as (select gate, case gate when 'hit_at_3' then round(hit_at_3, 4) when 'mrr' then round(mrr, 4) when 'ndcg_at_5' then round(ndcg_at_5, 4) when 'groundedness' then round(groundedness, 4) when 'rubric' then round(rubric, 2)
+  when 'critical_contradictions' then critical when 'abstention_accuracy' then round(abstention_accuracy, 4) else (select round(groundedness, 4) from sets where scope = 'risk' and bucket = 'high') end as value from g, sets where scope = 'overall')
+select gate, bound::double as bound, coalesce(value, 0)::double as value, case when more then coalesce(value, 0) >= bound else coalesce(value, 0) <= bound end as passed from g left join v using (gate)""")
+def case_gates(spark, sf_dir):
+    return metrics.quality_gates(evaluation.gate_values(evaluation.breakdown(cases(spark, sf_dir))))
+
+
+def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply about every click: fenced, with talk around it, bare, or cut off, as its number has it."""
+    c = table(spark, sf_dir, "clicks")
+    kind, props, client = F.coalesce("kind", F.lit("")), F.coalesce("props", F.lit("null")), F.coalesce(F.col("client_id").cast("string"), F.lit(""))
+    fenced = F.concat(F.lit('```json\n{"output": {"named_entities": [{"name": "'), kind, F.lit('", "category": "kind"}, {"category": "x"}, "loose"]}}\n```'))
+    talk = F.concat(F.lit('Sure: {"triples": [["c'), client, F.lit('", "did", "'), kind, F.lit('"], {"subject": "'), kind, F.lit('", "predicate": "}", "object": "x"}, ["a", "b"]]} done'))
+    bare = F.concat(F.lit('{"props": '), props, F.lit("}"))
+    reply = F.when(F.col("click_id") % 4 == 0, fenced).when(F.col("click_id") % 4 == 1, talk).when(F.col("click_id") % 4 == 2, bare).otherwise(F.concat(F.lit('{"named_entities": [{"name": "'), kind))
+    return c.select("click_id", reply.alias("reply"))
+
+
+@query("model_replies", r"""
+with r as (select click_id, coalesce(kind, '') as kind, coalesce(client_id::varchar, '') as client, coalesce(props, 'null') as props, click_id % 4 as form from clicks),
+j as (select *, case form when 0 then '{"output": {"named_entities": [{"name": "' || kind || '", "category": "kind"}, {"category": "x"}, "loose"]}}'
+  when 1 then '{"triples": [["c' || client || '", "did", "' || kind || '"], {"subject": "' || kind || '", "predicate": "}", "object": "x"}, ["a", "b"]]}' when 2 then '{"props": ' || props || '}' else '{' end as doc from r),
+k as (select *, json_valid(doc) as ok, case when json_valid(doc) then doc else 'null' end as d from j)
+select click_id, case when not ok then 'rejected' when form = 1 then 'recovered' else 'parsed' end as status,
+  case when form = 0 then trim(json_extract_string(d, '$.output.named_entities[0].name')) end as first_name,
+  case when form = 0 then (trim(json_extract_string(d, '$.output.named_entities[0].name')) = '')::int + 2 end as faulty_entities,
+  case when form = 1 then (trim(json_extract_string(d, '$.triples[0][2]')) <> '')::int * 2 end as good_triples,
+  json_extract_string(d, '$.props.k') as k
+from k""")
+def model_reply_values(spark, sf_dir):
+    read = model_replies(spark, sf_dir).withColumn("x", replies.decoded("reply"))
+    v, form = F.col("x.value"), F.col("click_id") % 4
+    named, found = replies.entities(v), replies.triples(v)
+    return read.select(
+        "click_id", F.col("x.status").alias("status"), F.when(form == 0, F.coalesce(F.get(named, F.lit(0))["name"], F.lit(""))).alias("first_name"),
+        F.when(form == 0, F.size(F.filter(named, lambda e: e["fault"].isNotNull()))).alias("faulty_entities"), F.when(form == 1, F.size(F.filter(found, lambda t: t["fault"].isNull()))).alias("good_triples"),
+        F.try_variant_get(v, "$.props.k", "string").alias("k"),
+    )
+
+
+def digest_sql(label: str, columns: list[str], source: str) -> str:
+    cells = " || '|' || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in sorted(columns))
+    return f"select {label} as label, count(*) as n, sum(('0x' || substr(md5({cells}), 1, 15))::bigint)::varchar || '-' || sum(('0x' || substr(md5({cells}), 16, 15))::bigint)::varchar as digest from {source} group by 1"
+
+
+@query("graph_digests", digest_sql("c_mktsegment", ["c_custkey", "c_name", "c_nationkey"], "customer") + " union all " + digest_sql("'placed ' || o_orderstatus", ["o_custkey", "o_orderkey"], "orders"))
+def graph_digests(spark, sf_dir):
+    nodes = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_name", "c_nationkey")
+    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("placed "), "o_orderstatus").alias("label"), "o_custkey", "o_orderkey")
+    return corpus.content_digests(nodes, "c_mktsegment").unionByName(corpus.content_digests(edges, "label"))

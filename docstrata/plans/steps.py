@@ -66,10 +66,36 @@ def parse_schema(text: str) -> Schema:
     return schema
 
 
+# Kinds of types, and the basic types that anything may lead to.
+KINDS = ("EntityType", "ConceptType", "EventType", "StandardType")
+BASIC = ("Text", "Integer", "Float")
+SECTIONS = "desc|properties|relations|hypernymPredicate|regular|spreadable|autoRelate"
+DETAILS = "desc|properties|constraint|rule|index"
+
+
 def schema_faults(text: str) -> list[str]:
-    """Relations that lead to types which aren't defined."""
-    schema = parse_schema(text)
-    return [f"{kind}.{name} leads to unknown type {to}" for kind, rel in schema.relations.items() for name, to in rel.items() if to not in schema.properties]
+    """Lines that are indented or written otherwise than schema text is, types of unknown kinds, entries that lead to types which aren't defined.
+
+    Types stand at the margin, sections such as ``relations:`` four or five spaces in, entries eight
+    and their details twelve; a ``namespace`` line may stand at the margin.
+    """
+    entry, section = r"(\w+)\([^)]*\)\s*:\s*(\w+)", rf"(?:{SECTIONS})\s*:.*"
+    shapes = {0: entry, 4: section, 5: section, 8: entry, 12: rf"(?:{DETAILS})\s*:.*"}
+    faults, kinds, leads = [], {}, []
+    for n, line in enumerate(text.splitlines(), 1):
+        body, depth = line.strip(), len(line) - len(line.lstrip())
+        if not body or (depth == 0 and re.fullmatch(r"namespace\s+\w+", body)):
+            continue
+        if depth not in shapes:
+            faults.append(f"line {n}: indented by {depth}")
+        elif not (found := re.fullmatch(shapes[depth], body)):
+            faults.append(f"line {n}: not understood: {body}")
+        elif depth == 0:
+            kinds[found[1]] = found[2]
+        elif depth == 8:
+            leads.append((n, found[1], found[2]))
+    faults += [f"{name} is of unknown kind {kind}" for name, kind in kinds.items() if kind not in KINDS]
+    return faults + [f"line {n}: {name} leads to unknown type {to}" for n, name, to in leads if to not in kinds and to not in BASIC]
 
 
 def parse_plan(text: str) -> list[Step]:
@@ -87,9 +113,43 @@ def slots(arguments: str) -> list[Slot]:
     return [Slot(m[1], m[2], m[3], m[4]) for m in re.finditer(r"\b([spo])=(\w+)(?::(\w+))?(?:\[`?([^\]`]*)`?\])?", arguments)]
 
 
+#: What an alias holds that stands for a property's values.
+VALUE = "a value"
+
+
+def _led_to(schema: Schema, kind: str | None, predicate: str) -> set[str] | None:
+    """The types of objects that a predicate leads to from ``kind``, or from any type that has it; None if none does."""
+    kinds = [kind] if kind else [*schema.properties]
+    found = {schema.relations.get(k, {}).get(predicate, VALUE) for k in kinds if predicate in schema.predicates(k)}
+    return found or None
+
+
+def _typed(step: Step, schema: Schema, kinds: dict[str, str | None]) -> tuple[list[str], str | None, str, str | None]:
+    """Faults of a retrieval, and the types of its subject and object with its predicate; ``kinds`` are those of aliases so far."""
+    own = {s.role: s for s in slots(step.arguments)}
+    s, o, predicate = own["s"], own["o"], own["p"].kind or own["p"].alias
+    faults = [f"{x.alias} is {kinds[x.alias]}, not {x.kind}" for x in (s, o) if x.kind and kinds.get(x.alias) and kinds[x.alias] != x.kind]
+    subject = s.kind or kinds.get(s.alias)
+    if subject == VALUE:
+        return [*faults, f"{s.alias} holds values, which have no {predicate}"], subject, predicate, None
+    target = _led_to(schema, subject, predicate)
+    if target is None:
+        return [*faults, f"{predicate} isn't declared on {subject or 'any type'}"], subject, predicate, None
+    given = o.kind or kinds.get(o.alias)
+    if given and given not in target and given not in BASIC:
+        faults.append(f"{predicate} leads to {' or '.join(sorted(target))}, not {given}")
+    one = next(iter(target)) if len(target) == 1 else None
+    return faults, subject, predicate, one or given
+
+
 def plan_faults(plan: str, schema: Schema) -> list[str]:
-    """Unknown operators, aliases used before they exist, predicates that their subject's type doesn't have."""
-    faults, kinds, known = [], {}, set()
+    """Unknown operators, aliases used before they exist, predicates that their subject's type doesn't have, and types that don't agree.
+
+    An alias keeps the type that it was given or that a relation led it to.
+    """
+    faults: list[str] = []
+    kinds: dict[str, str | None] = {}
+    known: set[str] = set()
     for step in parse_plan(plan):
         where = f"Action{step.number}"
         if step.operator not in OPERATORS:
@@ -99,14 +159,11 @@ def plan_faults(plan: str, schema: Schema) -> list[str]:
             if set(own) != {"s", "p", "o"}:
                 faults.append(f"{where}: needs s, p and o")
                 continue
-            for s in (own["s"], own["o"]):
-                kinds.setdefault(s.alias, s.kind)
             if own["s"].alias not in known and own["s"].name is None and own["o"].name is None:
                 faults.append(f"{where}: {own['s'].alias} is used before it exists")
-            kind = own["s"].kind or kinds.get(own["s"].alias)
-            predicate = own["p"].kind or own["p"].alias
-            if kind and predicate not in schema.predicates(kind):
-                faults.append(f"{where}: {predicate} isn't declared on {kind}")
+            wrong, subject, _, target = _typed(step, schema, kinds)
+            faults += [f"{where}: {x}" for x in wrong]
+            kinds |= {alias: kind for alias, kind in ((own["s"].alias, subject), (own["o"].alias, target)) if kind}
             known |= {own["s"].alias, own["p"].alias, own["o"].alias}
         elif step.operator == "Deduce":
             op = re.search(r"op=(\w+)", step.arguments)
@@ -120,32 +177,45 @@ def plan_faults(plan: str, schema: Schema) -> list[str]:
     return faults
 
 
+def _nodes_of(nodes: DataFrame, slot: Slot, kind: str | None) -> DataFrame:
+    """Ids of the nodes with a slot's name and type."""
+    named = nodes.filter(F.col("name") == slot.name) if slot.name else nodes
+    return (named.filter(F.col("label") == kind) if kind else named).select(F.col("id").alias("value"))
+
+
 def run_plan(plan: str, schema: Schema, nodes: DataFrame, edges: DataFrame, deduce: Mapping[str, Callable] | None = None) -> dict[str, DataFrame]:
     """The output aliases of a plan as DataFrames of values; a plan with faults is refused.
 
     ``nodes(id, name, label, properties)`` and ``edges(src, label, dst)``; each retrieval is a join
-    chain over all of an alias's values at once.
+    chain over all of an alias's values at once.  A retrieval keeps, of its subject and its object
+    alike, the values that have a partner: names and types narrow an alias, and one that is bound
+    already keeps what it has in common.
     """
     if faults := plan_faults(plan, schema):
         raise ValueError("; ".join(faults))
     values: dict[str, DataFrame] = {}
+    kinds: dict[str, str | None] = {}
     out: dict[str, DataFrame] = {}
     for step in parse_plan(plan):
         if step.operator == "Retrieval":
             own = {s.role: s for s in slots(step.arguments)}
-            s, p, o = own["s"], own["p"].kind or own["p"].alias, own["o"]
-            subject = values.get(s.alias)
-            if subject is None:
-                subject = nodes.filter(F.col("name") == s.name) if s.name else nodes
-                subject = (subject.filter(F.col("label") == s.kind) if s.kind else subject).select(F.col("id").alias("value"))
-            if p in schema.properties.get(s.kind or "", set()):
-                found = nodes.join(subject, nodes["id"] == subject["value"], "left_semi").select("id", F.element_at("properties", F.lit(p)).alias("o"))
+            s, o = own["s"], own["o"]
+            _, kind, predicate, target = _typed(step, schema, kinds)
+            subject = _nodes_of(nodes, s, kind) if s.alias not in values or s.name or s.kind else None
+            as_value = target == VALUE or (target in BASIC and predicate not in schema.relations.get(kind or "", {}))
+            if as_value:
+                found = nodes.select(F.col("id").alias("s"), F.element_at("properties", F.lit(predicate)).alias("o")).filter("o is not null")
+                found = found.filter(F.col("o") == o.name) if o.name else found
             else:
-                found = edges.filter(F.col("label") == p).join(subject, edges["src"] == subject["value"], "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("o"))
-                if o.name:
-                    found = found.join(nodes.filter(F.col("name") == o.name).select(F.col("id").alias("o")), "o", "left_semi")
-            values[s.alias] = found.filter("o is not null").select(F.col("id").alias("value")).distinct()
-            values[o.alias] = found.filter("o is not null").select(F.col("o").alias("value")).distinct()
+                found = edges.filter(F.col("label") == predicate).select(F.col("src").alias("s"), F.col("dst").alias("o"))
+                if o.name or target:
+                    found = found.join(_nodes_of(nodes, o, target).withColumnRenamed("value", "o"), "o", "left_semi")
+            for side, narrow in (("s", subject), ("s", values.get(s.alias)), ("o", values.get(o.alias))):
+                if narrow is not None:
+                    found = found.join(narrow.withColumnRenamed("value", side), side, "left_semi")
+            values[s.alias] = found.select(F.col("s").alias("value")).distinct()
+            values[o.alias] = found.select(F.col("o").alias("value")).distinct()
+            kinds |= {alias: k for alias, k in ((s.alias, kind), (o.alias, target)) if k}
         elif step.operator == "Output":
             for alias in re.findall(r"\w+", step.arguments):
                 out[alias] = values[alias]

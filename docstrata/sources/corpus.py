@@ -165,3 +165,25 @@ def external_graph(nodes: DataFrame, schema_properties: DataFrame) -> DataFrame:
     """Node properties outside the schema's ``(label, property)``; a graph is taken only if there are none."""
     used = nodes.select("id", "label", F.explode(F.map_keys("properties")).alias("property"))
     return used.join(schema_properties, ["label", "property"], "left_anti")
+
+
+def content_digests(rows: DataFrame, label: str) -> DataFrame:
+    """``(label, n, digest)``: the number of a label's rows and a digest of them that no order or partitioning changes.
+
+    The digest is the sum of the rows' MD5 halves, 60 bits of each, so rows that come twice count
+    twice and swapped contents show.  Columns count by name; a null is told from any text.
+    """
+    others = sorted(c for c in rows.columns if c != label)
+    cell = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    text = F.md5(F.concat_ws("|", *(cell(c) for c in others)))
+    half = lambda at: F.sum(F.conv(F.substring(text, at, 15), 16, 10).cast("decimal(19,0)"))
+    out = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), half(1).alias("a"), half(16).alias("b"))
+    return out.select("label", "n", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("digest"))
+
+
+def restore_faults(dumped: DataFrame, restored: DataFrame) -> DataFrame:
+    """``(label, fault)`` where two results of ``content_digests`` differ: a label that is lost or new, another count, or other content."""
+    a, b = dumped.select("label", F.struct("n", "digest").alias("a")), restored.select("label", F.struct("n", "digest").alias("b"))
+    fault = F.when(F.col("b").isNull(), "lost").when(F.col("a").isNull(), "new").when(F.col("a.n") != F.col("b.n"), "count").when(F.col("a.digest") != F.col("b.digest"), "content")
+    both = a.withColumnRenamed("label", "la").join(b.withColumnRenamed("label", "lb"), F.col("la").eqNullSafe(F.col("lb")), "full_outer")
+    return both.select(F.coalesce("la", "lb").alias("label"), fault.alias("fault")).filter("fault is not null")

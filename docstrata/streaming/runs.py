@@ -136,14 +136,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return own.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("w.start", "w.end", "user_id", "n")
 
 
-def index_stream(docs: DataFrame, path: str, checkpoint: str):
-    """Keep postings of a stream of documents up to date: each batch's postings are appended with its number."""
-    from ..functions.text import index_tokens
-    from ..operators.bm25 import terms_of
+def index_stream(docs: DataFrame, path: str, checkpoint: str, codes: bool = False):
+    """Keep a segment index of a stream of documents up to date: each micro-batch is a batch of ``segments.append``, which runs again harmlessly.
+
+    A text is indexed as it comes; an id that comes again replaces what it had.
+    """
+    from ..operators import segments
 
     def add(batch: DataFrame, number: int) -> None:
-        postings = terms_of(batch, "doc_id", index_tokens("text"))
-        postings = postings.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).withColumn("batch", F.lit(number))
-        postings.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        segments.append(batch.select("doc_id", "text"), path, number, codes=codes)
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()

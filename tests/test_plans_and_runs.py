@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from docstrata.operators import segments
 from docstrata.plans import retrieval, steps
 from docstrata.sources import corpus
 from docstrata.streaming import runs
@@ -44,7 +45,33 @@ def test_plan_faults():
     assert any("before it exists" in f for f in steps.plan_faults("Action1: Output(o9)", schema))
     assert any("unknown operator" in f for f in steps.plan_faults("Action1: Exec(x1)", schema))
     assert any("unknown deduction" in f for f in steps.plan_faults("Action1: Deduce(op=guess, content=[x])", schema))
-    assert steps.schema_faults(SCHEMA) == [] and steps.schema_faults(SCHEMA.replace("dẫn): Article", "dẫn): Gone")) == ["Doc.cites leads to unknown type Gone"]
+    assert steps.schema_faults(SCHEMA) == [] and steps.schema_faults(SCHEMA.replace("dẫn): Article", "dẫn): Gone")) == ["line 7: cites leads to unknown type Gone"]
+    broken = SCHEMA.replace("    properties:", "   properties:", 1) + "Odd(x): Thing\nnonsense here\n        p(q): Integer\n"
+    assert [f.split(":")[0] if "line" in f else f for f in steps.schema_faults(broken)] == ["line 3", "line 12", "Odd is of unknown kind Thing"]
+
+
+def test_plan_carries_types_and_bindings(spark):
+    schema = steps.parse_schema(SCHEMA)
+    nodes = spark.createDataFrame(
+        [("x", "X", "Doc", {}), ("y", "Y", "Doc", {"status": "ok"}), ("z", "Z", "Doc", {"status": "old"}), ("a", "A1", "Article", {"title": "t"}), ("w", "W", "Doc", {})],
+        "id string, name string, label string, properties map<string,string>",
+    )
+    edges = spark.createDataFrame([("x", "amends", "y"), ("x", "amends", "z"), ("w", "amends", "z"), ("x", "cites", "a"), ("x", "amends", "a")], "src string, label string, dst string")
+    run = lambda plan: {k: sorted(r.value for r in v.collect()) for k, v in steps.run_plan(plan, schema, nodes, edges).items()}
+    # An alias used again has no type of its own: that of the relation stands, and only its objects count.
+    again = "Action1: Retrieval(s=s1:Doc[X],p=p1:amends,o=o1:Doc)\nAction2: Retrieval(s=o1,p=p2:status,o=o2)\nAction3: Output(o1, o2)"
+    assert steps.plan_faults(again, schema) == [] and run(again) == {"o1": ["y", "z"], "o2": ["ok", "old"]}
+    # An object that is bound keeps what both have in common.
+    both = "Action1: Retrieval(s=s1:Doc[X],p=p1:amends,o=o1)\nAction2: Retrieval(s=s2:Doc[W],p=p2:amends,o=o1)\nAction3: Output(o1)"
+    assert run(both) == {"o1": ["z"]}
+    named = "Action1: Retrieval(s=s1:Doc,p=p1:amends,o=o1:Doc[Y])\nAction2: Output(s1)"
+    assert run(named) == {"s1": ["x"]}
+    for plan, fault in (
+        ("Action1: Retrieval(s=s1[X],p=nonsense,o=o1)", "isn't declared on any type"), (again.replace("o=o1:Doc", "o=o1:Article"), "leads to Doc, not Article"),
+        (again.replace("p2:status", "p2:title"), "title isn't declared on Doc"), (again.replace("s=o1,", "s=o1:Article,"), "o1 is Doc, not Article"),
+        (again.replace("Output(o1, o2)", "Retrieval(s=o2,p=status,o=o3)"), "holds values"),
+    ):
+        assert any(fault in f for f in steps.plan_faults(plan, schema)), plan
 
 
 def test_evidence_loop_ends():
@@ -164,6 +191,10 @@ def test_streams(spark, tmp_path, sf_dir):
     docs.write.parquet(str(tmp_path / "docs"))
     running = runs.index_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")), str(tmp_path / "index"), str(tmp_path / "d"))
     running.processAllAvailable()
+    spark.createDataFrame([(2, "c"), (3, "a")], docs.schema).write.mode("append").parquet(str(tmp_path / "docs"))
+    running.processAllAvailable()
     running.stop()
-    assert spark.read.parquet(str(tmp_path / "index")).count() == 3
+    index = segments.load(spark, str(tmp_path / "index"))
+    assert sorted(tuple(r) for r in index.postings.collect()) == [(1, "a", 1), (1, "b", 1), (2, "c", 1), (3, "a", 1)]
+    assert index.stats.first().n == 3
     assert time.time() > 0

@@ -28,7 +28,7 @@ from ._spark import documents, dropped, written
 
 WORDS = 5
 #: Tokens that more classes than this hold in their prefixes come last in the order.
-HOT = 128
+HOT = 32
 #: Lines of a token that all its others meet first: the earliest of each of so many parts.
 PIVOTS = 8
 #: Buckets of token hashes in which hot tokens are marked; a token beside a hot one comes late, too.
@@ -54,13 +54,33 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _coded(lines: DataFrame, width: int) -> DataFrame:
-    """``line`` becomes ``codes``: the sorted hashes of its distinct tokens."""
+    """``line`` becomes ``codes``: the sorted hashes of its distinct tokens.
+
+    A token's hash is put together from those of runs of one, two, four ... words, each of which is
+    made once for all tokens that have it.
+    """
     words = F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))
     out = lines.withColumn("words", words).withColumn("words", F.array_remove("words", F.xxhash64(F.lit(""))))
     n = F.size("words")
-    made = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(width))))
-    made = F.when(n >= width, made).otherwise(F.array(F.xxhash64("words", n)))
-    return out.withColumn("codes", F.sort_array(F.array_distinct(made))).drop("words", "line")
+    enough = n >= width
+
+    def beside(left: str, right: str, shift: int) -> Column:
+        """Runs at ``i`` and ``i + shift`` as one; those beyond the line's end are cut off below."""
+        return F.zip_with(left, F.slice(right, shift + 1, n), lambda x, y: F.xxhash64(x, y))
+
+    runs, size = {1: "words"}, 1
+    while 2 * size <= width:
+        runs[2 * size] = f"runs_{2 * size}"
+        out = out.withColumn(runs[2 * size], F.when(enough, beside(runs[size], runs[size], size)))
+        size *= 2
+    made, used = runs[size], list(runs.values())[1:]
+    for part in sorted(runs, reverse=True):
+        if size + part <= width:
+            out = out.withColumn(f"made_{size + part}", F.when(enough, beside(made, runs[part], size)))
+            size, made = size + part, f"made_{size + part}"
+            used.append(made)
+    codes = F.when(enough, F.slice(made, 1, n - width + 1)).otherwise(F.array(F.xxhash64("words", n)))
+    return out.withColumn("codes", F.sort_array(F.array_distinct(codes))).drop("words", "line", *used)
 
 
 def _prefix_size(n: Column) -> Column:
@@ -169,8 +189,8 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     own = documents(docs)
     heavy = written(_heavy(own, width), "heavy")
     rows = _prefix_rows(own, width).join(F.broadcast(heavy), "token", "left")
-    salt = F.when(F.col("heavy"), F.xxhash64("doc_id", "line_no"))
-    window = Window.partitionBy("token", salt)
+    # One number, which sorts faster than two: a heavy token's rows have a key each.  Rows that share a key by chance are kept, no more.
+    window = Window.partitionBy(F.when(F.col("heavy"), F.xxhash64("token", "doc_id", "line_no")).otherwise(F.col("token")))
     several = F.col("heavy") | (F.col("low") != F.col("high"))
     rows = rows.select("*", F.count("*").over(window).alias("rows"), F.min("k1").over(window).alias("low"), F.max("k1").over(window).alias("high"))
     rows = rows.filter("rows > 1 or heavy").withColumn("several", F.coalesce(several, F.col("low") != F.col("high"))).drop("rows", "heavy", "low", "high")

@@ -10,15 +10,22 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import index_tokens
 
+#: Words that are broadcast; each takes some 50 bytes.
+FEW = 1 << 17
+
 
 @dataclass
 class Index:
-    """postings(doc_id, term, tf), terms(term, df, idf), docs(doc_id, dl), stats(n, avgdl)."""
+    """postings(doc_id, term, tf), terms(term, df, idf), docs(doc_id, dl), stats(n, avgdl).
+
+    ``key`` names the columns by which postings belong to documents; postings of none are ignored.
+    """
 
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
     stats: DataFrame
+    key: tuple[str, ...] = ("doc_id",)
 
     def save(self, path: str) -> None:
         """Write the tables; postings are clustered by term, so that a look-up reads few row groups."""
@@ -73,11 +80,16 @@ def search(index: Index, queries: DataFrame, k: int = 5, codes: bool = False, k1
 
     A query's repeated tokens count as often as they come, unknown ones not at all, and only scores
     above zero are returned.  One row of statistics is joined to the lengths, everything else by key.
+    If the queries have few words, these are broadcast and prune postings where they are read, even
+    before an index that is fitted on the way counts them; beyond, postings meet them by shuffle.
     """
     tokens = terms_of(queries, "query_id", index_tokens("text", codes))
     wanted = tokens.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    lengths = index.docs.join(F.broadcast(index.stats), how="cross").select("doc_id", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm"))
-    hits = wanted.join(index.terms, "term").join(index.postings, "term").join(lengths, "doc_id")
+    lengths = index.docs.join(F.broadcast(index.stats), how="cross").select(*index.key, (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm"))
+    words, postings = wanted.select("term").distinct(), index.postings
+    if words.limit(FEW + 1).count() <= FEW:
+        postings = postings.join(F.broadcast(words), "term", "left_semi")
+    hits = wanted.join(index.terms, "term").join(postings, "term").join(lengths, list(index.key))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score")).filter("score > 0")
     return top(scored.withColumn("score", F.round("score", 9)), k)

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, index_tokens
 from ..functions.unicode import nfc
-from ..shared import deleted
-from .bm25 import Index, idf, terms_of
+from ..shared import deleted, written
+from .bm25 import Index, idf
 
+#: Ids that are broadcast: some 100 bytes each.
+FEW = 1 << 18
 LOG = "low long, high long, folder string"
 
 
@@ -67,6 +69,11 @@ def _put(tables: dict[str, DataFrame], path: str, low: int, high: int) -> None:
     spark.createDataFrame([(low, high, folder)], LOG).coalesce(1).write.mode("overwrite").parquet(f"{path}/log/{folder}")
 
 
+def _of(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` of a written list of ids, which is broadcast if it is counted to be short; beyond, both are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, on, how)
+
+
 def append(docs: DataFrame, path: str, batch: int, gone: DataFrame | None = None, codes: bool = False) -> None:
     """Add ``docs(doc_id, text)`` as batch ``batch``, in place of older rows with their ids, and take away ``gone(doc_id)``.
 
@@ -81,15 +88,19 @@ def append(docs: DataFrame, path: str, batch: int, gone: DataFrame | None = None
         raise ValueError(f"batch {batch} is in a compacted segment")
     live = _latest(spark, path, before)
     new = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
-    new = new.join(new.groupBy("doc_id").agg(F.max("digest").alias("digest")), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    # What counts is settled by digests alone; no text is shuffled.
+    of = new.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")).groupBy("doc_id").agg(F.max(F.struct("digest", "copies")).alias("x"))
+    of = of.select("doc_id", "x.digest", "x.copies")
     if live is not None:
-        same = live.select("doc_id", "digest")
-        new = new.join(same, ["doc_id", "digest"], "left_anti")
-    # Kept apart from what follows by a write: the batch may be costly to read.
+        of = of.join(live.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
+    of = written(of, "batch")
     tokens = new.select("doc_id", "digest", F.coalesce(index_tokens("text", codes), F.array().cast("array<string>")).alias("tokens"))
     folder = f"{path}/segment-{batch}-{batch}"
-    tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), "digest").write.mode("overwrite").parquet(f"{folder}/docs")
-    terms_of(tokens, "doc_id", F.col("tokens")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).write.mode("overwrite").parquet(f"{folder}/postings")
+    lengths = tokens.groupBy("doc_id", "digest").agg(F.first(F.size("tokens").cast("long")).alias("dl"))
+    _of(lengths, of.drop("copies"), ["doc_id", "digest"], "left_semi").select("doc_id", "dl", "digest").write.mode("overwrite").parquet(f"{folder}/docs")
+    found = tokens.select("doc_id", "digest", F.explode_outer("tokens").alias("term")).filter("term is not null")
+    counted = _of(found, of, ["doc_id", "digest"], "inner").groupBy("doc_id", "term", "copies").agg(F.count("*").alias("tf"))
+    counted.select("doc_id", "term", (F.col("tf") / F.col("copies")).cast("long").alias("tf")).write.mode("overwrite").parquet(f"{folder}/postings")
     own, postings = spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/postings")
 
     changes = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -99,8 +110,8 @@ def append(docs: DataFrame, path: str, batch: int, gone: DataFrame | None = None
         kept = docs.select("doc_id").filter("doc_id is not null")
         taken = gone.select(F.col("doc_id").cast(dict(own.dtypes)["doc_id"]).alias("doc_id")).filter("doc_id is not null").distinct().join(kept, "doc_id", "left_anti")
     if live is not None:
-        replaced = live.join(own.select("doc_id").unionByName(taken), "doc_id", "left_semi").select("doc_id", "seq", "dl")
-        old = _table(spark, path, before, "postings").join(replaced.select("doc_id", "seq"), ["doc_id", "seq"], "left_semi")
+        replaced = written(live.join(own.select("doc_id").unionByName(taken), "doc_id", "left_semi").select("doc_id", "seq", "dl"), "replaced")
+        old = _of(_table(spark, path, before, "postings"), replaced.select("doc_id", "seq"), ["doc_id", "seq"], "left_semi")
         changes = changes.unionByName(old.groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
         totals = totals.unionByName(replaced.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("length"))).agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
     _put({"gone": taken, "changes": changes, "totals": totals}, path, batch, batch)
@@ -116,10 +127,13 @@ def load(spark: SparkSession, path: str) -> Index | None:
     stats = totals.select("n", F.when(F.col("n") > 0, F.col("length") / F.col("n")).alias("avgdl"))
     df = _table(spark, path, found, "changes").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     terms = df.join(F.broadcast(stats), how="cross").select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    postings = _table(spark, path, found, "postings")
-    if len(found) > 1:  # a compacted index has no postings but those in force
-        postings = postings.join(live.select("doc_id", "seq"), ["doc_id", "seq"], "left_semi")
-    return Index(postings.select("doc_id", "term", "tf"), terms, live.select("doc_id", "dl"), stats)
+    # A posting belongs to a document by its segment, too: those that a later batch has replaced find none.
+    return Index(_table(spark, path, found, "postings"), terms, live.select("doc_id", "seq", "dl"), stats, ("doc_id", "seq"))
+
+
+def in_force(index: Index) -> DataFrame:
+    """``(doc_id, term, tf)``: the postings that belong to documents."""
+    return index.postings.join(index.docs.select(*index.key), list(index.key), "left_semi").select("doc_id", "term", "tf")
 
 
 def compact(spark: SparkSession, path: str) -> None:
@@ -130,7 +144,7 @@ def compact(spark: SparkSession, path: str) -> None:
         return
     low, high = found[0][0], found[-1][1]
     docs = _latest(spark, path, found).select("doc_id", "dl", "digest")
-    postings = index.postings.repartition("term").sortWithinPartitions("term", "doc_id")
+    postings = in_force(index).repartition("term").sortWithinPartitions("term", "doc_id")
     totals = index.docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
     _put({"docs": docs, "postings": postings, "gone": docs.select("doc_id").limit(0), "changes": index.terms.select("term", "df"), "totals": totals}, path, low, high)
     for _, _, folder in found:

@@ -195,6 +195,6 @@ def test_streams(spark, tmp_path, sf_dir):
     running.processAllAvailable()
     running.stop()
     index = segments.load(spark, str(tmp_path / "index"))
-    assert sorted(tuple(r) for r in index.postings.collect()) == [(1, "a", 1), (1, "b", 1), (2, "c", 1), (3, "a", 1)]
+    assert sorted(tuple(r) for r in segments.in_force(index).collect()) == [(1, "a", 1), (1, "b", 1), (2, "c", 1), (3, "a", 1)]
     assert index.stats.first().n == 3
     assert time.time() > 0

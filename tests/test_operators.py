@@ -130,9 +130,13 @@ def test_gates(spark):
     assert metrics.verdict(got).first()[0] == "FAIL_CONDITIONAL"
 
 
-def test_split_is_lossless_and_within_the_limit():
-    for text in ("a" * 250, "x y " * 100, "one. two; three\n" * 40, "short", "\n\n\n" * 60):
-        parts = splitters.split_by_length(text, 50)
+def pieces(spark, text, limit):
+    return spark.createDataFrame([(text,)], "text string").select(splitters.length_pieces(F.col("text"), limit)).first()[0]
+
+
+def test_split_is_lossless_and_within_the_limit(spark):
+    for text in ("a" * 250, "x y " * 100, "one. two; three\n" * 40, "short", "\n\n\n" * 60, ""):
+        parts = pieces(spark, text, 50)
         assert "".join(parts) == text and all(len(p) <= 50 for p in parts)
 
 
@@ -141,9 +145,10 @@ def test_paragraph_packing():
     assert splitters.pack_paragraphs("abc", -3, 150)  # a limit below the overlap still ends
 
 
-def test_forms_have_no_article_number():
-    assert splitters.article_of(["Chương I", "Điều 7. X"]) == 7
-    assert splitters.article_of(["Phụ lục I", "Điều 7"]) is None
+def test_forms_have_no_article_number(spark):
+    paths = [(["Chương I", "Điều 7. X"], 7), (["Phụ lục I", "Điều 7"], None), ([], None), (["Điều 7a"], None)]
+    got = spark.createDataFrame(paths, "path array<string>, want int").select("want", splitters.article_of(F.col("path")).alias("got"))
+    assert all(r.got == r.want for r in got.collect())
 
 
 def test_sections_once_only():
@@ -164,10 +169,13 @@ def test_tables_stay_with_their_heading(spark):
     assert ("A", "Table", "| a |\n|---|\n| 5.000 |") in got
 
 
-def test_citation_lists():
-    got = splitters.citations_of("Điều 8 và Điều 9 Luật 59/2020/QH14; xem điểm a khoản 1.")
-    assert [(c.get("article"), c.get("document_id"), c.get("clause"), c.get("point")) for c in got] == [
-        ("8", None, None, None), ("9", "59/2020/QH14", None, None), (None, "59/2020/QH14", "1", "a"),
+def test_citation_lists(spark):
+    text = "Điều 8 và Điều 9 Luật 59/2020/QH14; xem điểm a khoản 1."
+    answers = [(1, text), (2, None), (3, ""), (4, "khoản 2"), (5, "điều 8 luật 1/2020/nđ-cp. Nêu Điều 8 Luật 1/2020/NĐ-CP, Điều 9"), (6, "Điều 1 " + "x" * 20000 + " và" * 20000 + " Điều 2")]
+    got = splitters.citations(spark.createDataFrame(answers, "answer_id long, text string")).orderBy("answer_id", "n").collect()
+    assert [(r.answer_id, r.article, r.document_id, r.clause, r.point) for r in got] == [
+        (1, "8", None, None, None), (1, "9", "59/2020/QH14", None, None), (1, None, "59/2020/QH14", "1", "a"),
+        (5, "8", "1/2020/nđ-cp", None, None), (5, "9", "1/2020/NĐ-CP", None, None), (6, "1", None, None, None), (6, "2", None, None, None),
     ]
 
 
@@ -210,11 +218,11 @@ def test_judge_sees_each_pair_once(spark):
     assert T.ABSTENTION_CUES
 
 
-def test_overlong_lines_are_cut_after_the_last_mark_that_fits():
-    assert splitters.split_by_length("one. two; three: four five six", 20) == ["one. two; three: ", "four five six"]
-    assert splitters.split_by_length("one; two three. four five", 12) == ["one; ", "two three. ", "four five"]
-    assert splitters.split_by_length("alpha beta gamma", 12) == ["alpha beta ", "gamma"]
-    assert splitters.split_by_length("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+def test_overlong_lines_are_cut_after_the_last_mark_that_fits(spark):
+    assert pieces(spark, "one. two; three: four five six", 20) == ["one. two; three: ", "four five six"]
+    assert pieces(spark, "one; two three. four five", 12) == ["one; ", "two three. ", "four five"]
+    assert pieces(spark, "alpha beta gamma", 12) == ["alpha beta ", "gamma"]
+    assert pieces(spark, "x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
 
 
 def test_an_index_is_none_only_where_there_is_none(spark, tmp_path):

@@ -52,6 +52,26 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({columns})"
 
 
+# ---------------------------------------------------------------- legal texts made of orders and their lines
+
+LINES = """k as (select l_orderkey as o, l_partkey as p, l_suppkey as s, l_quantity::bigint as q,
+  row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as k from lineitem)"""
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(o, k, p, s, q)``: the lines of every order, numbered, with part, supplier and quantity."""
+    numbered = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    named = {"o": F.col("l_orderkey"), "k": numbered, "p": F.col("l_partkey"), "s": F.col("l_suppkey"), "q": F.col("l_quantity").cast("long")}
+    return table(spark, sf_dir, "lineitem").select(*(c.alias(n) for n, c in named.items()))
+
+
+def order_texts(spark: SparkSession, sf_dir: str, head: str, line: str, between: str = "\n") -> DataFrame:
+    """``(o, text)``: a text of each order, from the expressions of its head and its lines."""
+    lines = order_lines(spark, sf_dir).select("o", F.struct("k", F.expr(line).alias("line")).alias("at"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["line"]), between)
+    return lines.groupBy("o").agg(body.alias("body")).select("o", F.concat(F.expr(head), F.col("body")).alias("text"))
+
+
 # ---------------------------------------------------------------- shared SQL
 
 WORDS = r"[\p{L}\p{N}_]+"
@@ -158,42 +178,31 @@ def first_occurrences(spark, sf_dir):
     return words.filter(F.size("w") > 0).select("doc_id", F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-LABELS = [
-    ("Điều 53", "khoản 3)", "điểm b", "53", "3", "b"), ("53a.", "Clause 12", "Đ)", "53a", "12", "d"), ("Article 7", "3", "point c", "7", "3", "c"),
-    ("", " ", "b]", None, None, "b"), ("dieu 9", "para. 4", "litera f", "9", "4", "f"), (None, None, None, None, None, None),
-]
-
-
-@query("normalize_labels", f"select a, c, p, article, clause, point from {values(LABELS, 'a, c, p, article, clause, point')}")
+@query("normalize_labels", f"with {LINES} select o, k, p || case when q % 3 = 0 then 'a' else '' end as article, k::varchar as clause, case p % 4 when 0 then 'd' when 1 then 'b' when 2 then 'c' end as point from k")
 def normalize_labels(spark, sf_dir):
-    rows = spark.createDataFrame([r[:3] for r in LABELS], "a string, c string, p string")
-    return rows.select("a", "c", "p", T.normalize_article("a").alias("article"), T.normalize_clause("c").alias("clause"), T.normalize_point("p").alias("point"))
-
-
-DOCUMENT_IDS = [
-    ("330/2026/NĐ-CP", "330/2026/nd/cp"), ("330-2026-ND-CP", "330/2026/nd/cp"), ("Nghị định số 330/2026/NĐ-CP", "330/2026/nd/cp"),
-    ("331/2026/NĐ-CP", "331/2026/nd/cp"), ("Luật 59/2020/QH14", "59/2020/qh14"), ("decree no. 5_2020", "5/2020"), (" ", None), ("///", None), (None, None),
-]
+    """Labels of every line in one of their spellings."""
+    rows = order_lines(spark, sf_dir).withColumns({
+        "article": F.expr("concat(case q % 3 when 0 then 'Điều ' when 1 then ' dieu' else 'Article ' end, p, case q % 3 when 0 then 'a.' else '' end)"),
+        "clause": F.expr("concat(case q % 4 when 0 then 'khoản ' when 1 then 'Clause ' when 2 then 'para. ' else '' end, k, if(q % 2 = 0, ')', ''))"),
+        "point": F.expr("case p % 4 when 0 then 'Đ)' when 1 then 'điểm b' when 2 then 'litera C.' else ' ' end"),
+    })
+    return rows.select("o", F.col("k").cast("long").alias("k"), T.normalize_article("article").alias("article"), T.normalize_clause("clause").alias("clause"), T.normalize_point("point").alias("point"))
 
 
-@query("normalize_document_ids", f"select raw, id from {values(DOCUMENT_IDS, 'raw, id')}")
+@query("normalize_document_ids", f"with {LINES} select o, k, case when q % 5 = 4 then null else p || '/' || 2000 + q || '/nd/cp' end as id from k")
 def normalize_document_ids(spark, sf_dir):
-    rows = spark.createDataFrame([r[:1] for r in DOCUMENT_IDS], "raw string")
-    return rows.select("raw", T.normalize_document_id("raw").alias("id"))
+    """Codes of every line in one of their spellings; blanks have none."""
+    raw = "case q % 5 when 0 then concat(p, '/', 2000 + q, '/NĐ-CP') when 1 then concat(p, '-', 2000 + q, '-ND-CP') when 2 then concat('Nghị định số ', p, '/', 2000 + q, '/NĐ-CP') when 3 then concat('decree no. ', p, '_', 2000 + q, '_nd.cp/') else ' ' end"
+    return order_lines(spark, sf_dir).select("o", F.col("k").cast("long").alias("k"), T.normalize_document_id(F.expr(raw)).alias("id"))
 
 
-CANONICAL = [
-    ("Luật An ninh mạng số 116/2025/QH15", "luật 116 2025 qh15"), ("Nghị định 329/2026/NĐ-CP", "nghị định 329 2026 nđ cp"),
-    ("Điều 5 Luật 116/2025/QH15", "điều 5 luật 116 2025 qh15"), ("Quyết định 127/QĐ-TTg", "quyết định 127 qđ ttg"), ("Quyết định số 127/QĐ-TTg", "quyết định 127 qđ ttg"),
-    ("Bộ luật Dân sự 91/2015/QH13", "bộ luật 91 2015 qh13"), ("329/2026/NĐ-CP", "329 2026 nđ cp"), ("Dữ liệu, cá nhân!", "dữ liệu  cá nhân"), ("", ""),
-]
-CANONICAL = [(a, " ".join(b.split())) for a, b in CANONICAL]
-
-
-@query("canonical_ids", f"select phrase, id from {values(CANONICAL, 'phrase, id')}")
+@query("canonical_ids", f"""with {LINES} select o, k, case q % 5 when 0 then 'luật ' || p || ' 2015 qh13' when 1 then 'nghị định ' || p || ' ' || 2000 + q || ' nđ cp'
+  when 2 then 'điều ' || k || ' luật ' || p || ' 2015 qh13' when 3 then 'quyết định ' || p || ' qđ ttg' else p || ' ' || 2000 + q || ' nđ cp' end as id from k""")
 def canonical_ids(spark, sf_dir):
-    rows = spark.createDataFrame([r[:1] for r in CANONICAL], "phrase string")
-    return rows.select("phrase", T.canonical_id("phrase").alias("id"))
+    """Names of documents of every line in one of their spellings."""
+    law, code = "concat('Luật An ninh số ', p, '/2015/QH13')", "concat(p, '/', 2000 + q, '/NĐ-CP')"
+    raw = f"case q % 5 when 0 then {law} when 1 then concat('Nghị định ', {code}) when 2 then concat('Điều ', k, ' Luật ', p, '/2015/QH13') when 3 then concat('Quyết định ', if(s % 2 = 0, 'số ', ''), p, '/QĐ-TTg') else {code} end"
+    return order_lines(spark, sf_dir).select("o", F.col("k").cast("long").alias("k"), T.canonical_id(F.expr(raw)).alias("id"))
 
 
 @query("stable_ids", r"select doc_id, substr(sha256(coalesce(source, '') || chr(31) || doc_id), 1, 16) as digest, md5(text) as content from documents")
@@ -207,26 +216,21 @@ def token_counter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_count("text").alias("n"))
 
 
-HEADS = [
-    ("a.md", "# Nghị định 13/2023/NĐ-CP về dữ liệu\n\nTình trạng: Còn hiệu lực\n", "Nghị định 13/2023/NĐ-CP về dữ liệu", "13/2023/NĐ-CP", "còn hiệu lực"),
-    ("b.md", "# Thông tư 05-2026-TT-BKHCN\nhết hiệu lực", "Thông tư 05-2026-TT-BKHCN", "05/2026/TT-BKHCN", "hết hiệu lực"),
-    ("13-2023-ND-CP_x.md", "text only", None, "13/2023/ND/CP", "Không rõ"), ("c.md", "# Quyết định 127/QĐ-TTg", "Quyết định 127/QĐ-TTg", "127/QĐ-TTg", "Không rõ"),
-]
-
-
-@query("document_heads", f"select file, title, code, status from {values([(a, *r) for a, _, *r in HEADS], 'file, title, code, status')}")
+@query("document_heads", f"""with {LINES} select o, k, case when q % 3 < 2 then case q % 3 when 0 then 'Nghị định ' || p || '/2023/NĐ-CP' else 'Thông tư ' || p || '-2026-TT-BKHCN' end end as title,
+  case q % 3 when 0 then p || '/2023/NĐ-CP' when 1 then p || '/2026/TT-BKHCN' else p || '/2020/ND/CP' end as code, case s % 3 when 0 then 'còn hiệu lực' when 1 then 'hết hiệu lực' else 'Không rõ' end as status from k""")
 def document_heads(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in HEADS], "file string, text string")
-    return rows.select("file", T.heading_title("text").alias("title"), T.heading_code("text", "file").alias("code"), T.document_status("text").alias("status"))
-
+    """Title, code and status of a document for every line; without a heading the file's name has the code."""
+    text = "concat(case q % 3 when 0 then concat('# Nghị định ', p, '/2023/NĐ-CP\n') when 1 then concat('# Thông tư ', p, '-2026-TT-BKHCN\n') else 'văn bản\n' end, case s % 3 when 0 then 'Tình trạng: Còn hiệu lực' when 1 then 'hết hiệu lực' else '' end)"
+    rows = order_lines(spark, sf_dir).withColumns({"text": F.expr(text), "file": F.expr("concat(p, '-2020-ND-CP_x.md')")})
+    return rows.select("o", F.col("k").cast("long").alias("k"), T.heading_title("text").alias("title"), T.heading_code("text", "file").alias("code"), T.document_status("text").alias("status"))
 
-REFERENCES = [("theo Điều 8 Nghị định 13/2023/NĐ-CP", "13/2023/NĐ-CP", "8", None), ("<page_number>12</page_number> x", None, None, 12), ("none", None, None, None)]
 
-
-@query("first_references", f"select text, code, article, page from {values(REFERENCES, 'text, code, article, page')}")
+@query("first_references", f"""with {LINES} select o, k, case when q % 3 = 0 then p % 9999 + 1 || '/2023/NĐ-CP' end as code, case when q % 3 = 0 then (k % 99)::varchar end as article, case when q % 3 = 1 then (s + 1)::int end as page from k""")
 def first_references(spark, sf_dir):
-    rows = spark.createDataFrame([r[:1] for r in REFERENCES], "text string")
-    return rows.select("text", T.legal_code("text").alias("code"), T.article_number("text").alias("article"), T.page_number("text").alias("page"))
+    """The first code, article and page in a text of every line."""
+    raw = "case q % 3 when 0 then concat('theo Điều ', k % 99, ' Nghị định ', p % 9999 + 1, '/2023/NĐ-CP, Điều 7') when 1 then concat('<page_number>', s + 1, '</page_number> x') else 'không' end"
+    rows = order_lines(spark, sf_dir).withColumn("text", F.expr(raw))
+    return rows.select("o", F.col("k").cast("long").alias("k"), T.legal_code("text").alias("code"), T.article_number("text").alias("article"), T.page_number("text").alias("page"))
 
 
 @query("phrase_counts", "select item_id, doc_id, ((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text))::bigint as n from documents d join benchmark b on contains(d.text, b.text)")
@@ -601,33 +605,15 @@ def claim_groundedness(spark, sf_dir):
 
 # ---------------------------------------------------------------- splitters
 
-LAW = """# Nghị định 13/2023/NĐ-CP
-
-Tình trạng: còn hiệu lực
-
-Căn cứ Luật.
-
-## Chương I
-### Mục 1
-#### Điều 1. Phạm vi
-1. Khoản một.
-a) Điểm a;
-b) Điểm b.
-2. Khoản hai.
-
-### Mục 2
-Điều 2. Đối tượng
-Nội dung điều hai.
-"""
-SECTIONS = [
-    (0, "Mở đầu / Căn cứ ban hành", "Thông tin chung", 1, 1), (1, "Chương I - Mục 1", "Điều 1. Phạm vi", 1, 1),
-    (2, "Chương I - Mục 1 - Mục 2", "Điều 2. Đối tượng", 1, 1),
-]
-
 
-@query("section_chunks", f"select 'a.md_c' || n as chunk_id, chapter, article, part::int as part, total::int as total_parts, '13/2023/NĐ-CP' as doc_code, 'còn hiệu lực' as status from {values(SECTIONS, 'n, chapter, article, part, total')}")
+@query("section_chunks", f"""with {LINES} select o || '.md_c' || (k - o % 2) as chunk_id, 'Chương ' || coalesce(max(case when q % 3 = 0 then k end) over (partition by o order by k), 0) as chapter,
+  'Điều ' || k || '. Phần ' || p as article, 1 as part, 1 as total_parts, o % 9999 || '/2020/NĐ-CP' as doc_code, case when o % 2 = 0 then 'còn hiệu lực' else 'Không rõ' end as status from k
+  union all select distinct o || '.md_c0', 'Mở đầu / Căn cứ ban hành', 'Thông tin chung', 1, 1, o % 9999 || '/2020/NĐ-CP', 'còn hiệu lực' from k where o % 2 = 0""")
 def section_chunks(spark, sf_dir):
-    docs = spark.createDataFrame([("a.md", LAW)], "source string, text string")
+    """Every order as a decree with an article a line and a chapter before some."""
+    head = "concat('# Nghị định ', o % 9999, '/2020/NĐ-CP\n', if(o % 2 = 0, 'Tình trạng: còn hiệu lực\n', ''), '## Chương 0\n')"
+    line = "concat(if(q % 3 = 0, concat('## Chương ', k, '\n'), ''), '#### Điều ', k, '. Phần ', p, '\nNội dung ', s)"
+    docs = order_texts(spark, sf_dir, head, line).select(F.concat("o", F.lit(".md")).alias("source"), "text")
     return splitters.section_chunks(docs).select("chunk_id", "chapter", "article", "part", "total_parts", "doc_code", "status")
 
 
@@ -645,14 +631,23 @@ def section_chunks_sized(spark, sf_dir):
     return splitters.section_chunks(docs).select("chunk_id", "part", "total_parts", F.length("content").alias("size"), F.md5("content").alias("digest"))
 
 
-CLAUSES = "Lời dẫn\n" + "\n".join(f"{k}. Khoản {k} " + "x" * 60 for k in (1, 2)) + "\n3. Khoản 3\na) " + "y" * 90 + "\nb) " + "z" * 40
-UNITS = [(0, "1", None), (1, "2", None), (2, "3", "a"), (3, "3", "b")]
-
-
-@query("structural_split", f"select n::int as split_index, c as clause_no, p as point_no, 5::int as article_no from {values(UNITS, 'n, c, p')}")
+@query("structural_split", f"""
+with {LINES}, line as (select o, 0::bigint as k, 'lead' as kind, null::varchar as mark, length('Lời dẫn ' || o) as size from (select distinct o from k)
+  union all select o, k, case when q < 25 then 'clause' else 'point' end, case when q < 25 then k::varchar else chr((97 + p % 20)::int) end, length(case when q < 25 then k || '. Khoản ' else 'a) Điểm ' end) + q % 25 from k),
+c as (select *, sum(size + 1) over (partition by o) - 1 > 110 as over, greatest(count(*) filter (kind = 'clause') over (partition by o order by k), least(1, count(*) filter (kind = 'clause') over (partition by o))) as c from line),
+b as (select *, case when over then c else 0 end as block from c),
+d as (select *, over and sum(size + 1) over (partition by o, block) - 1 > 110 as fine from b),
+u as (select *, case when fine then greatest(count(*) filter (kind = 'point') over (partition by o, block order by k), least(1, count(*) filter (kind = 'point') over (partition by o, block))) else 0 end as unit,
+  max(case when over and kind = 'clause' then mark end) over (partition by o, block) as clause from d)
+select o, (row_number() over (partition by o order by block, unit) - 1)::int as split_index, max(clause) as clause_no,
+  max(mark) filter (fine and kind = 'point') as point_no, 5 as article_no, (sum(size + 1) - 1)::int as size from u group by o, block, unit""")
 def structural_split(spark, sf_dir):
-    rows = spark.createDataFrame([("id", "Chương I / Điều 5", CLAUSES, "Text", "a.md")], "id string, name string, content string, type string, source_path string")
-    return splitters.structural_split(rows, 110).select("split_index", "clause_no", "point_no", "article_no")
+    """Every order as an article whose lines are clauses and points."""
+    line = "concat(if(q < 25, concat(k, '. Khoản '), concat(char(97 + p % 20), ') Điểm ')), repeat('x', int(q % 25)))"
+    docs = order_texts(spark, sf_dir, "concat('Lời dẫn ', o, '\n')", line)
+    rows = docs.select(F.col("o").cast("string").alias("id"), F.lit("Chương I / Điều 5").alias("name"), F.col("text").alias("content"), F.lit("Text").alias("type"), F.col("o").cast("string").alias("source_path"))
+    parts = splitters.structural_split(rows, 110)
+    return parts.select(F.col("source_path").cast("long").alias("o"), "split_index", "clause_no", "point_no", "article_no", F.length("content").alias("size"))
 
 
 @query("length_split_documents", "select doc_id, md5(text) as digest, true as short from documents where trim(text, chr(10) || ' ') <> ''")
@@ -665,56 +660,60 @@ def length_split_documents(spark, sf_dir):
     return listed.select(F.trim("k").cast("long").alias("doc_id"), F.md5(F.array_join(F.transform("p", lambda x: x["content"]), "")).alias("digest"), (F.col("most") <= 1000).alias("short"))
 
 
-TABLE = "Bảng giá\n| a | b |\n|---|---|\n" + "\n".join(f"| {k} | 5.000 |" for k in range(8)) + "\nHết"
-
-
-@query("table_split", "select n::int as split_index, rows::int as n_rows from (values (0, 3), (1, 3), (2, 2)) t(n, rows)")
+@query("table_split", f"with {LINES} select o, ((k - 1) // 3)::int as split_index, count(*) as n_rows, sum(p) as parts from k group by all")
 def table_split(spark, sf_dir):
-    rows = spark.createDataFrame([("id", "Bảng", TABLE, "Table", "a.md")], "id string, name string, content string, type string, source_path string")
-    parts = splitters.structural_split(rows, 80)
-    return parts.select("split_index", F.size(F.regexp_extract_all("content", F.lit(r"\| \d \|"), F.lit(0))).alias("n_rows"))
-
-
-TREE = [("Nghị định 13/2023/NĐ-CP", "Text", 1), ("Nghị định 13/2023/NĐ-CP / Chương I", "Text", 2), ("Nghị định 13/2023/NĐ-CP / Chương I / Mục 1", "Text", 3), ("Nghị định 13/2023/NĐ-CP / Chương I / Mục 1 / Điều 1. Phạm vi", "Text", 4), ("Nghị định 13/2023/NĐ-CP / Chương I / Mục 2", "Text", 3)]
-
-
-@query("heading_tree", f"select name, type, level::int as level from {values(TREE, 'name, type, level')}")
+    """Every order as a table, three rows of 20 characters a part."""
+    docs = order_texts(spark, sf_dir, "'Bảng giá\n| a | b |\n|---|---|\n'", "concat('| ', lpad(p, 9, '0'), ' | 5.00 |')")
+    rows = docs.select(F.col("o").cast("string").alias("id"), F.lit("Bảng").alias("name"), F.concat("text", F.lit("\nHết")).alias("content"), F.lit("Table").alias("type"), F.col("o").cast("string").alias("source_path"))
+    numbers = F.regexp_extract_all("content", F.lit(r"\| (\d{9}) \|"), F.lit(1))
+    parts = splitters.structural_split(rows, 33 + 3 * 21).select(F.col("source_path").cast("long").alias("o"), "split_index", numbers.alias("n"))
+    return parts.select("o", "split_index", F.size("n").cast("long").alias("n_rows"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("parts"))
+
+
+@query("heading_tree", f"""
+with {LINES}, h as (select *, case when q % 3 = 0 then 'Mục ' || k end as section, last_value(case when q % 3 = 0 then 'Mục ' || k end ignore nulls) over (partition by o order by k) as open from k)
+select 'Văn bản ' || o as name, 'Text' as type, 1 as level from (select distinct o from k) union all
+select concat_ws(' / ', 'Văn bản ' || o, open, case when section is null then 'Điều ' || k end), 'Text', case when section is null then 3 else 2 end from h union all
+select concat_ws(' / ', 'Văn bản ' || o, open, case when section is null then 'Điều ' || k end), 'Table', case when section is null then 3 else 2 end from h where p % 2 = 0""")
 def heading_tree(spark, sf_dir):
-    docs = spark.createDataFrame([("a.md", LAW)], "source string, text string")
+    """Every order as a document with sections, articles and tables."""
+    line = "concat(if(q % 3 = 0, concat('## Mục ', k), concat('### Điều ', k)), '\nNội dung', if(p % 2 = 0, '\n| a |\n|---|\n| 5.000 |', ''))"
+    docs = order_texts(spark, sf_dir, "concat('# Văn bản ', o, '\n')", line).select(F.col("o").cast("string").alias("source"), "text")
     return splitters.heading_tree(docs).select("name", "type", "level")
 
 
-NUMBERED = "# L\n## Điều 1. A\nx\n## Điều 3. C\n## Điều 2. B\n## Phụ lục\n### Điều 3. F\n## Điều 3. C"
-
-
-@query("article_headings", "select n::int as article_no, t as title from (values (1, 'Điều 1. A'), (2, 'Điều 2. B'), (3, 'Điều 3. C')) v(n, t)")
+@query("article_headings", f"with {LINES} select o, ((k + 1) // 2)::int as article_no, 'Điều ' || (k + 1) // 2 || '. Phần ' || p as title from k where k % 2 = 1")
 def article_headings(spark, sf_dir):
-    docs = spark.createDataFrame([("a.md", NUMBERED)], "source string, text string")
-    return splitters.article_headings(docs).select("article_no", "title")
-
-
-BODY = "lead\n1. one\na) x\nb) y\n2. two"
-
-
-@query("article_units", "select n::int as line_no, c as clause_no, p as point_no from (values (0, null, null), (1, '1', null), (2, '1', 'a'), (3, '1', 'b'), (4, '2', null)) v(n, c, p)")
+    """Every number comes twice, and once before that within a form; only the first one outside counts."""
+    number = "concat('Điều ', (k + 1) div 2, '. ')"
+    line = f"concat(if(k % 2 = 1, concat('## Phụ lục\n### ', {number}, 'Mẫu\n'), ''), '## ', {number}, 'Phần ', p)"
+    docs = order_texts(spark, sf_dir, "'# Luật\n'", line).select(F.col("o").cast("string").alias("source"), "text")
+    return splitters.article_headings(docs).select(F.col("source").cast("long").alias("o"), "article_no", "title")
+
+
+@query("article_units", f"""
+with {LINES}, m as (select o, k, case when q % 3 = 0 then k::varchar end as clause, case when q % 3 = 1 then chr((97 + p % 20)::int) end as point from k),
+g as (select *, count(clause) over (partition by o order by k) as c from m)
+select o, k::int as line_no, last_value(clause ignore nulls) over (partition by o order by k) as clause_no, last_value(point ignore nulls) over (partition by o, c order by k) as point_no from g
+union all select o, 0, null, null from (select distinct o from k)""")
 def article_units(spark, sf_dir):
-    rows = spark.createDataFrame([("a.md", 1, BODY)], "source string, article_no int, text string")
-    return splitters.article_units(rows).select("line_no", "clause_no", "point_no")
-
-
-ANSWERS = [
-    (1, "Theo điểm b khoản 2 Điều 8 Nghị định 13/2023/NĐ-CP và Điều 9."), (2, "khoản 2 thì không rõ. Luật 59/2020/QH14 nêu ở Điều 3 khoản 1"),
-    (3, "Điều 8 <reference id=1></reference> Nghị định 13/2023/NĐ-CP; Điều 8 Nghị định 13/2023/NĐ-CP"), (4, "không có"),
-]
-CITATIONS = [
-    (1, 0, "13/2023/NĐ-CP", "8", "2", "b"), (1, 1, "13/2023/NĐ-CP", "9", None, None), (2, 0, "59/2020/QH14", None, None, None),
-    (2, 1, "59/2020/QH14", "3", "1", None), (3, 0, "13/2023/NĐ-CP", "8", None, None),
-]
-
-
-@query("citations", f"select a::bigint as answer_id, n::int as n, d as document_id, article, clause, point from {values(CITATIONS, 'a, n, d, article, clause, point')}")
+    """Every order as an article: clauses, points and lines that go on."""
+    line = "concat(case q % 3 when 0 then concat(k, '. ') when 1 then concat(char(97 + p % 20), ') ') else '' end, 'nội dung')"
+    rows = order_texts(spark, sf_dir, "'Lời dẫn\n'", line).select(F.col("o").cast("string").alias("source"), F.lit(1).alias("article_no"), "text")
+    return splitters.article_units(rows).select(F.col("source").cast("long").alias("o"), "line_no", "clause_no", "point_no")
+
+
+@query("citations", f"""
+with {LINES}, c as (select o, k, case q % 4 when 0 then s % 900 + 1 || '/2020/NĐ-CP' when 2 then s % 900 + 1 || '/2019/QH14' end as d, case when q % 4 < 3 then (p % 50 + 1)::varchar end as a,
+  case when q % 4 > 0 then k::varchar end as c, case q % 4 when 2 then 'b' when 3 then 'a' end as p from k),
+i as (select o, k, last_value(d ignore nulls) over (partition by o order by k) as d, a, c, p from c),
+f as (select o, min(k) as k, d, a, c, p from i where d is not null or a is not null group by o, d, a, c, p)
+select o as answer_id, (row_number() over (partition by o order by k) - 1)::int as n, d as document_id, a as article, c as clause, p as point from f""")
 def citations(spark, sf_dir):
-    return splitters.citations(spark.createDataFrame(ANSWERS, "answer_id long, text string"))
+    """Every order as an answer that cites a place a line, some without their document."""
+    article, decree, law = "concat('Điều ', p % 50 + 1)", "concat('Nghị định ', s % 900 + 1, '/2020/NĐ-CP')", "concat('Luật số ', s % 900 + 1, '/2019/QH14')"
+    line = f"case q % 4 when 0 then concat({article}, ' của ', {decree}) when 1 then concat('khoản ', k, ' ', {article}) when 2 then concat('điểm b khoản ', k, ', ', {article}, ' <reference id=1></reference> ', {law}) else concat('Điểm a Khoản ', k) end"
+    return splitters.citations(order_texts(spark, sf_dir, "''", line, ". Nêu rõ ").select(F.col("o").alias("answer_id"), "text"))
 
 
 # ---------------------------------------------------------------- graph
@@ -769,13 +768,11 @@ def relation_contract(spark, sf_dir):
     return out.select("subject", "predicate", "object", "status")
 
 
-IDENTITIES = [("c", "Sanction", "a", "t1"), ("c", "Sanction", "b", "t1"), ("c", "Sanction", "d", "t2"), ("c", "Authority", "x", "t3"), ("c", "Authority", "y", "t3")]
-
-
-@query("same_unit_ambiguity", f"select name, category <> 'Authority' and count(*) over (partition by c, category, target) > 1 as ambiguous from {values(IDENTITIES, 'c, category, name, target')}")
+@query("same_unit_ambiguity", f"with {LINES} select o, k, q % 3 > 0 and count(*) over (partition by o, q % 3, p % 3) > 1 as ambiguous from k")
 def same_unit_ambiguity(spark, sf_dir):
-    rows = spark.createDataFrame(IDENTITIES, "chunk_id string, category string, name string, target string")
-    return graph.downgraded(rows).select("name", "ambiguous")
+    """Names of every order that share a target; authorities may."""
+    rows = order_lines(spark, sf_dir).select("o", "k", F.col("o").cast("string").alias("chunk_id"), F.expr("case q % 3 when 0 then 'Authority' when 1 then 'Sanction' else 'LegalTerm' end").alias("category"), F.col("k").cast("string").alias("name"), F.expr("string(p % 3)").alias("target"))
+    return graph.downgraded(rows).select("o", F.col("k").cast("long").alias("k"), "ambiguous")
 
 
 BODIES = [
@@ -898,13 +895,15 @@ def failure_runs(spark, sf_dir):
     return runs.failure_runs(events, F.coalesce(F.col("value") < 30, F.lit(False)), ("event_id",))
 
 
-CALLS = [("k", i, i != 11) for i in range(24)]
-
-
-@query("breaker", "select 'k' as key, 24::int as call")
+@query("breaker", """
+with e as (select event_type as key, row_number() over (partition by event_type order by event_id) as n, coalesce(value < 60, false) as failed from events),
+i as (select *, sum((not failed)::int) over (partition by key order by n) as island from e),
+r as (select key, n, failed, count(*) filter (failed) over (partition by key, island order by n) as run from i)
+select key, min(n)::int as call from r where failed and run >= 12 group by key""")
 def breaker(spark, sf_dir):
-    calls = spark.createDataFrame(CALLS, "key string, seq int, failed boolean")
-    return runs.breaker(calls, F.col("failed"), ("seq",)).select("key", F.col("call").cast("int").alias("call"))
+    """The call at which each type of event would be cut off."""
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "event_id", F.coalesce(F.col("value") < 60, F.lit(False)).alias("failed"))
+    return runs.breaker(calls, F.col("failed"), ("event_id",)).select("key", F.col("call").cast("int").alias("call"))
 
 
 @query("event_tumbling", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")

@@ -1,7 +1,7 @@
 """Registered queries of the engine's own operators, each next to DuckDB SQL with the same rows.
 
-Operators on text, indexes, joins and metrics run over the whole driver tables.  Those that need
-legal structure, which the tables lack, run over literal fixtures that both sides share.
+All run over whole tables.  Those that need legal structure, which the tables lack, read texts that
+Spark writes from every order and its lines; their SQL computes the rows from the numbers in them.
 """
 
 from __future__ import annotations
@@ -146,17 +146,14 @@ def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.md5(T.normalize_text("text")).alias("digest"), F.size(T.match_tokens("text")).alias("n"))
 
 
-PAIRS = [
-    ("100.000.000 đồng", "100 000 000 đồng", True), ("30,5%", "305%", False), ("Điều **13**", "Điều 13", True), ("Điều 31", "Điều 13", False),
-    ("1.000.000", "1000000", True), ("2026.01", "202601", False), ("không được", "được", False), ("1,234,567 và 12", "1234567 và 12", True),
-    ("Luật", "Luật", True), ("12.3456", "123456", False), ("1.000.00", "1000.00", True), ("a  b\tc", "A B C", True),
-]
-
-
-@query("normalize_pairs", f"select a, b, expected as same from {values(PAIRS, 'a, b, expected')}")
+@query("normalize_pairs", f"with {LINES} select o, k, q % 5 in (0, 1, 4) as same from k")
 def normalize_pairs(spark, sf_dir):
-    rows = spark.createDataFrame(PAIRS, "a string, b string, expected boolean")
-    return rows.select("a", "b", (T.normalize_for_match("a") == T.normalize_for_match("b")).alias("same"))
+    """Grouped numbers, marks, white space and case are one text; other numbers and decimals aren't."""
+    group = "lpad(p % 1000, 3, '0'), {0}, lpad(s % 1000, 3, '0')"
+    a = f"case q % 5 when 0 then concat('7.', {group.format("'.'")}, ' đồng') when 1 then concat('Điều **', p, '**') when 2 then concat('Điều ', p) when 3 then concat('12.', 1000 + p % 9000) else concat('a  b\tC', p) end"
+    b = f"case q % 5 when 0 then concat('7 ', {group.format("' '")}, ' đồng') when 1 then concat('Điều ', p) when 2 then concat('Điều ', p + 1) when 3 then concat('12', 1000 + p % 9000) else concat('A B c', p) end"
+    rows = order_lines(spark, sf_dir).withColumns({"a": F.expr(a), "b": F.expr(b)})
+    return rows.select("o", F.col("k").cast("long").alias("k"), (T.normalize_for_match("a") == T.normalize_for_match("b")).alias("same"))
 
 
 @query("token_coverage", f"""
@@ -339,10 +336,11 @@ def hybrid_retrieve(spark, sf_dir):
     return retrieval.hybrid(channels, docs, queries)
 
 
-@query("abbreviations", f"select id, full_text from {values([(1, 'theo nghị định 13'), (2, 'ANDX')], 'id, full_text')}")
+@query("abbreviations", f"with {LINES} select o, k, case when q % 2 = 0 then 'theo nghị định ' || p else 'AND' || p || ' (an ninh)' end as full_text from k")
 def abbreviations(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "theo NĐ 13"), (2, "ANDX")], "id int, text string")
-    return retrieval.expand_abbreviations(rows, {"NĐ": "nghị định", "AND": "an ninh"}).select("id", F.col("text").alias("full_text"))
+    """Abbreviations that stand alone are spelled out, those within words aren't."""
+    rows = order_lines(spark, sf_dir).withColumn("text", F.expr("if(q % 2 = 0, concat('theo NĐ ', p), concat('AND', p, ' (AND)'))"))
+    return retrieval.expand_abbreviations(rows, {"NĐ": "nghị định", "AND": "an ninh"}).select("o", F.col("k").cast("long").alias("k"), F.col("text").alias("full_text"))
 
 
 @query("budget_contexts", f"""
@@ -381,21 +379,18 @@ def prompt_contexts(spark, sf_dir):
 # ---------------------------------------------------------------- evidence and metrics
 
 LEVELS = ("1/2020/A", "5", "2", "b")
-TRUTH = [
-    (f"{d}{a}{c}{p}", *(LEVELS[k] if v == "=" else ("9" if v == "x" else None) for k, v in enumerate((d, a, c, p))))
-    for d in "=x-" for a in "=x-" for c in "=x-" for p in "=x-"
-]
 
 
 @query("structural_truth", f"""
-select name, case when name like 'x%' then false when name like '_x%' then false when name = '====' then true end as verdict,
-  case when name like 'x%' then 'document' when name like '_x%' then 'article' end as mismatch from {values([(n,) for n, *_ in TRUTH], 'name')}""")
+with {LINES} select o, k, case when 1 in (q % 3, p % 3) then false when q % 3 = 0 and p % 3 = 0 and s % 3 = 0 and k % 3 = 0 then true end as verdict,
+  case when q % 3 = 1 then 'document' when p % 3 = 1 then 'article' end as mismatch from k""")
 def structural_truth(spark, sf_dir):
-    rows = spark.createDataFrame([(n, *r) for n, *r in TRUTH], "name string, c_document_id string, c_article string, c_clause string, c_point string")
-    for k, v in zip(("document_id", "article", "clause", "point"), LEVELS, strict=True):
-        rows = rows.withColumn(f"g_{k}", F.lit(v))
+    """Every line as a declared place of which each level is right (0), wrong (1) or silent (2)."""
+    rows = order_lines(spark, sf_dir)
+    for k, gold, level in zip(("document_id", "article", "clause", "point"), LEVELS, ("q", "p", "s", "k"), strict=True):
+        rows = rows.withColumns({f"g_{k}": F.lit(gold), f"c_{k}": F.when(F.col(level) % 3 == 0, gold).when(F.col(level) % 3 == 1, "9")})
     place = evidence.structural(evidence.levels("c_"), evidence.levels("g_"))
-    return rows.select("name", place["verdict"].alias("verdict"), place["mismatch"].alias("mismatch"))
+    return rows.select("o", F.col("k").cast("long").alias("k"), place["verdict"].alias("verdict"), place["mismatch"].alias("mismatch"))
 
 
 def support_sql(k: int = 10) -> str:
@@ -467,41 +462,36 @@ def marker_hits(spark, sf_dir):
     return metrics.marker_metrics(markers.join(bm25_hits(spark, sf_dir, 1), "query_id").join(docs, "doc_id").withColumnRenamed("query_id", "question_id"))
 
 
-CLAIMS = [
-    ("q1", "answer", True), ("q1", "answer", None), ("q1", "gold", True), ("q1", "gold", False), ("q2", "answer", False), ("q2", "gold", None),
-    ("q3", "answer", True), ("q4", "gold", True),
-]
-
-
 @query("claim_metrics", f"""
-with c as (select q as question_id, sum((s is true)::int) filter (side = 'answer') / nullif(count(*) filter (side = 'answer'), 0)::double as claim_precision,
-  sum((s is true)::int) filter (side = 'gold') / nullif(count(*) filter (side = 'gold'), 0)::double as claim_recall from {values(CLAIMS, 'q, side, s')} group by q)
+with {LINES}, t as (select o as q, case when q % 2 = 0 then 'answer' else 'gold' end as side, case p % 3 when 0 then true when 1 then false end as s from k),
+c as (select q as question_id, sum((s is true)::int) filter (side = 'answer') / nullif(count(*) filter (side = 'answer'), 0)::double as claim_precision,
+  sum((s is true)::int) filter (side = 'gold') / nullif(count(*) filter (side = 'gold'), 0)::double as claim_recall from t group by q)
 select *, case when claim_precision + claim_recall = 0 then 0 else 2 * claim_precision * claim_recall / (claim_precision + claim_recall) end as claim_f1 from c""")
 def claim_metrics(spark, sf_dir):
-    return metrics.claim_metrics(spark.createDataFrame(CLAIMS, "question_id string, side string, supported boolean"))
-
-
-GROUNDS = [("q1", True, None, None), ("q1", None, True, None), ("q1", False, False, True), ("q1", None, False, None), ("q1", None, None, None), ("q2", None, None, None)]
+    """Lines as claims of an answer or of its gold; a third is supported, a third is not judged."""
+    rows = order_lines(spark, sf_dir)
+    return metrics.claim_metrics(rows.select(F.col("o").alias("question_id"), F.expr("if(q % 2 = 0, 'answer', 'gold')").alias("side"), F.expr("case p % 3 when 0 then true when 1 then false end").alias("supported")))
 
 
 @query("grounding_metrics", f"""
-with s as (select q as question_id, case when c then 'c' when g then 'g' when g = false and coalesce(x, false) then 'x' when g = false then 'u' else '?' end as s from {values(GROUNDS, 'q, c, g, x')})
+with {LINES}, t as (select o as q, case p % 3 when 0 then true when 1 then false end as c, case s % 3 when 0 then true when 1 then false end as g, case q % 3 when 0 then true when 1 then false end as x from k),
+s as (select q as question_id, case when c then 'c' when g then 'g' when g = false and coalesce(x, false) then 'x' when g = false then 'u' else '?' end as s from t)
 select question_id, avg((s = 'c')::int) as faithfulness, avg((s = 'x')::int) as hallucination, avg((s = 'g')::int) as retrieval_gap,
   sum((s in ('u', 'x'))::int) / nullif(sum((s in ('u', 'x', 'g'))::int), 0)::double as unsupported from s group by question_id""")
 def grounding_metrics(spark, sf_dir):
-    rows = spark.createDataFrame(GROUNDS, "question_id string, c boolean, g boolean, x boolean")
-    return metrics.grounding_metrics(rows.select("question_id", evidence.classify_claim(F.col("c"), F.col("g"), F.col("x")).alias("status")))
-
-
-CITED = [("q1", True, None), ("q1", False, None), ("q1", None, None), ("q2", None, True), ("q2", None, False), ("q1", None, None)]
+    """Lines as claims: supported by contexts, by gold, or contradicted; each true, false or not judged."""
+    truth = lambda c: F.expr(f"case {c} % 3 when 0 then true when 1 then false end")
+    return metrics.grounding_metrics(order_lines(spark, sf_dir).select(F.col("o").alias("question_id"), evidence.classify_claim(truth("p"), truth("s"), truth("q")).alias("status")))
 
 
 @query("citation_metrics", f"""
-with t as (select * from {values(CITED, 'q, correct, cited')}), p as (select q, avg(correct::int) as p from t where q = 'q1' group by q), r as (select q, avg(coalesce(cited, false)::int) as r from t where q = 'q2' group by q)
+with {LINES}, t as (select o as q, s % 2 = 0 as made, case q % 3 when 0 then true when 1 then false end as ok from k),
+p as (select q, avg(ok::int) as p from t where made group by q), r as (select q, avg(coalesce(ok, false)::int) as r from t where not made group by q)
 select coalesce(p.q, r.q) as question_id, p as citation_precision, r as citation_recall from p full join r on p.q = r.q""")
 def citation_metrics(spark, sf_dir):
-    rows = spark.createDataFrame(CITED, "question_id string, correct boolean, cited boolean")
-    return metrics.citation_metrics(rows.filter("question_id = 'q1'").select("question_id", "correct"), rows.filter("question_id = 'q2'").select("question_id", "cited"))
+    """Lines as citations made or as evidence that should be cited."""
+    rows = order_lines(spark, sf_dir).select(F.col("o").alias("question_id"), "s", F.expr("case q % 3 when 0 then true when 1 then false end").alias("ok"))
+    return metrics.citation_metrics(rows.filter("s % 2 = 0").select("question_id", F.col("ok").alias("correct")), rows.filter("s % 2 <> 0").select("question_id", F.col("ok").alias("cited")))
 
 
 @query("abstention", "select conv_id, turn, " + " or ".join(f"contains(n, '{c}')" for c in T.ABSTENTION_CUES).join(("case when ", " then true when n <> '' then false end")) + f" as abstains from (select conv_id, turn, {joined('text')} as n from conversations)")
@@ -552,14 +542,16 @@ def bootstrap_ci(spark, sf_dir):
     return metrics.bootstrap_intervals(rows)
 
 
-GATE_VALUES = [("hit_at_3", 0.9), ("mrr", 0.6), ("groundedness", 0.85), ("critical_contradictions", 0.0), ("rubric", 3.9)]
+GATED = ("hit_at_3", "mrr", "groundedness", "critical_contradictions", "rubric")
 
 
 @query("quality_gates", f"""
-with g as (select * from {values(list(metrics.GATES), 'gate, bound, more')}), v as (select * from {values(GATE_VALUES, 'gate, value')})
+with {LINES}, g as (select * from {values(list(metrics.GATES), 'gate, bound, more')}), v as (select {literal(GATED)}[q % 5 + 1] as gate, avg(p % 11) / 10 as value from k group by 1)
 select gate, bound::double as bound, coalesce(value, 0)::double as value, case when more then coalesce(value, 0) >= bound else coalesce(value, 0) <= bound end as passed from g left join v using (gate)""")
 def quality_gates(spark, sf_dir):
-    return metrics.quality_gates(spark.createDataFrame(GATE_VALUES, "gate string, value double"))
+    """Gates on means over all lines."""
+    gate = F.get(F.array(*map(F.lit, GATED)), (F.col("q") % 5).cast("int")).alias("gate")
+    return metrics.quality_gates(order_lines(spark, sf_dir).groupBy(gate).agg((F.avg(F.col("p") % 11) / 10).alias("value")))
 
 
 TURNS = r"""
@@ -718,19 +710,17 @@ def citations(spark, sf_dir):
 
 # ---------------------------------------------------------------- graph
 
-METAS = [
-    ("a.json", "A", "Luật mới", "116/2025/QH15", "Luật", ["24/2018/QH14"], ["A"], [], []), ("b.json", "B", "Luật cũ", "24/2018/QH14", "Luật", [], [], ["116/2025/QH15"], []),
-    ("c.json", "C", "Nghị định", "53/2022/NĐ-CP", "Nghị định", [], [], [], ["24/2018/QH14", "99/2020/QH14"]), ("d.json", "C", "khác", "0", "Luật", [], [], [], []), ("_t.json", "T", "", "", "", [], [], [], []),
-]
-META_SCHEMA = "file string, doc_id string, title string, doc_number string, doc_type string, supersedes array<string>, amends array<string>, superseded_by array<string>, implements array<string>"
-EDGES = [
-    ("luật 116 2025 qh15", "supersedes", "luật 24 2018 qh14"), ("luật 24 2018 qh14", "supersededBy", "luật 116 2025 qh15"),
-    ("nghị định 53 2022 nđ cp", "implementsDoc", "luật 24 2018 qh14"), ("nghị định 53 2022 nđ cp", "implementsDoc", "99 2020 qh14"),
-]
 
-
-def metadata(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    rows = spark.createDataFrame(METAS, META_SCHEMA)
+def metadata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of orders as laws: some replace the one before, some carry out an older law, some name themselves."""
+    number = "concat({0}, '/2020/QH14')"
+    listed = lambda test, item: F.expr(f"if({test}, array({item}), array())").cast("array<string>")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat("o_orderkey", F.lit(".json")).alias("file"), F.col("o_orderkey").cast("string").alias("doc_id"), F.concat(F.lit("Luật "), "o_orderkey").alias("title"),
+        F.expr(number.format("o_orderkey")).alias("doc_number"), F.lit("Luật").alias("doc_type"), listed("o_custkey % 3 = 0", number.format("o_orderkey - 1")).alias("supersedes"),
+        listed("o_custkey % 7 = 0", number.format("o_orderkey")).alias("amends"), listed("o_custkey % 5 = 0", number.format("o_orderkey + 1")).alias("superseded_by"),
+        listed("o_custkey % 4 = 0", "concat(o_custkey, '/1990/QH8')").alias("implements"),
+    )
     for c in ("amended_by", "implemented_by"):
         rows = rows.withColumn(c, F.array().cast("array<string>"))
     for c in ("issuing_body", "date_effective", "date_issued", "date_expired", "status", "source_url"):
@@ -738,34 +728,47 @@ def metadata(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return graph.metadata_graph(graph.first_metadata(rows))
 
 
-@query("metadata_edges", f"select src, label, dst from {values(EDGES, 'src, label, dst')}")
+LAWS = """
+d as (select distinct o_orderkey as o, o_custkey as c from orders),
+pair as (select o as a, o - 1 as b from d where c % 3 = 0 union select o + 1, o from d where c % 5 = 0),
+law as (select n, case when n in (select o from d) then 'luật ' else '' end || n || ' 2020 qh14' as id, case when n in (select o from d) then 'Luật ' else '' end || n || '/2020/QH14' as name
+  from (select a as n from pair union select b from pair union select o from d)),
+edge as (select x.id as src, unnest(['supersedes', 'supersededBy']) as label, y.id as dst from pair join law x on x.n = a join law y on y.n = b),
+edges as (select case when label = 'supersedes' then src else dst end as src, label, case when label = 'supersedes' then dst else src end as dst from edge
+  union select 'luật ' || o || ' 2020 qh14', 'implementsDoc', c || ' 1990 qh8' from d where c % 4 = 0),
+node as (select id, name from law union select c || ' 1990 qh8', c || '/1990/QH8' from d where c % 4 = 0)"""
+
+
+@query("metadata_edges", f"with {LAWS} select src, label, dst from edges")
 def metadata_edges(spark, sf_dir):
-    return metadata(spark)[1]
+    return metadata(spark, sf_dir)[1]
 
 
-@query("metadata_nodes", "select id, name from (values ('luật 116 2025 qh15', 'Luật 116/2025/QH15'), ('luật 24 2018 qh14', 'Luật 24/2018/QH14'), ('nghị định 53 2022 nđ cp', 'Nghị định 53/2022/NĐ-CP'), ('99 2020 qh14', '99/2020/QH14')) t(id, name)")
+@query("metadata_nodes", f"with {LAWS} select id, name from node")
 def metadata_nodes(spark, sf_dir):
-    return metadata(spark)[0].select("id", "name")
+    return metadata(spark, sf_dir)[0].select("id", "name")
 
 
-@query("graph_fingerprint", "select kind, label, n::bigint as n from (values ('node', 'LegalDocument', 4), ('edge', 'supersedes', 1), ('edge', 'supersededBy', 1), ('edge', 'implementsDoc', 2)) t(kind, label, n)")
+@query("graph_fingerprint", f"with {LAWS} select 'node' as kind, 'LegalDocument' as label, count(*) as n from node union all select 'edge', label, count(*) from edges group by label")
 def graph_fingerprint(spark, sf_dir):
-    return graph.fingerprint(*metadata(spark))
-
+    return graph.fingerprint(*metadata(spark, sf_dir))
 
-ENTITIES = [("c", "Điều 5", "Article"), ("c", "Phạt tiền", "Sanction"), ("c", "Cơ quan", "Authority"), ("c", "Cơ quan", "RegulatedEntity"), ("c", "Luật X", "LegalDocument")]
-TRIPLES = [
-    ("c", "Điều 5", "imposes", "Phạt tiền", "ACCEPTED"), ("c", "điều 5", "Quy định  chế tài", "phạt tiền", "ACCEPTED"), ("c", "Phạt tiền", "imposes", "Điều 5", "INVALID_ENDPOINT_TYPES"),
-    ("c", "Điều 5", "likes", "Phạt tiền", "UNKNOWN_PREDICATE"), ("c", "Điều 5", "imposes", "Ai đó", "UNRESOLVED_ENDPOINT"), ("c", "Phạt tiền", "enforcedBy", "Cơ quan", "AMBIGUOUS_BINDING"),
-    ("c", "Điều 5", "source", "Luật X", "UNKNOWN_PREDICATE"), ("c", "Điều 5", "belongsTo", "Luật X", "ACCEPTED"),
-]
 
-
-@query("relation_contract", f"select s as subject, p as predicate, o as object, status from {values(TRIPLES, 'c, s, p, o, status')}")
+@query("relation_contract", f"""with {LINES} select o, k, case q % 7 when 2 then 'INVALID_ENDPOINT_TYPES' when 3 then 'UNKNOWN_PREDICATE' when 4 then 'UNRESOLVED_ENDPOINT' when 5 then 'AMBIGUOUS_BINDING' else 'ACCEPTED' end as status from k""")
 def relation_contract(spark, sf_dir):
-    triples = spark.createDataFrame([r[:4] for r in TRIPLES], "chunk_id string, subject string, predicate string, object string")
-    out = graph.checked_triples(triples, spark.createDataFrame(ENTITIES, "chunk_id string, name string, label string"))
-    return out.select("subject", "predicate", "object", "status")
+    """Every line as a triple within its order; spellings differ, and some break a rule."""
+    lines = order_lines(spark, sf_dir).withColumn("chunk_id", F.col("o").cast("string"))
+    article, fine = "concat('Điều ', k)", "concat('Phạt tiền ', k)"
+    triples = lines.select(
+        "o", "k", "chunk_id", F.expr(f"case when q % 7 = 1 then lower({article}) when q % 7 in (2, 5) then {fine} else {article} end").alias("subject"),
+        F.expr("case q % 7 when 1 then 'Quy định  chế tài' when 3 then 'likes' when 5 then 'enforcedBy' when 6 then 'belongsTo' else 'imposes' end").alias("predicate"),
+        F.expr(f"case q % 7 when 2 then {article} when 4 then concat('Ai đó ', k) when 5 then 'Cơ quan' when 6 then 'Luật X' else {fine} end").alias("object"),
+    )
+    both = F.explode(F.array(F.struct(F.expr(article).alias("name"), F.lit("Article").alias("label")), F.struct(F.expr(fine).alias("name"), F.lit("Sanction").alias("label"))))
+    once = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(x).alias("label")) for n, x in (("Cơ quan", "Authority"), ("Cơ quan", "RegulatedEntity"), ("Luật X", "LegalDocument")))))
+    entities = lines.select("chunk_id", both.alias("e")).unionByName(lines.select("chunk_id").distinct().select("chunk_id", once.alias("e"))).select("chunk_id", "e.name", "e.label")
+    checked = graph.checked_triples(triples.select("chunk_id", "subject", "predicate", "object"), entities).select("chunk_id", "subject", "predicate", "object", "status")
+    return triples.join(checked.distinct(), ["chunk_id", "subject", "predicate", "object"]).select("o", F.col("k").cast("long").alias("k"), "status")
 
 
 @query("same_unit_ambiguity", f"with {LINES} select o, k, q % 3 > 0 and count(*) over (partition by o, q % 3, p % 3) > 1 as ambiguous from k")
@@ -775,35 +778,32 @@ def same_unit_ambiguity(spark, sf_dir):
     return graph.downgraded(rows).select("o", F.col("k").cast("long").alias("k"), "ambiguous")
 
 
-BODIES = [
-    ("Bộ Công an", "authority:bộ công an", "body"), ("Bộ trưởng Bộ Công an", None, "title of a person"), ("Chủ tịch nước", None, "title of a person"),
-    ("Cục A thuộc Bộ Công an", None, "part of another body"), ("Ủy ban nhân dân", None, "general name"), ("Bộ", None, "general name"),
-    ("Thanh tra Bộ Công an", None, "no kind of body"), ("  --- ", None, "no name"), ("Chính phủ", "authority:chính phủ", "body"),
-]
-
-
-@query("authority_identities", f"select name, id, reason from {values(BODIES, 'name, id, reason')}")
+@query("authority_identities", f"""
+with {LINES} select o, k, case when q % 6 = 0 then 'authority:bộ công an ' || p when q % 6 = 5 then 'authority:chính phủ' end as id,
+  case q % 6 when 1 then 'title of a person' when 2 then 'part of another body' when 3 then 'general name' when 4 then 'no kind of body' else 'body' end as reason from k""")
 def authority_identities(spark, sf_dir):
-    rows = spark.createDataFrame([r[:1] for r in BODIES], "name string").withColumn("own", graph.authority_identity(F.col("name")))
-    return rows.select("name", "own.id", "own.reason")
-
-
-TITLES = [("13/2023", "1", "Phạm vi điều chỉnh"), ("13/2023", "2", "Đối tượng  áp dụng"), ("13/2023", "3", "Xử phạt"), ("13/2023", "4", "Phạm vi áp dụng"), ("13/2023", "4", "Khác")]
-PLACED = [
-    ("Sanction", "a", "13/2023", "3", "1", None, "phạt tiền", "1", None, "occurrence"), ("Sanction", "b", "13/2023", "3", "1", None, "phạt tiền", "2", "a", "clause differs, point differs"),
-    ("LegalTerm", "c", "13/2023", "3", None, "đ", "dữ liệu", None, None, "occurrence"), ("Obligation", "d", "13/2023", "3", None, None, None, None, None, "no single occurrence"),
-    ("RegulatedEntity", "e", "13/2023", "2", "1", None, "tổ chức", None, None, "occurrence"), ("RegulatedEntity", "f", "13/2023", "4", "1", None, "tổ chức", None, None, "no article of scope"),
-    ("Article", "g", "13/2023", "4", "1", None, "tổ chức", None, None, "category has no ids here"),
-]
-PLACE = "category, name, document, article_no, clause_no, point_no, unit, hint_clause, hint_point"
+    """Names of bodies, persons and parts of bodies, one a line."""
+    name = "case q % 6 when 0 then concat('Bộ  Công an ', p) when 1 then 'Bộ trưởng Bộ Công an' when 2 then concat('Cục ', p, ' thuộc Bộ Công an') when 3 then 'Ủy ban nhân dân' when 4 then 'Thanh tra Bộ Công an' else 'Chính phủ' end"
+    rows = order_lines(spark, sf_dir).withColumn("own", graph.authority_identity(F.expr(name)))
+    return rows.select("o", F.col("k").cast("long").alias("k"), "own.id", "own.reason")
 
 
 @query("semantic_identities", f"""
-select name, reason, case when reason = 'occurrence' or contains(reason, 'differs') then concat_ws(':', lower(category), document, article_no, 'k' || clause_no, 'p' || point_no,
-  substr(sha256(concat_ws(chr(31), category, document, article_no, 'k' || clause_no, 'p' || point_no, unit)), 1, 16)) end as id from {values(PLACED, PLACE + ', reason')}""")
+with {LINES}, r as (select o, k, case q % 4 when 0 then 'Sanction' when 1 then 'LegalTerm' when 2 then 'Obligation' else 'Article' end as category, o::varchar as document, '3' as article_no,
+  case when q % 4 in (0, 3) then k::varchar end as clause_no, case when q % 4 = 1 then 'đ' end as point_no, 'phạt ' || p as unit,
+  case q % 4 when 2 then 'no single occurrence' when 3 then 'category has no ids here' when 0 then case when s % 2 = 0 then 'occurrence' else 'clause differs' end else 'occurrence' end as reason from k)
+select o, k, reason, case when q_ then concat_ws(':', lower(category), document, article_no, 'k' || clause_no, 'p' || point_no,
+  substr(sha256(concat_ws(chr(31), category, document, article_no, 'k' || clause_no, 'p' || point_no, unit)), 1, 16)) end as id from (select *, category in ('Sanction', 'LegalTerm') as q_ from r)""")
 def semantic_identities(spark, sf_dir):
-    rows = spark.createDataFrame([r[:-1] for r in PLACED], ", ".join(f"{c} string" for c in PLACE.split(", ")))
-    return graph.semantic_identities(rows, spark.createDataFrame(TITLES, "document string, article_no string, title string")).select("name", "id", "reason")
+    """Entities of every line at their place in the order; hints may contradict the place."""
+    rows = order_lines(spark, sf_dir).select(
+        F.expr("case q % 4 when 0 then 'Sanction' when 1 then 'LegalTerm' when 2 then 'Obligation' else 'Article' end").alias("category"), F.concat_ws("/", "o", "k").alias("name"),
+        F.col("o").cast("string").alias("document"), F.lit("3").alias("article_no"), F.expr("if(q % 4 in (0, 3), string(k), null)").alias("clause_no"), F.expr("if(q % 4 = 1, 'đ', null)").alias("point_no"),
+        F.expr("concat('phạt ', p)").alias("unit"), F.expr("if(q % 4 = 0, string(k + s % 2), null)").alias("hint_clause"), F.lit(None).cast("string").alias("hint_point"),
+    )
+    titles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("document"), F.lit("3").alias("article_no"), F.lit("Xử phạt").alias("title")).distinct()
+    own = graph.semantic_identities(rows, titles)
+    return own.select(F.split("name", "/")[0].cast("long").alias("o"), F.split("name", "/")[1].cast("long").alias("k"), "reason", "id")
 
 
 @query("dictionary_entities", "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")

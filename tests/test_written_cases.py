@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import graph, splitters
+from docstrata.operators import evidence, graph, metrics, splitters
+from docstrata.plans import retrieval
 from docstrata.streaming import runs
 
 LAW = """# Nghị định 13/2023/NĐ-CP
@@ -66,6 +67,45 @@ HEADS = [
 ]
 IDENTITIES = [("c", "Sanction", "a", "t1"), ("c", "Sanction", "b", "t1"), ("c", "Sanction", "d", "t2"), ("c", "Authority", "x", "t3"), ("c", "Authority", "y", "t3")]
 CALLS = [("k", i, i != 11) for i in range(24)]
+PAIRS = [
+    ("100.000.000 đồng", "100 000 000 đồng", True), ("30,5%", "305%", False), ("Điều **13**", "Điều 13", True), ("Điều 31", "Điều 13", False),
+    ("1.000.000", "1000000", True), ("2026.01", "202601", False), ("không được", "được", False), ("1,234,567 và 12", "1234567 và 12", True),
+    ("Luật", "Luật", True), ("12.3456", "123456", False), ("1.000.00", "1000.00", True), ("a  b\tc", "A B C", True),
+]
+CLAIMS = [
+    ("q1", "answer", True), ("q1", "answer", None), ("q1", "gold", True), ("q1", "gold", False), ("q2", "answer", False), ("q2", "gold", None),
+    ("q3", "answer", True), ("q4", "gold", True),
+]
+GROUNDS = [("q1", True, None, None), ("q1", None, True, None), ("q1", False, False, True), ("q1", None, False, None), ("q1", None, None, None), ("q2", None, None, None)]
+CITED = [("q1", True, None), ("q1", False, None), ("q1", None, None), ("q2", None, True), ("q2", None, False), ("q1", None, None)]
+METAS = [
+    ("a.json", "A", "Luật mới", "116/2025/QH15", "Luật", ["24/2018/QH14"], ["A"], [], []), ("b.json", "B", "Luật cũ", "24/2018/QH14", "Luật", [], [], ["116/2025/QH15"], []),
+    ("c.json", "C", "Nghị định", "53/2022/NĐ-CP", "Nghị định", [], [], [], ["24/2018/QH14", "99/2020/QH14"]), ("d.json", "C", "khác", "0", "Luật", [], [], [], []), ("_t.json", "T", "", "", "", [], [], [], []),
+]
+META_SCHEMA = "file string, doc_id string, title string, doc_number string, doc_type string, supersedes array<string>, amends array<string>, superseded_by array<string>, implements array<string>"
+EDGES = [
+    ("luật 116 2025 qh15", "supersedes", "luật 24 2018 qh14"), ("luật 24 2018 qh14", "supersededBy", "luật 116 2025 qh15"),
+    ("nghị định 53 2022 nđ cp", "implementsDoc", "luật 24 2018 qh14"), ("nghị định 53 2022 nđ cp", "implementsDoc", "99 2020 qh14"),
+]
+ENTITIES = [("c", "Điều 5", "Article"), ("c", "Phạt tiền", "Sanction"), ("c", "Cơ quan", "Authority"), ("c", "Cơ quan", "RegulatedEntity"), ("c", "Luật X", "LegalDocument")]
+TRIPLES = [
+    ("c", "Điều 5", "imposes", "Phạt tiền", "ACCEPTED"), ("c", "điều 5", "Quy định  chế tài", "phạt tiền", "ACCEPTED"), ("c", "Phạt tiền", "imposes", "Điều 5", "INVALID_ENDPOINT_TYPES"),
+    ("c", "Điều 5", "likes", "Phạt tiền", "UNKNOWN_PREDICATE"), ("c", "Điều 5", "imposes", "Ai đó", "UNRESOLVED_ENDPOINT"), ("c", "Phạt tiền", "enforcedBy", "Cơ quan", "AMBIGUOUS_BINDING"),
+    ("c", "Điều 5", "source", "Luật X", "UNKNOWN_PREDICATE"), ("c", "Điều 5", "belongsTo", "Luật X", "ACCEPTED"),
+]
+BODIES = [
+    ("Bộ Công an", "authority:bộ công an", "body"), ("Bộ trưởng Bộ Công an", None, "title of a person"), ("Chủ tịch nước", None, "title of a person"),
+    ("Cục A thuộc Bộ Công an", None, "part of another body"), ("Ủy ban nhân dân", None, "general name"), ("Bộ", None, "general name"),
+    ("Thanh tra Bộ Công an", None, "no kind of body"), ("  --- ", None, "no name"), ("Chính phủ", "authority:chính phủ", "body"),
+]
+TITLES = [("13/2023", "1", "Phạm vi điều chỉnh"), ("13/2023", "2", "Đối tượng  áp dụng"), ("13/2023", "3", "Xử phạt"), ("13/2023", "4", "Phạm vi áp dụng"), ("13/2023", "4", "Khác")]
+PLACED = [
+    ("Sanction", "a", "13/2023", "3", "1", None, "phạt tiền", "1", None, "occurrence"), ("Sanction", "b", "13/2023", "3", "1", None, "phạt tiền", "2", "a", "clause differs, point differs"),
+    ("LegalTerm", "c", "13/2023", "3", None, "đ", "dữ liệu", None, None, "occurrence"), ("Obligation", "d", "13/2023", "3", None, None, None, None, None, "no single occurrence"),
+    ("RegulatedEntity", "e", "13/2023", "2", "1", None, "tổ chức", None, None, "occurrence"), ("RegulatedEntity", "f", "13/2023", "4", "1", None, "tổ chức", None, None, "no article of scope"),
+    ("Article", "g", "13/2023", "4", "1", None, "tổ chức", None, None, "category has no ids here"),
+]
+PLACE = "category, name, document, article_no, clause_no, point_no, unit, hint_clause, hint_point"
 
 
 def frame(spark, rows, schema):
@@ -154,3 +194,46 @@ def test_shared_targets(spark):
 def test_breaker(spark):
     calls = frame(spark, CALLS, "key string, seq int, failed boolean")
     assert got(runs.breaker(calls, F.col("failed"), ("seq",)).select("key", "call")) == [("k", 24)]
+
+
+def test_pairs_and_abbreviations(spark):
+    pairs = frame(spark, PAIRS, "a string, b string, expected boolean")
+    assert got(pairs.select("a", "b", T.normalize_for_match("a") == T.normalize_for_match("b"))) == want(PAIRS)
+    texts = retrieval.expand_abbreviations(frame(spark, [(1, "theo NĐ 13"), (2, "ANDX")], "id int, text string"), {"NĐ": "nghị định", "AND": "an ninh"})
+    assert got(texts.select("id", "text")) == [(1, "theo nghị định 13"), (2, "ANDX")]
+
+
+def test_question_metrics(spark):
+    claims = metrics.claim_metrics(frame(spark, CLAIMS, "question_id string, side string, supported boolean"))
+    assert got(claims.select("question_id", "claim_precision", "claim_recall", "claim_f1")) == want([("q1", 0.5, 0.5, 0.5), ("q2", 0.0, 0.0, 0.0), ("q3", 1.0, None, None), ("q4", None, 1.0, None)])
+    rows = frame(spark, GROUNDS, "question_id string, c boolean, g boolean, x boolean")
+    grounds = metrics.grounding_metrics(rows.select("question_id", evidence.classify_claim(F.col("c"), F.col("g"), F.col("x")).alias("status")))
+    assert got(grounds.select("question_id", "faithfulness", "hallucination", "retrieval_gap", F.round("unsupported", 6))) == want([("q1", 0.2, 0.2, 0.2, 0.666667), ("q2", 0.0, 0.0, 0.0, None)])
+    cited = frame(spark, CITED, "question_id string, correct boolean, cited boolean")
+    both = metrics.citation_metrics(cited.filter("question_id = 'q1'").select("question_id", "correct"), cited.filter("question_id = 'q2'").select("question_id", "cited"))
+    assert got(both.select("question_id", "citation_precision", "citation_recall")) == want([("q1", 0.5, None), ("q2", None, 0.5)])
+
+
+def test_metadata_graph(spark):
+    rows = frame(spark, METAS, META_SCHEMA)
+    for c in ("amended_by", "implemented_by"):
+        rows = rows.withColumn(c, F.array().cast("array<string>"))
+    for c in ("issuing_body", "date_effective", "date_issued", "date_expired", "status", "source_url"):
+        rows = rows.withColumn(c, F.lit(None).cast("string"))
+    nodes, edges = graph.metadata_graph(graph.first_metadata(rows))
+    assert got(edges.select("src", "label", "dst")) == want(EDGES)
+    assert {r.id for r in nodes.collect()} == {"luật 116 2025 qh15", "luật 24 2018 qh14", "nghị định 53 2022 nđ cp", "99 2020 qh14"}
+
+
+def test_relation_contract(spark):
+    triples = frame(spark, [r[:4] for r in TRIPLES], "chunk_id string, subject string, predicate string, object string")
+    out = graph.checked_triples(triples, frame(spark, ENTITIES, "chunk_id string, name string, label string"))
+    assert got(out.select("chunk_id", "subject", "predicate", "object", "status")) == want(TRIPLES)
+
+
+def test_identities_of_bodies_and_occurrences(spark):
+    bodies = frame(spark, [r[:1] for r in BODIES], "name string").withColumn("own", graph.authority_identity(F.col("name")))
+    assert got(bodies.select("name", "own.id", "own.reason")) == want(BODIES)
+    rows = frame(spark, [r[:-1] for r in PLACED], ", ".join(f"{c} string" for c in PLACE.split(", ")))
+    own = graph.semantic_identities(rows, frame(spark, TITLES, "document string, article_no string, title string"))
+    assert got(own.select("name", "reason")) == want((r[1], r[-1]) for r in PLACED)

@@ -799,7 +799,7 @@ def semantic_identities(spark, sf_dir):
     rows = order_lines(spark, sf_dir).select(
         F.expr("case q % 4 when 0 then 'Sanction' when 1 then 'LegalTerm' when 2 then 'Obligation' else 'Article' end").alias("category"), F.concat_ws("/", "o", "k").alias("name"),
         F.col("o").cast("string").alias("document"), F.lit("3").alias("article_no"), F.expr("if(q % 4 in (0, 3), string(k), null)").alias("clause_no"), F.expr("if(q % 4 = 1, 'đ', null)").alias("point_no"),
-        F.expr("concat('phạt ', p)").alias("unit"), F.expr("if(q % 4 = 0, string(k + s % 2), null)").alias("hint_clause"), F.lit(None).cast("string").alias("hint_point"),
+        F.expr("if(q % 4 = 2, null, concat('phạt ', p))").alias("unit"), F.expr("if(q % 4 = 0, string(k + s % 2), null)").alias("hint_clause"), F.lit(None).cast("string").alias("hint_point"),
     )
     titles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("document"), F.lit("3").alias("article_no"), F.lit("Xử phạt").alias("title")).distinct()
     own = graph.semantic_identities(rows, titles)

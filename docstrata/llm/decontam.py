@@ -7,8 +7,10 @@ compared token by token on the hit's diagonal, and any long enough window with f
 decides.
 
 The benchmark is read in chunks of a bounded number of tokens.  Each chunk is a broadcast table; a
-larger benchmark makes several passes over the corpus, so no table grows with it.  Only the documents
-with an overlap leave a pass; they are gathered by doc_id and digest of the text.
+larger benchmark makes several passes over the corpus.  No single table grows with the benchmark,
+but the passes do, and so does their sum, since the broadcasts of all chunks live until the job
+ends.  Only the documents with an overlap leave a pass; they are gathered by doc_id and digest of
+the text.
 """
 
 from __future__ import annotations

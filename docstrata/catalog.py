@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import replies
 from .functions import text as T
-from .operators import bm25, evaluation, evidence, graph, metrics, ranking, segments, splitters
+from .operators import assembly, bm25, evaluation, evidence, graph, lists, metrics, push, ranking, segments, splitters
 from .plans import retrieval
 from .shared import work_dir
 from .sources import corpus
@@ -674,6 +674,35 @@ def heading_tree(spark, sf_dir):
     return splitters.heading_tree(docs).select("name", "type", "level")
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines as items of lists: a line's length tells its level, whether it has a number, and which; blank lines stay."""
+    item = lambda x: F.concat(F.repeat(F.lit("    "), F.pmod(F.length(x), F.lit(4))), F.when(F.length(x) % 3 == 0, "- ").otherwise(F.concat((F.length(x) % 7).cast("string"), F.lit(". "))), F.lit("x"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) == 0, "").otherwise(item(x)))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.array_join(lines, "\n").alias("text"))
+
+
+# The nearest item before on each of three levels; the parent is the nearest of those that are less deep.
+LISTED = """l as (select doc_id as source, unnest(range(len(a)))::int as line_no, unnest(list_transform(a, lambda x: length(x))) as n from (select doc_id, string_split(text, chr(10)) as a from documents)),
+i as (select *, n % 4 as level, case when n % 3 > 0 then (n % 7)::bigint end as number from l where n > 0),
+w as (select *, last_value(case when level = 0 then line_no end ignore nulls) over b as l0, last_value(case when level <= 1 then line_no end ignore nulls) over b as l1,
+ last_value(case when level <= 2 then line_no end ignore nulls) over b as l2 from i window b as (partition by source order by line_no rows between unbounded preceding and 1 preceding)),
+t as (select source, line_no, case level when 1 then l0 when 2 then l1 when 3 then l2 end as parent, number, number is not null as ordered from w)"""
+
+
+@query("list_items", f"""with recursive {LISTED}, r as (select source, line_no, 0 as depth from t where parent is null union all select t.source, t.line_no, r.depth + 1 from r join t on t.source = r.source and t.parent = r.line_no)
+select source, line_no, parent, depth, ordered, number from t join r using (source, line_no)""")
+def list_items(spark, sf_dir):
+    """Every line of every document at its place in a tree of lists."""
+    return lists.list_items(listed(spark, sf_dir)).drop("text")
+
+
+@query("list_ordinals", f"""with {LISTED}, o as (select *, lag(number) over (partition by source, parent order by line_no) as last from t where ordered)
+select source, line_no, number, last + 1 as expected, case when number = last then 'repeated' when number < last then 'back' else 'gap' end as fault from o where number <> last + 1""")
+def list_ordinals(spark, sf_dir):
+    """Numbers of the source that don't go on from the one before."""
+    return lists.ordinal_faults(lists.list_items(listed(spark, sf_dir)))
+
+
 @query("article_headings", f"with {LINES} select o, ((k + 1) // 2)::int as article_no, 'Điều ' || (k + 1) // 2 || '. Phần ' || p as title from k where k % 2 = 1")
 def article_headings(spark, sf_dir):
     """Every number comes twice, and once before that within a form; only the first one outside counts."""
@@ -778,6 +807,72 @@ def same_unit_ambiguity(spark, sf_dir):
     return graph.downgraded(rows).select("o", F.col("k").cast("long").alias("k"), "ambiguous")
 
 
+def extracts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, entities and triples of orders: an order is a chunk, its lines are what a model says of it.
+
+    Fines have one of three names and of five places in the source, or none, so that names conflict and
+    places are shared; things have no ids of their own.
+    """
+    lines = order_lines(spark, sf_dir).withColumn("chunk_id", F.col("o").cast("string"))
+    chunks = table(spark, sf_dir, "orders").select("o_orderkey").distinct().selectExpr(
+        "string(o_orderkey) as chunk_id", "concat(o_orderkey, '.md') as source_path", "string(o_orderkey) as document_id", "if(o_orderkey % 3 = 0, null, concat('Văn bản ', o_orderkey)) as document_name",
+        "if(o_orderkey % 5 = 0, null, concat('article:', o_orderkey, ':1')) as article_id", "1 as article_no", "'Điều 1' as heading",
+    )
+    fine, target = F.expr("concat('Phạt ', p % 3)"), F.expr("if(q % 4 = 0, null, concat('sanction:', s % 5))")
+    own = [
+        F.struct(F.expr("concat('Điều ', k)").alias("name"), F.lit("Article").alias("category"), F.expr("if(k = 1 and o % 5 > 0, concat('article:', o, ':1'), null)").alias("target")),
+        F.struct(fine.alias("name"), F.lit("Sanction").alias("category"), target.alias("target")),
+        F.struct(F.expr("if(q % 7 = 0, ' ', concat('Vật ', s % 4))").alias("name"), F.expr("if(q % 2 = 0, 'Thing', null)").alias("category"), F.lit(None).cast("string").alias("target")),
+    ]
+    told = lines.select("chunk_id", F.col("k").alias("position"), F.explode(F.array(*own)).alias("e")).select("chunk_id", "position", "e.*")
+    laws = lines.filter("q % 5 = 1").selectExpr("chunk_id", "k as position", "concat('Luật ', p % 2) as name", "'LegalDocument' as category", "string(null) as target")
+    labels = spark.createDataFrame([(x,) for x in ("Article", "Sanction", "LegalDocument")], "label string")
+    entities = assembly.cleaned_entities(told, laws, labels)
+    triples = lines.select(
+        "chunk_id", F.expr("if(q % 7 = 4, null, concat('Điều ', k))").alias("subject"),
+        F.expr("case q % 7 when 1 then 'likes' when 3 then 'Thuộc  văn bản' when 5 then 'enforcedBy' else 'Quy định chế tài' end").alias("predicate"),
+        F.expr("case q % 7 when 3 then concat('Luật ', p % 2) when 6 then 'Ai đó' else concat('PHẠT ', p % 3) end").alias("object"),
+    )
+    return chunks, entities, triples
+
+
+# Entities as (o, category, key, id, reason) from the numbers of the lines.
+EXTRACTS = f"""{LINES}, f as (select o, 'phạt ' || p % 3 as key, case when q % 4 > 0 then 'sanction:' || s % 5 end as target, k from k),
+ g as (select o, key, min(target) as least, count(distinct target) as kinds, count(target) as given, count(*) as n, arg_min(coalesce(target, ''), k) as first from f group by all),
+ h as (select *, count(*) over (partition by o, first) as sharing from g),
+ fines as (select o, 'Sanction' as category, key, case when given = 0 then 'no target' when kinds > 1 or given < n then 'conflict' when sharing > 1 then 'shared' else 'target' end as reason, least from h),
+ e as (select o, category, key, case when reason = 'target' then least else 'sanction-unresolved:' || substr(sha256(o || chr(31) || key), 1, 16) end as id, reason from fines union all
+  select o, 'Article', 'điều ' || k, case when k = 1 and o % 5 > 0 then 'article:' || o || ':1' else 'article-unresolved:' || substr(sha256(o || chr(31) || 'điều ' || k), 1, 16) end, case when k = 1 and o % 5 > 0 then 'target' else 'no target' end from k union all
+  select distinct o, 'Others', 'vật ' || s % 4, 'vật ' || s % 4, 'name' from k where q % 7 > 0 union all
+  select distinct o, 'LegalDocument', 'luật ' || p % 2, 'luật ' || p % 2, 'name' from k where q % 5 = 1),
+ t as (select k.*, case q % 7 when 1 then 'UNKNOWN_PREDICATE' when 4 then 'MALFORMED' when 5 then 'INVALID_ENDPOINT_TYPES' when 6 then 'UNRESOLVED_ENDPOINT' when 3 then case when l.key is null then 'UNRESOLVED_ENDPOINT' else 'ACCEPTED' end else 'ACCEPTED' end as status,
+  a.id as s_id, case when q % 7 = 3 then l.id else b.id end as o_id
+  from k join e a on a.o = k.o and a.key = 'điều ' || k.k join e b on b.o = k.o and b.key = 'phạt ' || p % 3 left join e l on l.o = k.o and l.key = 'luật ' || p % 2),
+ c as (select o_orderkey as o, case when o_orderkey % 5 > 0 then 'article:' || o_orderkey || ':1' end as a, case when o_orderkey % 3 > 0 then 'văn bản ' || o_orderkey end as d from (select distinct o_orderkey from orders)),
+ held as (select * from c where a is not null and d is not null and not exists (select 1 from t where t.o = c.o and t.s_id = c.a and t.q % 7 = 3 and t.status = 'ACCEPTED'))"""
+
+
+@query("extracted_identities", f"with {EXTRACTS} select o::varchar as chunk_id, category, key, id, reason from e")
+def extracted_identities(spark, sf_dir):
+    """The one id of every name that a chunk's extraction has, and why it is that one."""
+    return assembly.identities(extracts(spark, sf_dir)[1]).select("chunk_id", "category", "key", "id", "reason")
+
+
+@query("assembled_graph", f"""with {EXTRACTS}
+select 'node' as outcome, o::varchar as chunk_id, id as src, category as src_label, null as relation, null as dst, null as dst_label, null as status from e union all
+select 'edge', o::varchar, id, category, 'source', o::varchar, 'Chunk', 'SYSTEM' from (select distinct o, id, category from e) union all
+select 'node', o::varchar, o::varchar, 'Chunk', null, null, null, null from c union all
+select 'node', o::varchar, a, 'Article', null, null, null, null from c where a is not null union all
+select 'node', o::varchar, d, 'LegalDocument', null, null, null, null from held union all
+select 'edge', o::varchar, a, 'Article', 'belongsTo', d, 'LegalDocument', 'STRUCTURAL' from held union all
+select case status when 'ACCEPTED' then 'edge' else 'reject' end, o::varchar, case status when 'ACCEPTED' then s_id end, case when q % 7 <> 4 then 'Article' end,
+ case q % 7 when 1 then null when 3 then 'belongsTo' when 5 then 'enforcedBy' else 'imposes' end, case status when 'ACCEPTED' then o_id end,
+ case when q % 7 = 3 then case when status = 'ACCEPTED' then 'LegalDocument' end when q % 7 <> 6 then 'Sanction' end, status from t""")
+def assembled_graph(spark, sf_dir):
+    """Nodes, edges and rejects of every order, with the same ids on nodes and on both ends of edges."""
+    return assembly.assembled(*extracts(spark, sf_dir)).drop("properties")
+
+
 @query("authority_identities", f"""
 with {LINES} select o, k, case when q % 6 = 0 then 'authority:bộ công an ' || p when q % 6 = 5 then 'authority:chính phủ' end as id,
   case q % 6 when 1 then 'title of a person' when 2 then 'part of another body' when 3 then 'general name' when 4 then 'no kind of body' else 'body' end as reason from k""")
@@ -855,6 +950,64 @@ def pagerank(spark, sf_dir):
     return graph.personalized_pagerank(edges, builders(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
 
 
+TRADE = """e as (select 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem union all select 'p' || l_partkey, 'o' || l_orderkey from lineitem),
+d as (select src, count(*) as k from e group by src)"""
+PUSH = 1e-3
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their parts as edges both ways."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("concat('o', l_orderkey) as a", "concat('p', l_partkey) as b")
+    return lines.selectExpr("a as src", "b as dst").union(lines.selectExpr("b", "a"))
+
+
+def trade_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order whose id is divisible by 50 is a question that names the order itself."""
+    return table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").selectExpr("o_orderkey as question", "concat('o', o_orderkey) as id").distinct()
+
+
+# One row of rounds after another until no residual is over its threshold; orders without lines send theirs back to themselves.
+PUSHED = f"""{TRADE}, n as (select distinct o_orderkey as question, 'o' || o_orderkey as id from orders where o_orderkey % 50 = 0),
+st as (select 0 as t, question, id, coalesce(k, 0) as deg, 0.0::double as p, 1.0::double as r from n left join d on src = id union all
+ select t + 1, question, id, deg, sum(p), sum(r) from (
+  select t, question, id, deg, p + case when r > {PUSH} * greatest(deg, 1) then 0.15 * r else 0 end as p, case when r > {PUSH} * greatest(deg, 1) then case when deg = 0 then 0.85 * r else 0 end else r end as r from st union all
+  select t, question, e.dst, d.k, 0, 0.85 * r / deg from st join e on e.src = st.id join d on d.src = e.dst where r > {PUSH} * deg)
+ where exists (select 1 from st where r > {PUSH} * greatest(deg, 1)) group by all),
+pushed as (select question, id, p as score, r as residual from st where t = (select max(t) from st))"""
+
+
+@query("graph_push", f"with recursive {PUSHED} select question, id, round(score, 9) as score, round(residual, 9) as residual from pushed")
+def graph_push(spark, sf_dir):
+    """Scores of all nodes near each question, with what is left of it."""
+    pushed = push.forward_push(trade(spark, sf_dir), trade_questions(spark, sf_dir), PUSH)
+    return pushed.select("question", "id", F.round("score", 9).alias("score"), F.round("residual", 9).alias("residual"))
+
+
+@query("graph_push_bounds", f"with recursive {PUSHED} select question, round(sum(residual), 9) as bound, round(sum(score), 9) as found from pushed group by question")
+def graph_push_bounds(spark, sf_dir):
+    """By how much a question's scores may be too low; what is found and what is left make one."""
+    pushed = push.forward_push(trade(spark, sf_dir), trade_questions(spark, sf_dir), PUSH)
+    return pushed.groupBy("question").agg(F.round(F.sum("residual"), 9).alias("bound"), F.round(F.sum("score"), 9).alias("found"))
+
+
+@query("graph_merged", f"""with recursive {PUSHED},
+x as (select question, e.dst as id, 1.0::double as s from n join e on e.src = n.id group by all),
+f as (select question, id, round(score, 9) as s from pushed where id[1] = 'p' and round(score, 9) > 0),
+v as (select n.question, 'p' || b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as s from n join embeddings a on a.vec_id = n.question join embeddings b on true),
+c as (select *, row_number() over (partition by o, question order by s desc, id) as r from (select 0 as o, * from x union all select 1, * from f union all select 2, question, id, s from v where s >= 0.65) qualify r <= 20),
+m as (select question, id, round(sum(1.0::double / (60 + r)), 12) as score, min(o) as first, min([o, r]) as seen from c group by question, id)
+select question, id, score, row_number() over (partition by question order by score desc, seen, id) as rank, case first when 0 then 'exact' when 1 then 'push' else 'vector' end as first from m qualify rank <= 20""")
+def graph_merged(spark, sf_dir):
+    """Parts for each question: its own, those near it in the graph, and those whose vectors are near its own."""
+    edges, asked = trade(spark, sf_dir), trade_questions(spark, sf_dir)
+    exact = graph.one_hop(asked, edges.withColumn("label", F.lit("part"))).join(asked, F.col("src") == asked["id"]).select("question", F.col("dst").alias("id"), F.lit(1.0).alias("score"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    own = vectors.join(asked, F.col("doc_id") == F.col("question")).select(F.col("question").alias("query_id"), F.col("v").alias("q"))
+    near = ranking.dense_search(vectors, own, 20).select(F.col("query_id").alias("question"), F.concat(F.lit("p"), F.col("doc_id")).alias("id"), "score")
+    pushed = push.forward_push(edges, asked, PUSH).withColumn("score", F.round("score", 9))
+    return push.merged(exact, pushed, near, wanted=F.startswith("id", F.lit("p")))
+
+
 @query("entity_link", """
 with n as (select vec_id as q, embedding::double[] as v from embeddings), s as (select q, vec_id, round(list_cosine_similarity(v, embedding::double[]), 9) as s from n, embeddings where label <> 3)
 select q as query_id, vec_id as doc_id from s where s >= 0.4 qualify row_number() over (partition by q order by s desc, vec_id) = 1""")

@@ -952,7 +952,7 @@ def pagerank(spark, sf_dir):
 
 TRADE = """e as (select 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem union all select 'p' || l_partkey, 'o' || l_orderkey from lineitem),
 d as (select src, count(*) as k from e group by src)"""
-PUSH = 1e-3
+PUSH = 4e-3
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:

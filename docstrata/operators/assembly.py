@@ -49,7 +49,8 @@ def identities(entities: DataFrame) -> DataFrame:
     Names whose key is empty have no id and go.  The order of rows doesn't matter but through ``position``.
     """
     managed = F.col("category").isin(*ID_PREFIXES)
-    keyed = entities.withColumn("key", T.canonical_id("name")).filter("key <> ''")
+    # Only a name without letters and digits has an empty key; the key itself in a filter would be computed twice.
+    keyed = entities.filter(T.slug("name") != "").withColumn("key", T.canonical_id("name"))
     one = keyed.groupBy("chunk_id", "category", "key").agg(
         F.min(F.struct("position", "name", "target")).alias("first"), F.min("target").alias("least"), F.max("target").alias("most"), F.count("target").alias("given"), F.count("*").alias("n"),
     )

@@ -39,7 +39,8 @@ def forward_push(edges: DataFrame, seeds: DataFrame, threshold: float = 1e-3, da
     seeds count once.  A question pushes at most ``1 / ((1 - damping) * threshold)`` edges, however
     large the graph is.  A node that is hot in many questions is one key of the join; its side of the
     links has under ``1 / threshold`` rows, and adaptive execution splits the other.  State is
-    written after each round, so lineage is short and a lost executor loses one round.
+    written after each round, so lineage is short and a lost executor loses no more than one; questions
+    without a frontier leave it then and aren't read again.
     """
     spark = edges.sparkSession
     links = push_links(edges, threshold).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
@@ -48,29 +49,41 @@ def forward_push(edges: DataFrame, seeds: DataFrame, threshold: float = 1e-3, da
     share = 1.0 / F.count("*").over(Window.partitionBy("question"))
     start = own.join(degree, "id", "left").select("question", "id", F.coalesce("degree", F.lit(0)).alias("degree"), share.alias("share"))
     path = work_dir(spark, "push")
-
-    def put(state: DataFrame, name: str) -> DataFrame:
-        state.write.parquet(f"{path}/{name}")
-        return spark.read.schema(state.schema).parquet(f"{path}/{name}")
-
-    start = put(start, "seeds")
+    start.write.parquet(f"{path}/seeds")
+    start = spark.read.schema(start.schema).parquet(f"{path}/seeds")
+    # Without nodes that have no edges, no round gives anything back to the seeds.
+    ends = not (links.filter("dst_degree = 0").isEmpty() and start.filter("degree = 0").isEmpty())
     over = F.col("residual") > threshold * F.greatest("degree", F.lit(1))
-    state = put(start.select("question", "id", "degree", F.lit(0.0).alias("score"), F.col("share").alias("residual")), "0")
-    rounds = 0
-    while not state.filter(over).isEmpty():
+
+    def pushed(state: DataFrame) -> DataFrame:
         hot = state.filter(over)
-        kept = state.select("question", "id", "degree", (F.col("score") + F.when(over, (1 - damping) * F.col("residual")).otherwise(0.0)).alias("score"), F.when(over, 0.0).otherwise(F.col("residual")).alias("residual"))
-        sent = hot.select("question", F.col("id").alias("src"), "residual").join(links, "src").select(
-            "question", F.col("dst").alias("id"), F.col("dst_degree").alias("degree"), F.lit(0.0).alias("score"), (damping * F.col("residual") / F.col("degree")).alias("residual"),
+        out = state.select("question", "id", "degree", (F.col("score") + F.when(over, (1 - damping) * F.col("residual")).otherwise(0.0)).alias("score"), F.when(over, 0.0).otherwise(F.col("residual")).alias("residual"))
+        out = out.union(
+            hot.select("question", F.col("id").alias("src"), "residual").join(links, "src")
+            .select("question", "dst", "dst_degree", F.lit(0.0), damping * F.col("residual") / F.col("degree"))
         )
-        ended = hot.filter("degree = 0").groupBy("question").agg(F.sum("residual").alias("lost"))
-        back = ended.join(start, "question").select("question", "id", "degree", F.lit(0.0), damping * F.col("lost") * F.col("share"))
-        after = kept.union(sent).union(back).groupBy("question", "id", "degree").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"))
-        rounds += 1
-        state = put(after, str(rounds))
-        deleted(spark, f"{path}/{rounds - 1}")
+        if ends:
+            ended = hot.filter("degree = 0").groupBy("question").agg(F.sum("residual").alias("lost"))
+            out = out.union(ended.join(start, "question").select("question", "id", "degree", F.lit(0.0), damping * F.col("lost") * F.col("share")))
+        return out.groupBy("question", "id", "degree").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"))
+
+    def put(state: DataFrame, n: int) -> None:
+        live = F.max(over).over(Window.partitionBy("question"))
+        state.select("*", F.lit(n).alias("n"), live.alias("live")).write.mode("append").partitionBy("n", "live").parquet(f"{path}/state")
+
+    def states(condition: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{path}/state").filter(condition).select("question", "id", "degree", "score", "residual")
+
+    state = start.select("question", "id", "degree", F.lit(0.0).alias("score"), F.col("share").alias("residual"))
+    schema = state.withColumns({"n": F.lit(0), "live": F.lit(True)}).schema
+    n = 0
+    put(state, n)
+    while not (state := states(f"n = {n} and live")).isEmpty():
+        n += 1
+        put(pushed(state), n)
+        deleted(spark, f"{path}/state/n={n - 1}/live=true")
     links.unpersist()
-    return state.select("question", "id", "score", "residual")
+    return states("not live").select("question", "id", "score", "residual")
 
 
 def push_bounds(pushed: DataFrame) -> DataFrame:

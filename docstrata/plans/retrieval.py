@@ -50,7 +50,7 @@ def hybrid(channels: dict[str, DataFrame], texts: DataFrame, queries: DataFrame,
         ranked = own if ranked is None else ranked.unionByName(own)
     fused = ranking.fuse(ranked, weights, top_k=2 * top_k).select("query_id", "doc_id")
     named = queries.select("query_id", F.col("text").alias("query"))
-    candidates = fused.join(named, "query_id").join(texts.select("doc_id", "text"), "doc_id")
+    candidates = bm25.with_documents(fused.join(named, "query_id"), texts.select("doc_id", "text"), 2 * top_k * named.count())
     score = score or (lambda query, text: F.coalesce(F.round(token_coverage(query, text), 9), F.lit(0.0)))
     return ranking.rerank(candidates, score, top_k).select("query_id", "doc_id", "score", "rank")
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..ship import ship
 
 KS = (1, 3, 5, 10)
 
@@ -159,21 +161,41 @@ def percentile_truncated(values: Column, p: float) -> Column:
     return F.get(ordered, at)
 
 
+def _resampled(own: np.ndarray, resamples: int, seed: int) -> list[float]:
+    """Means of resamples, drawn as ``random.Random(seed).randrange`` does, number for number, a block at a time."""
+    n = len(own)
+    _, key, _ = random.Random(seed).getstate()
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(key[:-1], dtype=np.uint32), "pos": key[-1]}}
+    shift, drawn, means = np.uint64(32 - n.bit_length()), np.empty(0, np.int64), []
+    # Sums of whole numbers are exact in any order.
+    whole = bool(np.isfinite(own).all() and (own == np.floor(own)).all() and np.abs(own).max() * n < 2**53)
+    for _ in range(resamples):
+        parts, have = [drawn], len(drawn)
+        while have < n:
+            raw = (source.random_raw(max(1 << 16, 2 * (n - have))) >> shift).astype(np.int64)
+            parts.append(raw[raw < n])
+            have += len(parts[-1])
+        drawn = np.concatenate(parts)
+        some, drawn = own[drawn[:n]], drawn[n:]
+        means.append(float(some.sum() if whole else sum(some.tolist())) / n)
+    return means
+
+
 def bootstrap_intervals(values: DataFrame, resamples: int = 1000, seed: int = 20260101, level: float = 0.95) -> DataFrame:
     """Percentile intervals of the mean per metric of ``values(metric, question_id, value)``, in question order; null below two values.
 
-    One metric's values are those of one benchmark's questions, a bounded group.
+    A task holds one metric's values; its resamples come one after another from one generator.
     """
+    ship(values.sparkSession)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame.dropna(subset=["value"]).sort_values("question_id")["value"].tolist()
+        own = frame.dropna(subset=["value"]).sort_values("question_id")["value"].to_numpy(dtype=float)
         name = frame["metric"].iloc[0]
         if len(own) < 2:
             return pd.DataFrame({"metric": [name], "low": [None], "high": [None]})
-        rng, n = random.Random(seed), len(own)
-        means = sorted(sum(own[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
         tail = (1 - level) / 2
-        edges = pd.Series(means).quantile([tail, 1 - tail])
+        edges = pd.Series(sorted(_resampled(own, resamples, seed))).quantile([tail, 1 - tail])
         return pd.DataFrame({"metric": [name], "low": [edges.iloc[0]], "high": [edges.iloc[1]]})
 
     return values.select("metric", "question_id", "value").groupBy("metric").applyInPandas(one, "metric string, low double, high double")

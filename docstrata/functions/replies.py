@@ -17,18 +17,15 @@ def _unfenced(text: Column) -> Column:
 def balanced(text: Column) -> Column:
     """The first value in brackets, from its opening bracket to the one that closes it; null if none closes. Brackets in strings don't count."""
     tail = F.regexp_extract(text, r"(?s)[\[{].*", 0)
-    chars = F.filter(F.split(tail, ""), lambda c: c != "")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("end"))
-
-    def step(s: Column, c: Column) -> Column:
-        plain = ~s["quoted"]
-        depth = s["depth"] + F.when(plain & c.isin("[", "{"), 1).when(plain & c.isin("]", "}"), -1).otherwise(0)
-        return F.struct(
-            (s["at"] + 1).alias("at"), depth.alias("depth"), F.when((c == '"') & ~s["escaped"], plain).otherwise(s["quoted"]).alias("quoted"),
-            (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"), F.when((s["end"] == 0) & (depth == 0), s["at"] + 1).otherwise(s["end"]).alias("end"),
-        )
-
-    end = F.aggregate(chars, start, step, lambda s: s["end"])
+    # Brackets, strings (an open one up to the end) and what is between them; together they are the whole tail.
+    tokens = F.regexp_extract_all(tail, F.lit(r'(?s)[\[{\]}]|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[^\[{\]}"]++'), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("closed"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t.isin("[", "{"), 1).when(t.isin("]", "}"), -1).otherwise(0)
+        return F.when(s["closed"], s).otherwise(F.struct((s["at"] + F.length(t)).alias("at"), depth.alias("depth"), (depth == 0).alias("closed")))
+
+    end = F.aggregate(tokens, start, step, lambda s: F.when(s["closed"], s["at"]))
     return F.when(end > 0, F.substring(tail, F.lit(1), end))
 
 

@@ -24,15 +24,20 @@ def cleaned_entities(extracted: DataFrame, external: DataFrame, labels: DataFram
     source gives, or null.  Rows without a name go.  Categories that are null or not in
     ``labels(label)`` become ``Others``.  A name may come again under another category.  Rows that
     differ in their target only are all kept, since they are evidence of a conflict.  ``position``
-    becomes a pair whose order is that of the rule.
+    becomes a pair whose order is that of the rule.  All of it is done by chunk: inputs that are dealt by
+    ``chunk_id`` alike stay where they are, here and in ``identities``.
     """
     columns = ("chunk_id", "position", "name", "category", "target")
     both = external.select(F.lit(0).alias("origin"), *columns).unionByName(extracted.select(F.lit(1).alias("origin"), *columns))
     known = labels.select(F.col("label").alias("category"), F.lit(True).alias("known")).dropna().distinct()
-    named = both.filter(T.strip(F.coalesce("name", F.lit(""))) != "").join(known, "category", "left")
+    named = both.filter(F.rlike("name", F.lit(r"(?U)\S"))).join(F.broadcast(known), "category", "left")
     category = F.when(F.col("known"), F.col("category")).otherwise(OTHERS)
-    once = named.withColumn("category", category).groupBy("chunk_id", "name", "category", "target").agg(F.min(F.struct("origin", "position")).alias("at"))
-    return once.select("chunk_id", F.col("at").alias("position"), "name", "category", "target")
+    # The least pair from values of fixed width, which a hash table holds; a null position comes first.
+    of = lambda origin, value: F.when(F.col("origin") == origin, value)
+    least = [x for k in (0, 1) for x in (F.min(of(k, F.col("position"))).alias(f"at{k}"), F.max(of(k, F.col("position").isNull())).alias(f"none{k}"))]
+    once = named.withColumn("category", category).groupBy("chunk_id", "name", "category", "target").agg(F.min("origin").alias("origin"), *least)
+    at = F.when(F.col("origin") == 0, F.when(~F.col("none0"), F.col("at0"))).otherwise(F.when(~F.col("none1"), F.col("at1")))
+    return once.select("chunk_id", F.struct("origin", at.alias("position")).alias("position"), "name", "category", "target")
 
 
 def identities(entities: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def identities(entities: DataFrame) -> DataFrame:
     """
     managed = F.col("category").isin(*ID_PREFIXES)
     # Only a name without letters and digits has an empty key; the key itself in a filter would be computed twice.
-    keyed = entities.filter(T.slug("name") != "").withColumn("key", T.canonical_id("name"))
+    keyed = entities.filter(F.rlike("name", F.lit(r"[\p{L}\p{N}_]"))).withColumn("key", T.canonical_id("name"))
     one = keyed.groupBy("chunk_id", "category", "key").agg(
         F.min(F.struct("position", "name", "target")).alias("first"), F.min("target").alias("least"), F.max("target").alias("most"), F.count("target").alias("given"), F.count("*").alias("n"),
     )
@@ -60,7 +65,7 @@ def identities(entities: DataFrame) -> DataFrame:
     reason = (
         F.when(~managed, "name").when(F.col("given") == 0, "no target").when((F.col("least") != F.col("most")) | (F.col("given") < F.col("n")), "conflict").when(shared, "shared").otherwise("target")
     )
-    local = F.when(managed, F.when(F.col("reason") == "target", F.col("least")).otherwise(unresolved_id(F.when(managed, F.col("category")).otherwise("Article"), F.col("chunk_id"), F.col("key"))))
+    local = F.when(managed, F.when(F.col("reason") == "target", F.col("least")).otherwise(unresolved_id(F.when(managed, F.col("category")).otherwise("Article"), F.col("chunk_id"), F.col("key"), canonical=True)))
     out = one.withColumn("reason", reason)
     return out.select("chunk_id", "category", "key", F.col("first.name").alias("name"), F.coalesce(local, F.col("key")).alias("id"), "reason")
 
@@ -118,7 +123,8 @@ def assembled(chunks: DataFrame, entities: DataFrame, triples: DataFrame) -> Dat
     Empty inputs give no rows of their kind.  Triples of chunks that aren't in ``chunks`` have no provenance.
     """
     named = written(identities(entities), "identities")
-    bound = bound_triples(triples, named).join(chunks.select("chunk_id", "source_path", "document_id", "article_id"), "chunk_id", "left")
+    ends = written(bound_triples(triples, named), "bound")
+    bound = ends.join(chunks.select("chunk_id", "source_path", "document_id", "article_id"), "chunk_id", "left")
     origin = {"sourceChunkId": "chunk_id", "sourcePath": "source_path", "sourceDocumentId": "document_id"}
     given = lambda pairs: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in pairs.items())), lambda p: F.coalesce(p["value"], F.lit("")) != ""))
     said = given({k: F.col(c) for k, c in origin.items()} | {"sourceArticleId": F.col("article_id"), "originalPredicate": F.col("predicate"), "evidenceStatus": F.lit("UNVERIFIED")})
@@ -135,13 +141,16 @@ def assembled(chunks: DataFrame, entities: DataFrame, triples: DataFrame) -> Dat
     own = chunks.select(*_row("node", "chunk_id", F.col("chunk_id"), "Chunk", properties=given({"sourcePath": F.col("source_path")})))
     at = chunks.filter("article_id is not null")
     article = at.select(*_row("node", "chunk_id", F.col("article_id"), "Article", properties=given({"name": F.col("heading"), "articleNumber": F.col("article_no")})))
-    told = bound.filter(fine & (F.col("relation") == "belongsTo")).select("chunk_id", F.col("s_id").alias("article_id")).distinct()
+    told = ends.filter(fine & (F.col("relation") == "belongsTo")).select("chunk_id", F.col("s_id").alias("article_id")).distinct()
     held = at.filter(F.coalesce("document_name", F.lit("")) != "").join(told, ["chunk_id", "article_id"], "left_anti")
     where = given({k: F.col(c) for k, c in origin.items()} | {"evidenceStatus": F.lit("STRUCTURAL")})
-    document = held.select(*_row("node", "chunk_id", T.canonical_id("document_name"), "LegalDocument", properties=given({"name": F.col("document_name")})))
-    belongs = held.select(*_row("edge", "chunk_id", F.col("article_id"), "Article", "belongsTo", T.canonical_id("document_name"), "LegalDocument", "STRUCTURAL", where))
+    # A document's node and the edge to it are two rows of one.
+    to = F.col("document")
+    document = F.struct(*_row("node", "chunk_id", to, "LegalDocument", properties=given({"name": F.col("document_name")})))
+    belongs = F.struct(*_row("edge", "chunk_id", F.col("article_id"), "Article", "belongsTo", to, "LegalDocument", "STRUCTURAL", where))
+    both = held.withColumn("document", T.canonical_id("document_name")).select(F.inline(F.array(document, belongs)))
     out = tagged
-    for part in (node, source, own, article, document, belongs):
+    for part in (node, source, own, article, both):
         out = out.unionByName(part)
     return out
 

@@ -85,7 +85,7 @@ def bound_triples(triples: DataFrame, named: DataFrame) -> DataFrame:
     """
     spark = triples.sparkSession
     ends = named.groupBy("chunk_id", "key").agg(F.count("*").alias("n"), F.min("category").alias("label"), F.min("id").alias("id"))
-    spelled = F.lower(F.regexp_replace(T.strip(F.coalesce("predicate", F.lit(""))), r"(?U)\s+", " "))
+    spelled = F.lower(F.trim(F.regexp_replace(F.coalesce("predicate", F.lit("")), r"(?U)\s+", " ")))
     out = triples.select("chunk_id", "subject", "predicate", "object", spelled.alias("spelled"), T.canonical_id("subject").alias("s_key"), T.canonical_id("object").alias("o_key"))
     out = out.join(F.broadcast(_relations(spark)), "spelled", "left")
     for side in ("s", "o"):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean, index_tokens
 from ..functions.unicode import nfc
 from ..shared import deleted, written
-from .bm25 import Index, idf
+from .bm25 import Index, idf, terms_of
 
 #: Ids that are broadcast: some 100 bytes each.
 FEW = 1 << 18
@@ -94,13 +94,15 @@ def append(docs: DataFrame, path: str, batch: int, gone: DataFrame | None = None
     if live is not None:
         of = of.join(live.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
     of = written(of, "batch")
-    tokens = new.select("doc_id", "digest", F.coalesce(index_tokens("text", codes), F.array().cast("array<string>")).alias("tokens"))
     folder = f"{path}/segment-{batch}-{batch}"
-    lengths = tokens.groupBy("doc_id", "digest").agg(F.first(F.size("tokens").cast("long")).alias("dl"))
-    _of(lengths, of.drop("copies"), ["doc_id", "digest"], "left_semi").select("doc_id", "dl", "digest").write.mode("overwrite").parquet(f"{folder}/docs")
-    found = tokens.select("doc_id", "digest", F.explode_outer("tokens").alias("term")).filter("term is not null")
-    counted = _of(found, of, ["doc_id", "digest"], "inner").groupBy("doc_id", "term", "copies").agg(F.count("*").alias("tf"))
+    # Texts meet the ids before they become tokens, so that what moves, if ids are many, is a text and not each of its tokens with a digest.
+    texts = _of(new, of, ["doc_id", "digest"], "inner")
+    counted = terms_of(texts.select(F.struct("doc_id", "copies").alias("doc"), "text"), "doc", index_tokens("text", codes)).select("doc.doc_id", "doc.copies", "term")
+    counted = counted.groupBy("doc_id", "term", "copies").agg(F.count("*").alias("tf"))
     counted.select("doc_id", "term", (F.col("tf") / F.col("copies")).cast("long").alias("tf")).write.mode("overwrite").parquet(f"{folder}/postings")
+    # A length is the sum of its document's counts: texts are cut into tokens once.
+    sums = spark.read.parquet(f"{folder}/postings").groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    of.join(sums, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), "digest").write.mode("overwrite").parquet(f"{folder}/docs")
     own, postings = spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/postings")
 
     changes = postings.groupBy("term").agg(F.count("*").alias("df"))

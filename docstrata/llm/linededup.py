@@ -146,8 +146,9 @@ def _class_sets(docs: DataFrame, index: DataFrame, width: int) -> DataFrame:
     split = F.posexplode_outer(F.split(_spaced(F.col("text")), "\n", -1)).alias("line_no", "line")
     own = _beside(docs, numbers, "wanted", "inner").select("doc_id", "wanted", split).filter(F.array_contains("wanted", F.col("line_no"))).drop("wanted")
     sets = _coded(own, width).withColumn("c", F.struct("doc_id", "line_no", F.xxhash64("codes").alias("k1")))
-    # The whole key: a doc_id may have several texts.
-    sets = sets.dropDuplicates(["c"]).join(wanted, "c", "left_semi")
+    # A doc_id may have several texts, of which one is meant; without any such, no line comes twice.
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        sets = sets.join(wanted, "c", "left_semi").dropDuplicates(["c"])
     out = written(sets.select("c", "codes", F.size("codes").alias("n"), _parity("codes", 0).alias("b1"), _parity("codes", 1).alias("b2")), "line-sets")
     dropped(numbers)
     return out
@@ -168,18 +169,18 @@ def _hot_order(index: DataFrame) -> DataFrame:
     return filled.agg(F.transform(ordered, lambda x: x["c"]).alias("classes"))
 
 
-def _prefix_rows(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, line_no, n, k1, pos, token)``: the prefixes of all lines in hash order."""
+def _prefixes(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, line_no, n, k1, k2, prefix)`` of all lines: set size, digest, least token, and the prefix in hash order."""
     n = F.size("codes")
-    return _coded(_lines(docs), width).select("doc_id", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.posexplode_outer(F.slice("codes", 1, _prefix_size(n))).alias("pos", "token"))
+    return _coded(_lines(docs), width).select("doc_id", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.get("codes", F.lit(0)).alias("k2"), F.slice("codes", 1, _prefix_size(n)).alias("prefix"))
 
 
-def _heavy(docs: DataFrame, width: int) -> DataFrame:
+def _heavy(lines: DataFrame) -> DataFrame:
     """``(token, heavy)``: tokens that fill a window of their own, by a count over one document in 64.
 
     Their rows are spread and pass the count unseen; which tokens these are changes no result.
     """
-    some = _prefix_rows(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0), width)
+    some = lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0).select(F.explode_outer("prefix").alias("token"))
     held = some.groupBy("token").count().filter(F.col("count") > HEAVY)
     return held.orderBy(F.desc("count"), "token").limit(1 << 16).select("token", F.lit(True).alias("heavy"))
 
@@ -187,22 +188,22 @@ def _heavy(docs: DataFrame, width: int) -> DataFrame:
 def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """``(doc_id, gone)``: the sorted numbers of the lines that match an earlier one, for documents that have any."""
     own = documents(docs)
-    heavy = written(_heavy(own, width), "heavy")
-    rows = _prefix_rows(own, width).join(F.broadcast(heavy), "token", "left")
+    lines = written(_prefixes(own, width), "lines")
+    heavy = written(_heavy(lines), "heavy")
+    # Size and place as one number: these rows are by far the most, and sorted.
+    rows = lines.select("k1", F.col("n").cast("long").alias("n"), F.posexplode_outer("prefix").alias("pos", "token"))
+    rows = rows.select("k1", "token", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at")).join(F.broadcast(heavy), "token", "left")
     # One number, which sorts faster than two: a heavy token's rows have a key each.  Rows that share a key by chance are kept, no more.
-    window = Window.partitionBy(F.when(F.col("heavy"), F.xxhash64("token", "doc_id", "line_no")).otherwise(F.col("token")))
-    several = F.col("heavy") | (F.col("low") != F.col("high"))
-    rows = rows.select("*", F.count("*").over(window).alias("rows"), F.min("k1").over(window).alias("low"), F.max("k1").over(window).alias("high"))
-    rows = rows.filter("rows > 1 or heavy").withColumn("several", F.coalesce(several, F.col("low") != F.col("high"))).drop("rows", "heavy", "low", "high")
-    rows = written(rows, "prefix-rows")
-
-    # Equal sets have equal digests and equal shared tokens; the first line stands for its class.
-    lines = rows.groupBy("doc_id", "line_no", "k1", "n").agg(F.min("token").alias("k2"))
-    lines = written(lines, "lines")
-    classes = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", "k1")).alias("c"))
+    rows = rows.select("k1", "at", "token", "heavy", F.when(F.col("heavy"), F.xxhash64("token", "k1")).otherwise(F.col("token")).alias("key"))
+    window = Window.partitionBy("key")
+    rows = rows.select("*", F.min("k1").over(window).alias("low"), F.max("k1").over(window).alias("high")).filter("heavy or low <> high")
+    rows = written(rows.select("token", "k1", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")), "prefix-rows")
+
+    # Equal sets have equal digests, sizes and least tokens; the first line stands for its class.
+    classes = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", "k1")).alias("c"), F.count("*").alias("held"))
     classes = written(classes, "line-classes")
     # Equal sets count once.  Rows that fit no other of their token by length and position go.
-    index = written(_shared(rows.filter("several").select("token", "k1", "n", "pos").distinct()), "index")
+    index = written(_shared(rows.distinct()), "index")
     x, y = index.filter(F.col("held") <= HOT).alias("x"), index.alias("y")
     cold = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.k1") != F.col("y.k1")) & _fitting("x", "y"), "left_semi")
     fitting = cold.unionByName(index.filter(F.col("held") > HOT)).drop("n")
@@ -213,7 +214,9 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     order = written(_hot_order(met), "order")
     again = sets.join(met.filter(F.col("held") > HOT).select("c").distinct(), "c").withColumn("order", order.scalar())
     code = lambda t: F.shiftleft(F.get("order", t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
-    again = again.select("c", F.posexplode_outer(F.slice(F.sort_array(F.transform("codes", code)), 1, _prefix_size(F.col("n")))).alias("pos", "token"))
+    # Apart from the rows it makes: in one step with them, a copy of the whole order would go with every line.
+    again = again.select("c", F.slice(F.sort_array(F.transform("codes", code)), 1, _prefix_size(F.col("n"))).alias("prefix"))
+    again = again.select("c", F.posexplode_outer("prefix").alias("pos", "token"))
     again = written(again.withColumn("token", F.xxhash64("token", F.lit(1))), "again")
     both = met.filter(F.col("held") <= HOT).select("token", "c", "pos").union(_shared(again).select("token", "c", "pos"))
     both = both.join(sets.select("c", "n", "b1", "b2").hint("merge"), "c").select("token", F.struct("c", "n", "pos", "b1", "b2").alias("x"))
@@ -229,8 +232,8 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     rest = written(rest.join(stars, ["late", "early"], "left_anti"), "rest")
     gone = matched.union(_verified(rest, sets)).withColumnRenamed("late", "c").withColumn("matched", F.lit(True))
 
-    ends = classes.join(gone, "c", "left")
-    named = lines.join(ends, ["k1", "k2", "n"])
+    ends = classes.join(gone, "c", "left").filter("matched or held > 1").drop("held")
+    named = lines.drop("prefix").join(ends, ["k1", "k2", "n"])
     again = ~(named["doc_id"].eqNullSafe(F.col("c.doc_id")) & (named["line_no"] == F.col("c.line_no")))
     out = named.filter(F.coalesce("matched", F.lit(False)) | again)
     out = written(out.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "removed-lines")
@@ -268,7 +271,7 @@ def line_dedup(docs: DataFrame, width: int = WORDS) -> DataFrame:
 def line_report(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed_lines)`` for every row; null text has no lines."""
     gone = removed_lines(docs, width)
-    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     own = documents(docs).select("doc_id", F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"))
     removed = F.coalesce("gone", F.array().cast("array<int>"))
     return _beside(own, gone, "gone", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))

@@ -194,10 +194,10 @@ def removed_lines(docs: DataFrame, width: int = WORDS) -> DataFrame:
     rows = lines.select("k1", F.col("n").cast("long").alias("n"), F.posexplode_outer("prefix").alias("pos", "token"))
     rows = rows.select("k1", "token", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at")).join(F.broadcast(heavy), "token", "left")
     # One number, which sorts faster than two: a heavy token's rows have a key each.  Rows that share a key by chance are kept, no more.
-    rows = rows.select("k1", "at", "token", "heavy", F.when(F.col("heavy"), F.xxhash64("token", "k1")).otherwise(F.col("token")).alias("key"))
+    rows = rows.select("k1", "at", F.when(F.col("heavy"), F.col("token")).alias("hot"), F.when(F.col("heavy"), F.xxhash64("token", "k1")).otherwise(F.col("token")).alias("key"))
     window = Window.partitionBy("key")
-    rows = rows.select("*", F.min("k1").over(window).alias("low"), F.max("k1").over(window).alias("high")).filter("heavy or low <> high")
-    rows = written(rows.select("token", "k1", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")), "prefix-rows")
+    rows = rows.select("*", F.min("k1").over(window).alias("low"), F.max("k1").over(window).alias("high")).filter("hot is not null or low <> high")
+    rows = written(rows.select(F.coalesce("hot", "key").alias("token"), "k1", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")), "prefix-rows")
 
     # Equal sets have equal digests, sizes and least tokens; the first line stands for its class.
     classes = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", "k1")).alias("c"), F.count("*").alias("held"))
